@@ -24,8 +24,8 @@ from . import exchange as X
 from . import textkernel as K
 from .components import components
 
-FLUSH = 4_000_000
-BLOCK_BYTES = 24 << 20
+FLUSH = 1_500_000
+BLOCK_BYTES = 12 << 20
 _PART = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 _SETS = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("whole", pa.bool_()), ("digest", pa.int64()), ("grams", pa.binary()), ("ranks", pa.binary())])
 
@@ -310,7 +310,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: st
     """
     keyed = X.with_row_key(docs, id_col, text_col)
     rows = keyed.where("__text is not null").select("__key", "__text")
-    parts = X.parts_for(rows, 10 << 20)
+    parts = X.parts_for(rows, 5 << 20)
     back = max(4, parts // 4)
     packed = rows.mapInArrow(_shingles(n, parts), "part int, payload binary")
     shared = packed.groupBy("part").applyInArrow(_repeated(back), "part int, payload binary")

@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, ngram_join, quality, substring_dedup
+
+#: Labelled rows that the quality classifier is fitted to, at most.
+QUALITY_ROWS = 6000
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op3_substring_dedup(spark, d):
+    """Passages of 16 words or more that other places of the corpus repeat."""
+    return substring_dedup.repeats(_t(spark, d, "documents"))
+
+
 def op5_ngram_join(spark, d):
     """All pairs of documents whose word 5-gram sets have a Jaccard similarity of 0.5 or more."""
     return ngram_join.near_pairs(_t(spark, d, "documents"), n=5, threshold=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_join,)}
+def op6_decontaminate(spark, d):
+    """Documents that hold a benchmark item or 13 words of one, with the longest overlap of each."""
+    return decontaminate.leaks(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+def op10_quality(spark, d):
+    """Documents that the quality classifier accepts, with its probabilities."""
+    docs = _t(spark, d, "documents")
+    model, _ = quality.train(docs, _t(spark, d, "labels"), QUALITY_ROWS)
+    return quality.accepted(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_ngram_join, op6_decontaminate, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

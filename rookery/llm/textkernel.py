@@ -63,6 +63,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return c["lut"], c["word"]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; faster on wide integers than numpy's own."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def strings(col) -> pa.Array:
     """A text column as one large_string array; nulls become empty texts."""
     if isinstance(col, pa.ChunkedArray):
@@ -181,6 +187,5 @@ def ngrams(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (ascending) and distinct 48-bit n-gram hashes (ascending in a row)."""
     rows, h = ngrams(t, n)
-    both = np.sort((rows.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    both = distinct((rows.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
     return (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
