@@ -24,7 +24,7 @@ from . import exchange as X
 from . import textkernel as K
 from .components import components
 
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 BLOCK_BYTES = 12 << 20
 _PART = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 _SETS = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("whole", pa.bool_()), ("digest", pa.int64()), ("grams", pa.binary()), ("ranks", pa.binary())])
@@ -51,6 +51,7 @@ def _shingles(n: int, parts: int):
             if entries:
                 key, size = np.concatenate(keys), np.concatenate(sizes)
                 e = np.concatenate(entries)
+                entries.clear()
                 e.sort()
                 gram, doc = e >> np.uint64(16), (e & np.uint64(0xFFFF)).astype(np.uint16)
                 part_of = ((gram >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)

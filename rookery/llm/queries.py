@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, quality, substring_dedup
+from . import decontaminate, mixing, ngram_join, pii, quality, substring_dedup
 
 #: Labelled rows that the quality classifier is fitted to, at most.
 QUALITY_ROWS = 6000
 
 
+#: Weights of sources for mixing; all others weigh 1.
+MIX_WEIGHTS = {"src0": 2.0, "src1": 8.0, "src2": 0.5, "src3": 3.0}
+MIX = {"default_weight": 1.0, "budget": 1.0, "max_epochs": 4.0, "seed": 17}
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_mixing(spark, d):
+    """Documents repeated so that their sources reach the target weights, at most 4 epochs each."""
+    return mixing.mix(_t(spark, d, "documents"), MIX_WEIGHTS, **MIX)
+
+
 def op3_substring_dedup(spark, d):
     """Passages of 16 words or more that other places of the corpus repeat."""
     return substring_dedup.repeats(_t(spark, d, "documents"))
@@ -29,6 +39,11 @@ def op6_decontaminate(spark, d):
     return decontaminate.leaks(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
 
 
+def op9_pii(spark, d):
+    """Documents without identifiers and without words that give them away."""
+    return pii.sanitise(_t(spark, d, "documents"))
+
+
 def op10_quality(spark, d):
     """Documents that the quality classifier accepts, with its probabilities."""
     docs = _t(spark, d, "documents")
@@ -36,5 +51,5 @@ def op10_quality(spark, d):
     return quality.accepted(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_ngram_join, op6_decontaminate, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op5_ngram_join, op6_decontaminate, op9_pii, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX)}

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
@@ -85,7 +85,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(col: pa.Array, max_bytes: int = 8 << 20, max_rows: int = 60_000) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, max_bytes: int = 2 << 20, max_rows: int = 60_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about max_bytes; a single longer text is a range of its own."""
     _, offs = buffers(col)
     a = 0
