@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, pii, quality, substring_dedup
+from . import chat, decontaminate, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, token_counts, url_filter
 
 #: Labelled rows that the quality classifier is fitted to, at most.
 QUALITY_ROWS = 6000
@@ -13,6 +16,10 @@ QUALITY_ROWS = 6000
 #: Weights of sources for mixing; all others weigh 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 8.0, "src2": 0.5, "src3": 3.0}
 MIX = {"default_weight": 1.0, "budget": 1.0, "max_epochs": 4.0, "seed": 17}
+#: Domains, hosts and paths that the URL filter blocks besides URLs found on several pages.
+BLOCKED = ("ads-track.example.com", "ththon.example.com/de", "https://www.therth.example.org/en/", "thtion.example.net")
+#: Byte-level BPE ranks that tokens are counted with.
+RANKS = os.environ.get("ROOKERY_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,11 +31,34 @@ def op1_mixing(spark, d):
     return mixing.mix(_t(spark, d, "documents"), MIX_WEIGHTS, **MIX)
 
 
+def op2_url_filter(spark, d):
+    """Verdict on every page's URL: by blocked domains and paths, and URLs that several pages have."""
+    pages = _t(spark, d, "pages")
+    again = pages.groupBy(url_filter.normalised(F.col("url")).alias("rule")).agg(F.count("*").alias("n")).where("n > 1").select("rule")
+    fixed = spark.createDataFrame([(x,) for x in BLOCKED], "rule string")
+    return url_filter.verdicts(pages, again.union(fixed))
+
+
+OP2_SQL = f"""
+with p as (select page_id, url, {url_filter.NORMALISED_SQL.format(u="url")} as norm from pages),
+raw as (select norm as rule from p group by norm having count(*) > 1 union all select {url_filter.NORMALISED_SQL.format(u="x")} from (values {", ".join(f"('{x}')" for x in BLOCKED)}) t(x)),
+rules as (select distinct rule from raw where rule <> ''),
+k as (select *, regexp_extract(norm, '^([^/?]*)', 1) as host, regexp_replace(norm, '\\?.*$', '') as path from p),
+b as (select k.page_id, k.url, r.rule, row_number() over (partition by k.page_id, k.url order by length(r.rule) desc) as n
+      from k join rules r on k.norm = r.rule or k.path = r.rule or starts_with(k.path, r.rule || '/') or k.host = r.rule or (contains(r.rule, '.') and ends_with(k.host, '.' || r.rule)))
+select k.page_id, k.url, b.rule is not null as blocked, b.rule from k left join b on b.page_id = k.page_id and b.url = k.url and b.n = 1"""
+
+
 def op3_substring_dedup(spark, d):
     """Passages of 16 words or more that other places of the corpus repeat."""
     return substring_dedup.repeats(_t(spark, d, "documents"))
 
 
+def op4_fingerprints(spark, d):
+    """Of every document the least id with the same canonical text, and how many there are."""
+    return fingerprints.fingerprints(_t(spark, d, "documents")).select("doc_id", "keep_id", "copies")
+
+
 def op5_ngram_join(spark, d):
     """All pairs of documents whose word 5-gram sets have a Jaccard similarity of 0.5 or more."""
     return ngram_join.near_pairs(_t(spark, d, "documents"), n=5, threshold=0.5)
@@ -39,6 +69,16 @@ def op6_decontaminate(spark, d):
     return decontaminate.leaks(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
 
 
+def op7_chat(spark, d):
+    """Conversations as canonical JSON, user turns linked as calls to the assistant's answers."""
+    return chat.format_chats(*chat.turns_as_calls(_t(spark, d, "conversations")), chat.ASK_SCHEMAS)
+
+
+def op8_token_counts(spark, d):
+    """Tokens of every document before and after its identifiers are edited out."""
+    return token_counts.redaction_counts(_t(spark, d, "documents"), RANKS)
+
+
 def op9_pii(spark, d):
     """Documents without identifiers and without words that give them away."""
     return pii.sanitise(_t(spark, d, "documents"))
@@ -51,5 +91,5 @@ def op10_quality(spark, d):
     return quality.accepted(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op5_ngram_join, op6_decontaminate, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_substring_dedup, op4_fingerprints, op5_ngram_join, op6_decontaminate, op7_chat, op8_token_counts, op9_pii, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL}
