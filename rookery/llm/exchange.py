@@ -101,9 +101,18 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame; where the session doesn't say how many rows Arrow batches hold, 1,000, as texts are long."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, None) in (None, "10000"):
+        conf.set(name, "1000")
+    return df
+
+
 def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, __text and __key: 64 bits over both, so equal rows are one document.
 
     Rows of the same id with other texts stay different documents.
     """
-    return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.col("__id"), F.col("__text")))
+    return small_batches(df).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.col("__id"), F.col("__text")))

@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, form: str = "NFC", id_col: str = "doc_id", tex
     texts are equal to each other. Null ids are never the one kept where
     another is there. Other columns are not read.
     """
-    sub = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = sub.schema["__id"].dataType.simpleString()
     full = sub.where("__text is not null")
     all_ = X.written(full.mapInArrow(_digests(form), f"__id {kind}, hi long, lo long"), "digests")

@@ -26,6 +26,8 @@ from .components import components
 
 FLUSH = 1_000_000
 BLOCK_BYTES = 12 << 20
+#: Ids of documents of one set that a row of the join carries; more rows hold the rest.
+CHUNK = 1000
 _PART = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 _SETS = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("whole", pa.bool_()), ("digest", pa.int64()), ("grams", pa.binary()), ("ranks", pa.binary())])
 
@@ -341,14 +343,15 @@ def near_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str
     joins them; a pair of different rows of one id is reported as (id, id).
     """
     j = jaccard_join(docs, n, threshold, id_col, text_col)
-    m = j.sets
-    same = m.where("key <> rep").select("rep").distinct().select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
-    left, right = m.select(F.col("rep").alias("a"), F.col("key").alias("ka")), m.select(F.col("rep").alias("b"), F.col("key").alias("kb"))
-    full = j.pairs.union(same).join(left, "a").join(right, "b").where("a <> b or ka < kb").select("ka", "kb", "jaccard")
-    involved = m.select("key")
-    ids = X.written(j.keys.join(involved, j.keys["__key"] == involved["key"], "left_semi").distinct(), "ids")
-    out = full.join(ids.select(F.col("__key").alias("ka"), F.col("__id").alias("ia")), "ka").join(ids.select(F.col("__key").alias("kb"), F.col("__id").alias("ib")), "kb")
-    return out.select(F.least("ia", "ib").alias(id_col), F.greatest("ia", "ib").alias("match_id"), "jaccard")
+    named = j.keys.join(j.sets, j.keys["__key"] == j.sets["key"]).select("rep", "key", "__id").distinct()
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
+    lists = named.select("rep", "__id", F.floor((place - 1) / CHUNK).alias("chunk")).groupBy("rep", "chunk").agg(F.collect_list("__id").alias("ids"))
+    lists = X.written(lists, "lists")
+    one, two = lists.select(F.col("rep").alias("a"), F.col("chunk").alias("ca"), F.col("ids").alias("x")), lists.select(F.col("rep").alias("b"), F.col("chunk").alias("cb"), F.col("ids").alias("y"))
+    across = j.pairs.join(one, "a").join(two, "b").select("x", F.explode("y").alias("q"), "jaccard").select(F.explode("x").alias("p"), "q", "jaccard")
+    again = one.join(two, F.col("a") == F.col("b")).where("ca <= cb and (ca < cb or size(x) > 1)")
+    within = again.select("x", F.posexplode("y").alias("j", "q"), (F.col("ca") == F.col("cb")).alias("own")).select(F.posexplode("x").alias("i", "p"), "j", "q", "own").where("not own or i < j").select("p", "q", F.lit(1.0).alias("jaccard"))
+    return across.union(within).select(F.least("p", "q").alias(id_col), F.greatest("p", "q").alias("match_id"), "jaccard")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,7 +182,7 @@ def tree_of(text: str, memo: Memo) -> TokenTree:
 
 def trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens, tree): each row's count and its packed tree; null texts have null in both."""
-    sub = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = sub.schema["__id"].dataType.simpleString()
 
     def run(batches):
@@ -230,7 +230,7 @@ def redaction_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     alone. Null texts have null counts and no edits, empty ones 0 tokens; rows
     are judged each by itself, and other columns are not read.
     """
-    sub = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = sub.schema["__id"].dataType.simpleString()
 
     def run(batches):
