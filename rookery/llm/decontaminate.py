@@ -18,6 +18,7 @@ from . import textkernel as K
 
 MASKS = ("1110110111", "110101111011", "11101001101011")
 MAX_BITS = 1 << 28
+PROBES = 6
 
 
 def _masks(lengths: list[int], masks: tuple[str, ...], whole: int) -> list[str]:
@@ -77,22 +78,30 @@ def _ITEM(id_type):
     return pa.schema([("item", id_type), ("size", pa.int32()), ("tokens", pa.binary()), ("hashes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
+def _places(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    """Bit of a filter of 2^k bits that a probe of a hash looks at."""
+    with np.errstate(over="ignore"):
+        return (h * np.uint64(0x9E3779B97F4A7C15 + 2 * probe)) >> np.uint64(65 - bits.bit_length())
+
+
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap over the column's hashes, 16 bits each and 32 MB at most.
+    """A Bloom filter over the column's hashes: 64 bits and 6 probes each, 32 MB at most.
 
     It only spares rows: what passes is joined on the hashes themselves, so a
-    full bitmap costs time and changes no result.
+    full filter costs time and changes no result.
     """
     n = hashes.count()
     bits = 1 << 10
-    while bits < min(16 * n, MAX_BITS):
+    while bits < min(64 * n, MAX_BITS):
         bits *= 2
 
     def fill(tables):
         b = np.zeros(bits // 8, np.uint8)
         for t in tables:
-            h = t.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits.bit_length() + 1)
-            np.bitwise_or.at(b, (h >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)))
+            h = t.column(0).to_numpy().view(np.uint64)
+            for probe in range(PROBES):
+                at = _places(h, bits, probe)
+                np.bitwise_or.at(b, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
         yield pa.RecordBatch.from_pydict({"bits": pa.array([b.tobytes()], pa.binary())})
 
     got = hashes.select(column).coalesce(8).mapInArrow(fill, "bits binary").toArrow()["bits"]
@@ -103,9 +112,14 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes the bitmap may hold."""
-    top = h >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-    return (np.take(bits, (top >> np.uint64(3)).astype(np.int64)) >> (top & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Which hashes the filter may hold."""
+    left = np.arange(len(h))
+    for probe in range(PROBES):
+        at = _places(h[left], len(bits) * 8, probe)
+        left = left[(np.take(bits, (at >> np.uint64(3)).astype(np.int64)) >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out
 
 
 def _segments(masks, bits, reach):
@@ -200,4 +214,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those in which leaks() finds an overlap; columns as given, other rows untouched."""
     bad = X.written(overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("__key").distinct(), "bad")
-    return docs.select(F.struct("*").alias("__row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key")).join(bad, "__key", "left_anti").select("__row.*")
+    return docs.select(F.struct("*").alias("__row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key")).join(X.small_side(bad), "__key", "left_anti").select("__row.*")

@@ -110,6 +110,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows of 8 to 32 bytes up to which a written side is broadcast (32 MB); beyond, Catalyst shuffles both.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A narrow written frame, with a broadcast hint if it is counted and small."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, __text and __key: 64 bits over both, so equal rows are one document.
 

@@ -317,17 +317,18 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: st
     back = max(4, parts // 4)
     packed = rows.mapInArrow(_shingles(n, parts), "part int, payload binary")
     shared = packed.groupBy("part").applyInArrow(_repeated(back), "part int, payload binary")
-    sets = X.written(shared.groupBy("part").applyInArrow(_sets(threshold), "key long, size int, whole boolean, digest long, grams binary, ranks binary"), "sets")
-    narrow = sets.select("key", "size", "whole", "digest")
-    w = Window.partitionBy("size", "whole", "digest")
-    member = X.written(narrow.select("key", F.min("key").over(w).alias("rep")), "member")
-    reps = X.written(sets.join(member.where("key = rep").select("key"), "key", "left_semi"), "reps")
-    X.dropped(sets)
+    raw = shared.groupBy("part").applyInArrow(_sets(threshold), "key long, size int, whole boolean, digest long, grams binary, ranks binary")
+    rep = F.min("key").over(Window.partitionBy("size", "whole", "digest"))
+    first = F.col("key") == F.col("rep")
+    sets = raw.withColumn("rep", rep).select("key", "rep", "size", F.when(first, F.col("grams")).alias("grams"), F.when(first, F.col("ranks")).alias("ranks"))
+    sets = X.written(sets, "sets")
+    member, reps = sets.select("key", "rep"), sets.where("key = rep").drop("rep")
     links = reps.select("key", "size", "grams", "ranks").mapInArrow(_prefixes(threshold, back), "part int, payload binary").groupBy("part").applyInArrow(_links, "a long, b long")
     comp = components(links)
-    found = reps.select("key", "size", "grams").join(comp.withColumnRenamed("node", "key"), "key")
-    weight = comp.join(reps.select(F.col("key").alias("node"), F.length("grams").alias("w")), "node").groupBy("component").agg(F.ceil(F.sum("w") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    found = found.join(weight, "component").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    weight = comp.join(reps.select(F.col("key").alias("node"), F.length("grams").alias("w")), "node")
+    weight = weight.groupBy("component").agg(F.ceil(F.sum("w") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    place = X.written(comp.join(weight, "component").withColumnRenamed("node", "key"), "place")
+    found = reps.select("key", "size", "grams").join(X.small_side(place), "key").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     found = found.withColumn("other", F.explode(other)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     order = found.repartition("component", "i", "j").sortWithinPartitions(F.col("blocks") > 1, "component", "i", "j")
@@ -373,9 +374,8 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str =
     firsts = placed.where("__n = 1").select("__key", F.lit(True).alias("__first"))
     verdict = X.written(gone.join(firsts, "__key", "full_outer").select("__key", F.coalesce("__first", F.lit(False)).alias("__first"), F.coalesce("__rows", F.lit(0)).alias("__rows")).where("not __first or __rows > 0"), "verdict")
     packed = docs.select(F.struct("*").alias("__row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
-    kept = packed.join(verdict.where("not __first").select("__key"), "__key", "left_anti")
-    twice = verdict.where("__first").select("__key", F.lit(1).alias("__twice"))
-    kept = kept.join(twice, "__key", "left")
-    single = kept.where("__twice is null").select("__row.*")
-    firsts = kept.where("__twice is not null").dropDuplicates(["__key"]).select("__row.*")
-    return single.unionByName(firsts)
+    judged = packed.join(X.small_side(verdict.select("__key", "__first")), "__key", "left").where("__first is null or __first")
+    if verdict.where("__first").isEmpty():
+        return judged.select("__row.*")
+    single = judged.where("__first is null").select("__row.*")
+    return single.unionByName(judged.where("__first").dropDuplicates(["__key"]).select("__row.*"))

@@ -114,12 +114,12 @@ def _bags(col: pa.Array, bits: int):
     for lo, hi in K.slices(col, max_bytes=1 << 20):
         t = K.tokenise(col.slice(lo, hi - lo), lower=False, classes="nonspace")
         if not len(t.hash):
-            out += [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * (hi - lo)
+            out += [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * (hi - lo)
             continue
         first, number = _distinct(t)
         word, bucket = _subwords(t.buf, t.start[first], t.end[first], t.hash[first], bits)
         order = np.argsort(word, kind="stable")
-        word, bucket = word[order], bucket[order].astype(np.int64)
+        word, bucket = word[order], bucket[order].astype(np.int32)
         at = np.searchsorted(word, np.arange(len(first) + 1))
         on, pair = _pairs(t, bits)
         tok, prow = t.first(), t.row[on]
@@ -128,7 +128,7 @@ def _bags(col: pa.Array, bits: int):
             words, n = np.unique(number[tok[r] : tok[r + 1]], return_counts=True)
             size = at[words + 1] - at[words]
             where = np.arange(int(size.sum())) + np.repeat(at[words] - np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(words) else np.zeros(0, np.int64)
-            b = np.concatenate([bucket[where], pair[pat[r] : pat[r + 1]].astype(np.int64)])
+            b = np.concatenate([bucket[where], pair[pat[r] : pat[r + 1]].astype(np.int32)])
             w = np.concatenate([np.repeat(n, size), np.ones(pat[r + 1] - pat[r])])
             o = np.argsort(b)
             b, w = b[o], w[o]
