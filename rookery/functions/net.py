@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 V4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V6 = r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}"
 
+#: What looks like an address and is not the machine's own.
+REMOTE = rf"^(?!127\.|::1$)(?:{V4}|{V6})$"
+
 
 def is_ipv4(c: Column) -> Column:
     return c.rlike(f"^{V4}$")

@@ -134,7 +134,7 @@ def compile_rule(r: Rule, columns: list[str], t: Templates = NONE) -> tuple[Colu
     f["proto"] = F.coalesce(f["proto"], F.lit(0))
     host = F.when(col("host").rlike(r"^(127\.|::1$)"), F.lit(t.default_host)).otherwise(col("host")) if t.default_host else col("host")
     for ip in ("src_ip", "dst_ip"):
-        f[ip] = F.when(net.ip_key(f[ip]).isNull() | f[ip].rlike(r"^(127\.|::1$)"), host).otherwise(f[ip])
+        f[ip] = F.when(f[ip].rlike(net.REMOTE), f[ip]).otherwise(host)
     if r.proto:
         tests.append(f["proto"] == r.proto)
 

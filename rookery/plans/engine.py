@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import ip_scan
 from ..operators import lookups, state
+from ..operators.cut import cut
 from .compiler import NONE, Templates, candidates
 from .rules import Rule, metadata_json
 
@@ -34,7 +35,7 @@ class Tables:
     reputation: DataFrame | None = None
     categories: dict[str, int] = field(default_factory=dict)
     classes: DataFrame | None = None
-    templates: Templates = NONE
+    templates: Templates = field(default_factory=lambda: NONE)
     offload: dict = field(default_factory=dict)
 
 
@@ -174,15 +175,18 @@ def _rate(m: DataFrame, rules: list[Rule]) -> DataFrame:
 def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None) -> DataFrame:
     """Matches that fire: the event's columns, rule_pos, extracted fields and correlation.
 
-    Rules of `noalert` fire too (they set bits); alerts() leaves them out.
+    Stages before the last are written to the shared folder. Rules of `noalert` fire too (they set bits); alerts() leaves them out.
     """
     t = tables or Tables()
     fired = xops = fsets = funsets = stopped = None
-    for level in stages(rules):
+    levels = stages(rules)
+    for level in levels:
         m = candidates(events, level, t.templates)
         if stopped is not None:
             m = m.join(stopped, "event_seq", "left").where(F.col("stop").isNull() | (F.col("rule_pos") < F.col("stop"))).drop("stop")
         m = _rate(_bits(_gate(m, level, t), level, xops, fsets, funsets), level)
+        if level is not levels[-1]:  # read again by each later stage
+            m = cut(m)
         for r in level:
             mine = None
             for b in r.xbits:

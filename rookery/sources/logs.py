@@ -94,7 +94,7 @@ def events_as_logs(events: DataFrame) -> DataFrame:
     octet = lambda n: F.pmod(F.floor(user / n), F.lit(256)).cast("string")
     return events.select(
         F.col("event_id").alias("event_seq"),
-        F.col("ts").alias("event_time"),
+        F.col("ts").cast("timestamp").alias("event_time"),
         F.lit("10.0.0.1").alias("host"),
         F.lit("user").alias("facility"),
         F.lit("info").alias("priority"),
