@@ -104,10 +104,20 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
                 np.bitwise_or.at(b, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
         yield pa.RecordBatch.from_pydict({"bits": pa.array([b.tobytes()], pa.binary())})
 
-    got = hashes.select(column).coalesce(8).mapInArrow(fill, "bits binary").toArrow()["bits"]
+    def join(tables):
+        b = np.zeros(bits // 8, np.uint8)
+        for t in tables:
+            for x in t.column(0):
+                b |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([b.tobytes()], pa.binary())})
+
+    tasks = max(1, min(8, n // 5_000_000))
+    filled = hashes.select(column).coalesce(tasks).mapInArrow(fill, "bits binary")
+    if tasks > 1:
+        filled = filled.repartition(1).mapInArrow(join, "bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for x in got:
-        out |= np.frombuffer(x.as_py(), np.uint8)
+    for x in filled.toLocalIterator():
+        out |= np.frombuffer(x[0], np.uint8)
     return out
 
 

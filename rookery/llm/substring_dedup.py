@@ -91,29 +91,30 @@ def signatures(grams, start, end, count: int) -> np.ndarray:
 
 
 def _bands(reach, least, bands, rows, parts):
-    """Packed (band hash, paragraph's content) entries; of the first band the content's lowest bit is set."""
+    """Packed (band hash, paragraph's content, document's tag) entries; of the first band the content's lowest bit is set."""
 
     def run(batches):
-        keys, contents, held = [], [], 0
+        keys, contents, tags, held = [], [], [], 0
 
         def flush():
             if keys:
-                h, c = np.concatenate(keys), np.concatenate(contents)
+                h, c, d = np.concatenate(keys), np.concatenate(contents), np.concatenate(tags)
                 o = np.argsort(h)
-                h, c = h[o], c[o]
+                h, c, d = h[o], c[o], d[o]
                 part = ((h >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
                 for p, a, b in _split(part, parts):
-                    yield _batch([p], [X.pack(h=X.deltas(h[a:b]), c=c[a:b])])
-            keys.clear(), contents.clear()
+                    yield _batch([p], [X.pack(h=X.deltas(h[a:b]), c=c[a:b], d=d[a:b])])
+            keys.clear(), contents.clear(), tags.clear()
 
         for batch in batches:
-            col = K.strings(batch.column(0))
+            col, tag = K.strings(batch.column(1)), batch.column(0).to_numpy().astype(np.uint16)
             for lo, hi in K.slices(col):
                 t = K.tokenise(col.slice(lo, hi - lo))
                 start, end = paragraphs(t, reach, least)
                 if not len(start):
                     continue
                 content = _content(t, start, end)
+                mine = tag[lo + t.row[start]]
                 sig = signatures(_grams(t), start, end, bands * rows)
                 for b in range(bands):
                     h = np.full(len(start), b + 1, np.uint64)
@@ -122,6 +123,7 @@ def _bands(reach, least, bands, rows, parts):
                             h = K.fmix(h * np.uint64(0x9E3779B97F4A7C15) + sig[b * rows + r])
                     keys.append(h >> np.uint64(16))
                     contents.append(content | np.uint64(b == 0))
+                    tags.append(mine)
                     held += len(start)
                 if held > FLUSH:
                     yield from flush()
@@ -132,19 +134,26 @@ def _bands(reach, least, bands, rows, parts):
 
 
 def _collide(table: pa.Table) -> pa.Table:
-    """Of one range of band hashes: sets of several contents in one bucket; contents found twice or more alone."""
+    """Of one range of band hashes: sets of several contents in one bucket; contents found twice or more alone.
+
+    A bucket counts if its contents come from two documents or more, by 16-bit
+    tags: paragraphs of one document overlap, and would collide with each other.
+    """
     got = [X.unpack(x.as_py()) for x in table["payload"]]
-    h, c = np.concatenate([X.undeltas(g["h"]) for g in got]), np.concatenate([g["c"] for g in got])
+    h, c, d = np.concatenate([X.undeltas(g["h"]) for g in got]), np.concatenate([g["c"] for g in got]), np.concatenate([g["d"] for g in got])
     o = np.lexsort((c, h))
-    h, c = h[o], c[o]
+    h, c, d = h[o], c[o], d[o]
     first_band = (c & np.uint64(1)) == 1
     c = c & ~np.uint64(1)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
     twice = K.distinct(c[same & first_band])
-    h, c = h[~same], c[~same]
     start, length = X.runs(h)
-    start, length = start[length > 1], length[length > 1]
+    mixed = np.maximum.reduceat(d, start) != np.minimum.reduceat(d, start) if len(start) else np.zeros(0, bool)
+    several = np.maximum.reduceat(c, start) != np.minimum.reduceat(c, start) if len(start) else mixed
+    on = np.repeat(mixed & several, length) & ~same
+    h, c = h[on], c[on]
+    start, length = X.runs(h)
     many = [c[a : a + n] for a, n in zip(start.tolist(), length.tolist())]
     with np.errstate(over="ignore"):
         sig = [int(K.fmix(np.array([np.bitwise_xor.reduce(K.fmix(x))]))[0].view(np.int64)) for x in many]
@@ -236,7 +245,7 @@ def clusters(docs: DataFrame, threshold: float = 0.8, recall: float = 0.93, reac
     keyed = X.with_row_key(docs, id_col, text_col).where("__text is not null")
     kind = keyed.schema["__id"].dataType.simpleString()
     parts = X.parts_for(keyed.select("__text"), 16 << 20)
-    packed = keyed.select("__text").mapInArrow(_bands(reach, least, bands, rows, parts), "part int, payload binary")
+    packed = keyed.select("__key", "__text").mapInArrow(_bands(reach, least, bands, rows, parts), "part int, payload binary")
     sets = X.written(packed.groupBy("part").applyInArrow(_collide, "sig long, contents array<long>"), "buckets")
     many = sets.where("size(contents) > 1")
     mixed = lambda df: df.select(F.explode("contents").alias("content")).distinct()
