@@ -120,11 +120,15 @@ def ip_scan(message: Column, limit: int = 30) -> Column:
     N" or ":443".
     """
     toks = tokens(message)
+    # each token beside the next three: a lambda that looked into `toks` would split the message anew for every token
+    near = F.arrays_zip(toks, *(F.slice(toks, k, F.greatest(F.size(toks), F.lit(1))) for k in (2, 3, 4)))
+    near = F.filter(near, lambda x: x["0"].rlike(r"\d\.\d|:"))
 
-    def one(t, i):
-        n = lambda k: F.lower(F.regexp_replace(F.coalesce(F.get(toks, i + k), F.lit("")), ":$", ""))
+    def one(x):
+        t = x["0"]
+        n = lambda k: F.lower(F.regexp_replace(F.coalesce(x[str(k)], F.lit("")), ":$", ""))
         number = lambda c: F.when(c.rlike(r"^\d{1,5}\.?$"), F.regexp_extract(c, r"^(\d+)", 1).cast("int"))
-        ahead = F.when(n(1) == "port", number(n(2))).when(n(1).isin("source", "destination", "client") & (n(2) == "port"), number(n(3))).when(F.get(toks, i + 1).rlike(r"^:\d+$"), F.substring(F.get(toks, i + 1), 2, 5).cast("int"))
+        ahead = F.when(n(1) == "port", number(n(2))).when(n(1).isin("source", "destination", "client") & (n(2) == "port"), number(n(3))).when(x["1"].rlike(r"^:\d{1,5}$"), F.substring(x["1"], 2, 5).cast("int"))
         ip = (
             F.when(t.rlike(rf"^{V4}\.?$"), F.regexp_extract(t, rf"^({V4})", 1))
             .when(t.rlike(rf"^{V4}[:#]\d{{1,5}}\.?$"), F.regexp_extract(t, rf"^({V4})", 1))
@@ -135,7 +139,7 @@ def ip_scan(message: Column, limit: int = 30) -> Column:
         port = F.when(t.rlike(r"^[^#]*#\d{1,5}\.?$") | t.rlike(rf"^{V4}:\d{{1,5}}\.?$"), F.regexp_extract(t, r"[:#](\d{1,5})\.?$", 1).cast("int"))
         return F.struct(ip.alias("ip"), F.coalesce(port, ahead, F.lit(0)).alias("port"))
 
-    return F.slice(F.filter(F.transform(toks, one), lambda x: x["ip"].isNotNull()), 1, limit)
+    return F.slice(F.filter(F.transform(near, one), lambda x: x["ip"].isNotNull()), 1, limit)
 
 
 def proto_scan(message: Column) -> Column:

@@ -7,6 +7,7 @@ each rule is one element of an array, matched ones are exploded.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -57,11 +58,10 @@ def alert_time(ts: Column, days: frozenset[int] | None, hours: tuple[int, int] |
 
 
 def _normalized(message: Column, patterns: list[str], name: str) -> Column:
-    import re
-
     out = F.lit(None).cast("string")
     for p in reversed(patterns):
-        groups = re.compile(p.replace("(?<", "(?P<")).groupindex
+        groups = re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", p)).groupindex
+        p = re.sub(r"\(\?<[A-Za-z]\w*>", "(", p)  # Java's group names have no underscores
         if name in groups:
             out = F.when(message.rlike(p), F.nullif(F.regexp_extract(message, p, groups[name]), F.lit(""))).otherwise(out)
         else:
