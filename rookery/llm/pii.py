@@ -233,20 +233,20 @@ def sanitise(docs: DataFrame, window: int = 10, support: int = 3, share: float =
     """The documents, identifiers and revealing words replaced in their texts; size_col, where it exists, follows.
 
     Texts without either come back as they are; null and empty ones too. Rows
-    equal in id and text share their verdict. Other columns are kept, whatever
-    their names (those beginning with two underscores are taken as internal
-    only here: a column `__key`, `__terms` or `__removed` is refused).
+    equal in id and text share their verdict, null ids are like any other. All
+    other columns are kept, whatever their names. An empty table stays empty.
     """
-    clash = {"__key", "__terms", "__removed"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with internal ones")
     told = disclosures(docs, window, support, share, id_col, text_col)
     at = docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None
     if told.isEmpty():
         return docs.mapInArrow(_cleaned(pattern(), at, size, None), docs.schema)
-    told = told.select("__key", F.col("terms").alias("__terms"), F.col("removed").alias("__removed"))
+    names = [f"__{n}" for n in ("key", "terms", "removed")]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    key, terms, removed = names
+    told = told.select(F.col("__key").alias(key), F.col("terms").alias(terms), F.col("removed").alias(removed))
     if told.count() <= BROADCAST_ROWS:
         told = F.broadcast(told)
-    wide = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).join(told, "__key", "left").select(*docs.columns, "__terms", "__removed")
+    wide = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(told, key, "left").select(*docs.columns, terms, removed)
     return wide.mapInArrow(_cleaned(pattern(), at, size, len(docs.columns)), docs.schema)
