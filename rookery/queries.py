@@ -229,7 +229,7 @@ def _alerts(s, d):
 
 
 _ALERT = f"with {EV}, x as (select * from ev where program = 'error'), {_SUPPRESS.format(s=3600, x='x')}, a as (select event_seq, event_time, t, src_ip, dst_ip, program, message, 1 as sid, 'rule 1' as msg, 'Miscellaneous' as category, 'allowed' as action, cast(null as integer) as severity, 'UNKNOWN' as proto, 0 as dp from n where rn <= 5 union all select event_seq, event_time, t, src_ip, dst_ip, program, message, 2, 'rule 2', 'UNKNOWN', 'blocked', 2, 'TCP', 443 from ev where program = 'purchase')"
-_add("alerts", lambda s, d: _alerts(s, d).select("event_seq", "sid", "msg", "category", "action", "severity", "src_ip", "dst_port"), _ALERT + " select event_seq, cast(sid as bigint) as sid, msg, category, action, severity, src_ip, dp as dst_port from a")
+_add("alerts", lambda s, d: _alerts(s, d).select("event_seq", "sid", "msg", "category", "action", F.coalesce("severity", F.lit(0)).alias("severity"), "src_ip", "dst_port"), _ALERT + " select event_seq, cast(sid as bigint) as sid, msg, category, action, coalesce(severity, 0) as severity, src_ip, dp as dst_port from a")
 _add("eve_alert", lambda s, d: sinks.eve(_alerts(s, d)).select("event_seq", F.get_json_object("value", "$.src_ip").alias("src_ip"), F.get_json_object("value", "$.alert.signature_id").cast("int").alias("sid"), F.get_json_object("value", "$.proto").alias("proto"), F.unbase64(F.get_json_object("value", "$.payload")).cast("string").alias("payload")), _ALERT + " select event_seq, src_ip, sid, proto, message as payload from a")
 _add("eve_log", lambda s, d: sinks.eve_log(_events(s, d)).select("event_seq", F.get_json_object("value", "$.message").alias("message"), F.get_json_object("value", "$.event_type").alias("kind")), f"with {EV} select event_seq, message, 'log' as kind from ev")
 _add("fast_log", lambda s, d: sinks.fast(_alerts(s, d)).select("value"), _ALERT + " select strftime(event_time, '%m/%d/%Y-%H:%M:%S.%f') || '  [**] [1:' || sid || ':1] ' || msg || ' [**] [Classification: ' || category || '] [Priority: ' || coalesce(severity, 0) || '] [Program: ' || program || '] {' || proto || '} ' || src_ip || ':0 -> ' || dst_ip || ':' || dp as value from a")
@@ -237,7 +237,7 @@ _add("alert_log", lambda s, d: sinks.full(_alerts(s, d)).select("value"), _ALERT
 _add("syslog_out", lambda s, d: sinks.syslog(_alerts(s, d)).select("value"), _ALERT + " select '[1:' || sid || ':1] ' || msg || ' [Classification: ' || category || '] {' || proto || '} - ' || message as value from a")
 _add("client_stats", lambda s, d: state.client_stats(_events(s, d), "src_ip", private_only=True), f"with {EV} select src_ip, count(*) as events, cast(sum(9 + 8 + 4 + 4 + length(level) + 2 + length(program) + length(message)) as bigint) as bytes, max(t) as last_seen, max_by(program, event_seq) as program, max_by(message, event_seq) as message from ev group by src_ip")
 _add("client_stats_by_tag", lambda s, d: state.client_stats(_docs(s, d), "tag").select("tag", "events", "bytes"), f"with {DOC} select tag, count(*) as events, cast(sum(9 + 8 + 4 + 4 + 4 + length(tag) + length(program) + length(message)) as bigint) as bytes from doc group by tag")
-_add("track_clients", lambda s, d: state.track_clients(_events(s, d), 1440, F.timestamp_seconds(F.lit(1706745600))), f"with {EV}, g as (select src_ip as host, t as last_seen, lead(t) over (partition by src_ip order by t, event_seq) as up_again from ev) select host, last_seen, last_seen + 86400 as down_from, up_again from g where coalesce(up_again, 1706745600) - last_seen >= 86400")
+_add("track_clients", lambda s, d: state.track_clients(_events(s, d), 1440, F.timestamp_seconds(F.lit(1706745600))).fillna(-1, ["up_again"]), f"with {EV}, g as (select src_ip as host, t as last_seen, lead(t) over (partition by src_ip order by t, event_seq) as up_again from ev) select host, last_seen, last_seen + 86400 as down_from, coalesce(up_again, -1) as up_again from g where coalesce(up_again, 1706745600) - last_seen >= 86400")
 _add("stats_counters", lambda s, d: state.counters(_events(s, d), "1 hour"), f"with {EV}, g as (select t // 3600 * 3600 as window_start, count(*) as received, cast(sum(length(message)) as bigint) as bytes from ev group by 1) select window_start, received, bytes, received / 3600.0 as eps, received - coalesce(lag(received) over (order by window_start), 0) as delta from g")
 _add("rule_tracking", lambda s, d: engine.fired_rulesets(engine.run(_events(s, d), parse_rules(rule("program: click;", 1), ruleset="a.rules") + parse_rules(rule("program: nothing;", 2), ruleset="b.rules", first=1) + parse_rules(rule("program: view;", 3), ruleset="c.rules", first=2)), parse_rules(rule("program: click;", 1), ruleset="a.rules") + parse_rules(rule("program: nothing;", 2), ruleset="b.rules", first=1) + parse_rules(rule("program: view;", 3), ruleset="c.rules", first=2)), f"with {EV} select 'a.rules' as ruleset, count(*) as fired from ev where program = 'click' union all select 'b.rules', 0 union all select 'c.rules', count(*) from ev where program = 'view'")
 
