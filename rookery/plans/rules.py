@@ -16,7 +16,7 @@ OPTIONS = frozenset(
     dynamic_load country_code meta_content meta_nocase rev classtype program event_type reference sid
     syslog_tag syslog_facility syslog_level syslog_priority tag facility level pri priority email normalize
     msg content nocase offset meta_offset depth meta_depth distance meta_distance within meta_within pcre
-    alert_time threshold after blacklist bro-intel zeek-intel external bluedot metadata event_id
+    alert_time threshold after blacklist bro-intel zeek-intel external reputation metadata event_id
     json_content json_nocase json_contains json_strstr json_pcre json_meta_content json_meta_nocase
     json_meta_contains json_meta_strstr json_map json_decode_base64 json_decode_base64_pcre
     json_decode_base64_meta json_base64_decode json_base64_decode_pcre json_base64_decode_meta
@@ -25,6 +25,10 @@ OPTIONS = frozenset(
 TRACKS = {"by_src": "src_ip", "by_dst": "dst_ip", "by_username": "username", "by_string": "username", "by_srcport": "src_port", "by_dstport": "dst_port"}
 
 
+#: The place in a meta_content template that each item of its list takes.
+PLACE = re.compile(r"%[a-z]+%")
+
+
 class RuleError(ValueError):
     """A rule that can't be loaded."""
 
@@ -315,8 +319,11 @@ def _flexbits(v: str) -> Bit:
     raise RuleError(f"flexbits: {v!r}")
 
 
-def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict[str, int] | None = None, position: int = 0, ruleset: str = "") -> Rule:
-    """One rule. Raises RuleError where the text is no rule."""
+def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict[str, int] | None = None, position: int = 0, ruleset: str = "", aliases: dict[str, str] | None = None) -> Rule:
+    """One rule. Raises RuleError where the text is no rule.
+
+    aliases: other names of options, such as a vendor's for `reputation`.
+    """
     text = substitute(line.strip(), variables or {})
     a, b = text.find("("), text.rfind(")")
     if a < 0 or b < a:
@@ -338,7 +345,7 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
         if not opt.strip():
             continue
         name, _, v = opt.strip().partition(":")
-        name, v = name.strip(), v.strip()
+        name, v = (aliases or {}).get(name.strip(), name.strip()), v.strip()
         if name not in OPTIONS:
             raise RuleError(f"unknown option {name!r}")
         seen.add(name)
@@ -382,7 +389,7 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
         elif name == "meta_content":
             parts = _split(v, ",")
             neg, tpl = unquote(parts[0])
-            last = Content([unhex(tpl).replace("%sagan%", x.strip()) for x in parts[1:] if x.strip()], neg)
+            last = Content([PLACE.sub(lambda m, x=x: x.strip(), unhex(tpl), count=1) for x in parts[1:] if x.strip()], neg)
             r.metas.append(last)
         elif name in ("nocase", "meta_nocase"):
             (r.metas if name[0] == "m" else r.contents)[-1].nocase = True
@@ -465,10 +472,10 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
             if not m:
                 raise RuleError(f"country_code: {v!r}")
             r.country = (m[1], m[2] == "is", [x.strip().upper() for x in m[3].strip("[]").split(",") if x.strip()])
-        elif name == "bluedot":
+        elif name == "reputation":
             m = re.fullmatch(r"type\s+(\w+)\s*(?:,\s*track\s+(\w+)\s*)?((?:,\s*(?:mdate|cdate)_effective_period\s+[\w ]+)*),\s*(.*)", v)
             if not m:
-                raise RuleError(f"bluedot: {v!r}")
+                raise RuleError(f"reputation: {v!r}")
             per = {k: to_seconds(p) for k, p in re.findall(r"(mdate|cdate)_effective_period\s+([\w ]+)", m[3])}
             r.reputation.append((m[1], m[2] or "", [x.strip().lower() for x in m[4].split(",")], per.get("mdate"), per.get("cdate")))
     for need in ("msg", "sid", "rev"):
@@ -477,12 +484,12 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
     return r
 
 
-def parse_rules(text: str, variables: dict[str, str] | None = None, classes: dict[str, int] | None = None, ruleset: str = "", first: int = 0) -> list[Rule]:
+def parse_rules(text: str, variables: dict[str, str] | None = None, classes: dict[str, int] | None = None, ruleset: str = "", first: int = 0, aliases: dict[str, str] | None = None) -> list[Rule]:
     """All rules of a file's text; comment and blank lines are skipped, a sid met twice is an error."""
     out: list[Rule] = []
     for line in text.splitlines():
         if line.strip() and line[0] not in "#; ":
-            out.append(parse_rule(line, variables, classes, first + len(out), ruleset))
+            out.append(parse_rule(line, variables, classes, first + len(out), ruleset, aliases))
     check_duplicates(out)
     return out
 

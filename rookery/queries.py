@@ -81,9 +81,9 @@ _stateless("content_offset_depth", "doc", 'content:"an"; offset: 5; depth: 20;',
 _stateless("content_distance_within", "doc", 'content:"e"; depth: 10; content:"th"; distance: 3; within: 30;', f"{VALID} and contains(substr(message, 1, 11), 'e') and contains(substr(message, 15, 30), 'th')")
 _stateless("pcre", "doc", 'pcre:"/token = .[0-9a-f]{10}/";', f"{VALID} and regexp_matches(message, 'token = .[0-9a-f]{{10}}')")
 _stateless("pcre_flags", "doc", 'pcre:"/licen[cs]e.*version/is";', f"{VALID} and regexp_matches(message, '(?is)licen[cs]e.*version')")
-_stateless("meta_content", "doc", 'meta_content:"%sagan% License",MIT,Apache,Public;', f"{VALID} and (contains(message, 'MIT License') or contains(message, 'Apache License') or contains(message, 'Public License'))")
-_stateless("meta_content_not", "doc", 'meta_content:!" %sagan% ",the,de,le;', f"{VALID} and not (contains(message, ' the ') or contains(message, ' de ') or contains(message, ' le '))")
-_stateless("meta_content_window", "doc", 'meta_content:"%sagan%",THE,DER; meta_nocase; meta_offset: 2; meta_depth: 40;', f"{VALID} and (contains(lower(substr(message, 3, 41)), 'the') or contains(lower(substr(message, 3, 41)), 'der'))")
+_stateless("meta_content", "doc", 'meta_content:"%item% License",MIT,Apache,Public;', f"{VALID} and (contains(message, 'MIT License') or contains(message, 'Apache License') or contains(message, 'Public License'))")
+_stateless("meta_content_not", "doc", 'meta_content:!" %item% ",the,de,le;', f"{VALID} and not (contains(message, ' the ') or contains(message, ' de ') or contains(message, ' le '))")
+_stateless("meta_content_window", "doc", 'meta_content:"%item%",THE,DER; meta_nocase; meta_offset: 2; meta_depth: 40;', f"{VALID} and (contains(lower(substr(message, 3, 41)), 'the') or contains(lower(substr(message, 3, 41)), 'der'))")
 _stateless("append_program", "doc", 'append_program; content:" | src7";', f"{VALID} and contains(message || ' | ' || program, ' | src7')")
 _stateless("json_content", "ev", 'json_content:".k","7";', "json_extract_string(json_original, '$.k') = '7'", json=True)
 _stateless("json_content_not", "ev", 'json_content:!".k","7";', "json_extract_string(json_original, '$.k') <> '7'", json=True)
@@ -134,7 +134,7 @@ def _pipe_lines(s, d):
 
 
 _add("decode_pipe", lambda s, d: logs.decode_pipe(_pipe_lines(s, d), "10.9.9.9").select("event_seq", "host", "facility", "program", "message", "malformed"), f"with {EV} select event_seq, case when event_seq % 7 = 0 then '10.9.9.9' else src_ip end as host, 'auth' as facility, case when event_seq % 7 = 0 then null else program end as program, case when event_seq % 7 = 0 then null else message || '|tail' end as message, event_seq % 7 = 0 as malformed from ev")
-_add("decode_pipe_strict", lambda s, d: logs.decode_pipe(_pipe_lines(s, d), "10.9.9.9", strict=True).groupBy("program").agg(F.count("*").alias("n"), F.sum(F.col("malformed").cast("int")).alias("malformed")), f"with {EV}, x as (select case when event_seq % 7 = 0 then 'SAGAN: PROGRAM ERROR' else program end as program, case when event_seq % 7 = 0 then 1 else 0 end as bad from ev) select program, count(*) as n, sum(bad) as malformed from x group by program")
+_add("decode_pipe_strict", lambda s, d: logs.decode_pipe(_pipe_lines(s, d), "10.9.9.9", missing="{} ERROR").groupBy("program").agg(F.count("*").alias("n"), F.sum(F.col("malformed").cast("int")).alias("malformed")), f"with {EV}, x as (select case when event_seq % 7 = 0 then 'PROGRAM ERROR' else program end as program, case when event_seq % 7 = 0 then 1 else 0 end as bad from ev) select program, count(*) as n, sum(bad) as malformed from x group by program")
 _JMAP = {"host": [".HOST"], "level": [".SEV", ".LEVEL"], "program": [".PROG"], "message": [".MSG"], "src_ip": [".net.src"], "src_port": [".k"]}
 _add("decode_json", lambda s, d: logs.decode_json(_events(s, d).select("event_seq", F.to_json(F.struct(F.col("program").alias("PROG"), F.col("level").alias("LEVEL"), F.col("message").alias("MSG"), F.struct(F.col("src_ip").alias("src")).alias("net"), F.get_json_object("json_original", "$.k").alias("k"))).alias("value")), _JMAP).select("event_seq", "host", "level", "program", "message", "src_ip", "src_port", "tag"), f"with {EV} select event_seq, '0.0.0.0' as host, level, program, ' ' || message as message, src_ip, cast(json_extract_string(json_original, '$.k') as integer) as src_port, 'UNDEFINED' as tag from ev")
 _add("ignore_list", lambda s, d: logs.ignore(_events(s, d).select("event_seq", "message"), ["click", "user=1", "# note"], "message").select("event_seq"), f"with {EV} select event_seq from ev where not contains(message, 'click') and not contains(message, 'user=1')")
@@ -172,7 +172,7 @@ def _reputation(s, d):
     rep = _table(s, d, "events").groupBy("user_id").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("mtime"), F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("ctime"))
     rep = rep.select(F.lit("ip_reputation").alias("kind"), F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("value"), (F.col("user_id") % 5).cast("int").alias("code"), "ctime", "mtime")
     t = engine.Tables(reputation=rep, categories={"scanner": 1, "malware": 3})
-    return engine.run(_events(s, d), _rules("bluedot: type ip_reputation, track by_src, cdate_effective_period 10 days, scanner,malware;"), t).select("event_seq")
+    return engine.run(_events(s, d), _rules("reputation: type ip_reputation, track by_src, cdate_effective_period 10 days, scanner,malware;"), t).select("event_seq")
 
 
 _add("reputation", _reputation, f"with {EV}, r as (select user_id, cast(floor(epoch(min(ts))) as bigint) as c from events group by user_id) select event_seq from ev join r using (user_id) where user_id < 256 and user_id % 5 in (1, 3) and t - c <= 864000")

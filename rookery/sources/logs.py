@@ -28,11 +28,11 @@ def ignore(lines: DataFrame, needles: list[str], column: str = "value") -> DataF
     return out
 
 
-def decode_pipe(lines: DataFrame, default_host: str | None = None, strict: bool = False, column: str = "value") -> DataFrame:
+def decode_pipe(lines: DataFrame, default_host: str | None = None, missing: str | None = None, column: str = "value") -> DataFrame:
     """Nine fields divided by |, the message being the rest of the line, and `malformed`.
 
-    Missing fields are null, or in strict mode "SAGAN: X ERROR" texts as the
-    wire format's other readers expect. A host that is no address becomes the
+    Missing fields are null, or, with missing="{} ERROR", that text with the
+    field's name in capitals, for readers that expect one. A host that is no address becomes the
     default host.
     """
     p = F.split(F.regexp_replace(F.col(column), r"[\r\n]+$", ""), r"\|", 9)
@@ -40,9 +40,9 @@ def decode_pipe(lines: DataFrame, default_host: str | None = None, strict: bool
     df = lines.select(*[c for c in lines.columns if c != column], *out, (F.size(p) < 9).alias("malformed"))
     if default_host is not None:
         df = df.withColumn("host", F.when(ip_key(F.col("host")).isNotNull(), F.col("host")).otherwise(F.lit(default_host)))
-    if strict:
+    if missing is not None:
         for n in PIPE:
-            df = df.withColumn(n, F.coalesce(F.col(n), F.lit("SAGAN: %s ERROR" % n.upper())))
+            df = df.withColumn(n, F.coalesce(F.col(n), F.lit(missing.format(n.upper()))))
     return df
 
 
