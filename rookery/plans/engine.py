@@ -76,12 +76,36 @@ def _only(m: DataFrame, r: Rule) -> DataFrame:
     return m.where(F.col("rule_pos") == r.position)
 
 
+def _rest(m: DataFrame, rules: list[Rule], held: list[int]) -> DataFrame | None:
+    """Matches of the rules that are not held; None where all are, so that nothing is read for no rows."""
+    left = [r.position for r in rules if r.position not in held]
+    return m.where(F.col("rule_pos").isin(left)) if left else None
+
+
+def _plus(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def _looks(r: Rule) -> bool:
+    return bool(r.blacklist or r.intel or r.country or r.reputation or r.offload)
+
+
+def _tests(r: Rule) -> bool:
+    return any(b.action in ("isset", "isnotset", "count") for b in r.xbits + r.flexbits)
+
+
+def _readings(rules: list[Rule]) -> int:
+    """How often a level's matches would be read if they weren't written."""
+    plain = [r for r in rules if not (_looks(r) or _tests(r) or r.after or r.threshold)]
+    return len([r for r in rules if _looks(r)]) + len([r for r in rules if _tests(r)]) + len({(*q.keys, q.kind) for r in rules for q in (r.after, r.threshold) if q}) + bool(plain)
+
+
 def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
     """Matches whose look-ups hold; rules without look-ups go by untouched."""
-    looks = [r for r in rules if r.blacklist or r.intel or r.country or r.reputation or r.offload]
+    looks = [r for r in rules if _looks(r)]
     if not looks:
         return m
-    out = m.where(~F.col("rule_pos").isin([r.position for r in looks]))
+    out = _rest(m, rules, [r.position for r in looks])
     for r in looks:
         x = _only(m, r)
         for mode in r.blacklist:
@@ -110,16 +134,17 @@ def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
         if r.offload:
             call = t.offload.get(r.offload)
             x = x.where(call(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("host", "facility", "priority", "level", "tag", "program", "message") if c in x.columns)))) if call else x.where("false")
-        out = out.unionByName(x)
+        out = _plus(out, x)
     return out
 
 
 def _bits(m: DataFrame, rules: list[Rule], xops: DataFrame | None, fsets: DataFrame | None, funsets: DataFrame | None) -> DataFrame:
     """Matches whose isset, isnotset and count conditions hold; `correlation` names the setting events."""
-    testers = [r for r in rules if any(b.action in ("isset", "isnotset", "count") for b in r.xbits + r.flexbits)]
-    out = m.where(~F.col("rule_pos").isin([r.position for r in testers])).withColumn("correlation", F.lit(None).cast("string"))
+    testers = [r for r in rules if _tests(r)]
+    m = m.withColumn("correlation", F.lit(None).cast("string"))
+    out = _rest(m, rules, [r.position for r in testers])
     for r in testers:
-        x = _only(m, r).withColumn("correlation", F.lit(None).cast("string"))
+        x = _only(m, r)
         ident = F.struct("event_seq", "rule_pos")
         for b in r.xbits:
             if b.action not in ("isset", "isnotset"):
@@ -147,7 +172,7 @@ def _bits(m: DataFrame, rules: list[Rule], xops: DataFrame | None, fsets: DataFr
             else:
                 n = F.coalesce("records", F.lit(0))
                 x = x.join(got.drop("by"), ["event_seq", "rule_pos"], "left").where({">": n > b.number, "<": n < b.number, "=": n == b.number}[b.op]).drop("records")
-        out = out.unionByName(x)
+        out = _plus(out, x)
     return out
 
 
@@ -162,12 +187,12 @@ def _rate(m: DataFrame, rules: list[Rule]) -> DataFrame:
         if not groups:
             continue
         held = [r.position for g in groups.values() for r in g]
-        out = m.where(~F.col("rule_pos").isin(held))
+        out = _rest(m, rules, held)
         for (keys, mode), g in groups.items():
             x = m.where(F.col("rule_pos").isin([r.position for r in g]))
             pick = lambda attr, g=g, what=what: F.create_map(*(F.lit(v) for r in g for v in (r.position, getattr(getattr(r, what), attr))))[F.col("rule_pos")]
             keyed = ["rule_pos", *keys]
-            out = out.unionByName(state.suppress(x, keyed, pick("count"), pick("seconds")) if mode == "suppress" else state.counted(x, keyed, pick("count"), pick("seconds"), mode))
+            out = _plus(out, state.suppress(x, keyed, pick("count"), pick("seconds")) if mode == "suppress" else state.counted(x, keyed, pick("count"), pick("seconds"), mode))
         m = out
     return m
 
@@ -184,6 +209,8 @@ def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None) -> D
         m = candidates(events, level, t.templates)
         if stopped is not None:
             m = m.join(stopped, "event_seq", "left").where(F.col("stop").isNull() | (F.col("rule_pos") < F.col("stop"))).drop("stop")
+        if _readings(level) > 1:
+            m = cut(m)
         m = _rate(_bits(_gate(m, level, t), level, xops, fsets, funsets), level)
         if level is not levels[-1]:  # read again by each later stage
             m = cut(m)
