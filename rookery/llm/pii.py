@@ -11,6 +11,7 @@ reach nearly all of it are removed.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -146,16 +147,25 @@ def _sum(h, c):
     return h[s], np.add.reduceat(c, s) if len(s) else c
 
 
-def disclosures(docs: DataFrame, window: int = 10, support: int = 3, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__key, terms, removed): per document the hashes of words that give away an entity it names.
+def unlikely(own, both, rate):
+    """-ln of Chernoff's bound on the chance of `both` or more of `own` trials at this rate; exact where both = own."""
+    a = both / own
+    rest = F.when(both < own, (1 - a) * F.log((1 - a) / (1 - rate))).otherwise(0.0)
+    return F.when(a > rate, own * (a * F.log(a / rate) + rest)).otherwise(0.0)
+
+
+def judged(docs: DataFrame, window: int = 10, share: float = 0.8, chance: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every entity with every word near it: (entity, term, own, n, docs, total, part, told); and the mentions they come from.
 
     n(e) and n(t, e) count distinct contexts, so that copies of one passage are
-    one piece of evidence; pairs of fewer than `support` are no evidence.
-    n(t) and N count documents. Documents without such words have no row.
+    one piece of evidence; n(t) and N count documents. Rare entities are judged
+    like others: a word tells if its part of IC(e) is at least `share` and if
+    so many contexts with it would come about by chance in at most a part
+    `chance` of cases. Of one context that is n(t) / N.
     """
     keyed = X.with_row_key(docs, id_col, text_col).where("__text is not null")
     near = X.written(keyed.select("__key", "__text").mapInArrow(_mentions(pattern(), window), "__key long, entity long, term long, context long"), "mentions")
-    pair = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    pair = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
     pair = X.written(pair, "pairs")
     terms = pair.where("term <> 0").select("term").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(terms, "term"))
@@ -164,7 +174,18 @@ def disclosures(docs: DataFrame, window: int = 10, support: int = 3, share: floa
     own = pair.where("term = 0").select("entity", F.col("n").alias("own"))
     info = pair.where("term <> 0").join(own, "entity").join(df, "term").crossJoin(F.broadcast(total))
     part = F.log2(F.col("total") * F.col("n") / (F.col("docs") * F.col("own"))) / F.log2(F.col("total") / F.col("own"))
-    told = info.where("total > own").withColumn("part", part).where(F.col("part") >= share).select("entity", "term", (F.col("part") >= (1 + share) / 2).alias("all"))
+    rate = F.least(F.lit(1.0), F.col("docs") / F.col("total"))
+    sure = unlikely(F.col("own"), F.col("n"), rate) >= -math.log(chance) - 1e-9
+    return near, info.where("total > own").withColumn("part", part).withColumn("told", (F.col("part") >= share) & sure)
+
+
+def disclosures(docs: DataFrame, window: int = 10, share: float = 0.8, chance: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__key, terms, removed): per document the hashes of words that give away an entity it names (see judged).
+
+    Documents without such words have no row.
+    """
+    near, info = judged(docs, window, share, chance, id_col, text_col)
+    told = info.where("told").select("entity", "term", (F.col("part") >= (1 + share) / 2).alias("all"))
     mine = near.where("term = 0").select("__key", "entity").distinct().join(told, "entity")
     return X.written(mine.groupBy("__key").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("all"), F.col("term"))).alias("removed")), "told")
 
@@ -229,14 +250,14 @@ def _cleaned(rx, text_at, size_at, terms_at):
 BROADCAST_ROWS = 50_000
 
 
-def sanitise(docs: DataFrame, window: int = 10, support: int = 3, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def sanitise(docs: DataFrame, window: int = 10, share: float = 0.8, chance: float = 0.01, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The documents, identifiers and revealing words replaced in their texts; size_col, where it exists, follows.
 
     Texts without either come back as they are; null and empty ones too. Rows
     equal in id and text share their verdict, null ids are like any other. All
     other columns are kept, whatever their names. An empty table stays empty.
     """
-    told = disclosures(docs, window, support, share, id_col, text_col)
+    told = disclosures(docs, window, share, chance, id_col, text_col)
     at = docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None
     if told.isEmpty():

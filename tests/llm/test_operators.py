@@ -270,6 +270,14 @@ def test_pii(spark, docs):
     assert again.columns == docs.columns and "zorbulon" not in {r.doc_id: r for r in again.collect()}[800].text
 
 
+def test_pii_judges_entities_of_one_context(spark):
+    rng = random.Random(6)
+    plain = [(i, words(rng, 30, 90)) for i in range(400)]
+    got = {r.doc_id: r for r in pii.sanitise(frame(spark, [*plain, (900, "w1 w2 quibblewort w3 mail once@only.org w4 w5")])).collect()}
+    assert "quibblewort" not in got[900].text and "w2" in got[900].text and "once" not in got[900].text
+    assert all(got[i].text == t for i, t in plain)
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
