@@ -78,13 +78,13 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 def _mentions(rx, window):
-    """One row an entity of a document and word within `window` words: entity, word, hash of the whole context."""
-    schema = pa.schema([("__key", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
+    """One row an entity of a document and word within `window` words: entity and word, with the document's digest."""
+    schema = pa.schema([("__key", pa.int64()), ("digest", pa.int64()), ("entity", pa.int64()), ("term", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            keys, col = batch.column(0), K.strings(batch.column(1))
-            rows, ents, terms, ctxs, of, words = [], [], [], [], [], []
+            keys, digests, col = batch.column(0), batch.column(1), K.strings(batch.column(2))
+            rows, texts, ents, terms, of, words = [], [], [], [], [], []
             n = 0
             for r in np.flatnonzero(_hints(col)):
                 text = col[int(r)].as_py()
@@ -96,34 +96,30 @@ def _mentions(rx, window):
                     words.append(f"{kind}_" + re.sub(r"\W", "_", text[s:e]))
                     words += near
                     rows.append(keys[int(r)].as_py())
+                    texts.append(digests[int(r)].as_py())
                     of.append((n, len(near)))
                     n += 1 + len(near)
             if not rows:
                 continue
             h = _hash(words)
-            with np.errstate(over="ignore"):
-                for key, (a, m) in zip(rows, of):
-                    near = h[a + 1 : a + 1 + m]
-                    ctx = K.fmix(np.array([(near * (np.arange(m, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum()], np.uint64))[0]
-                    near = np.unique(near)
-                    rows_n = len(near)
-                    ents.append(np.full(rows_n + 1, h[a]))
-                    terms.append(np.append(near, np.uint64(0)))
-                    ctxs.append(np.full(rows_n + 1, ctx))
+            for a, m in of:
+                near = np.unique(h[a + 1 : a + 1 + m])
+                ents.append(np.full(len(near) + 1, h[a]))
+                terms.append(np.append(near, np.uint64(0)))
             count = [len(x) for x in terms]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), count)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (ents, terms, ctxs))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array(x, np.int64), count)) for x in (rows, texts)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (ents, terms))], schema=schema)
 
     return run
 
 
 def _frequencies(bits):
-    """Documents of each word that the bitmap lets pass, summed over a task."""
+    """Documents of each word that the bitmap lets pass, each by its weight, summed over a task."""
 
     def run(batches):
         held = bits.value
-        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hashes, counts = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            col = K.strings(batch.column(0))
+            col, weight = K.strings(batch.column(0)), batch.column(1).to_numpy()
             for lo, hi in K.slices(col):
                 t = K.tokenise(col.slice(lo, hi - lo))
                 on = in_bitmap(held, t.hash)
@@ -131,7 +127,7 @@ def _frequencies(bits):
                 o = np.lexsort((row, h))
                 h, row = h[o], row[o]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, bool)
-                hashes, counts = np.concatenate([hashes, h[new]]), np.concatenate([counts, np.ones(int(new.sum()), np.int64)])
+                hashes, counts = np.concatenate([hashes, h[new]]), np.concatenate([counts, weight[lo + row[new]]])
             if len(hashes) > 1 << 20:
                 hashes, counts = _sum(hashes, counts)
         hashes, counts = _sum(hashes, counts)
@@ -157,20 +153,25 @@ def unlikely(own, both, rate):
 def judged(docs: DataFrame, window: int = 10, share: float = 0.8, chance: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Every entity with every word near it: (entity, term, own, n, docs, total, part, told); and the mentions they come from.
 
-    n(e) and n(t, e) count distinct contexts, so that copies of one passage are
-    one piece of evidence; n(t) and N count documents. Rare entities are judged
-    like others: a word tells if its part of IC(e) is at least `share` and if
-    so many contexts with it would come about by chance in at most a part
-    `chance` of cases. Of one context that is n(t) / N.
+    own = n(e), n = n(t, e), docs = n(t) and total = N all count distinct texts,
+    so copies weigh nothing and a passage in several texts weighs the same in
+    each. Rare entities are judged like others: a word tells if its part of
+    IC(e) is at least `share` and if so many texts with it would come about by
+    chance in at most a part `chance` of cases. Of one text that is n(t) / N.
     """
     keyed = X.with_row_key(docs, id_col, text_col).where("__text is not null")
-    near = X.written(keyed.select("__key", "__text").mapInArrow(_mentions(pattern(), window), "__key long, entity long, term long, context long"), "mentions")
-    pair = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
+    keyed = keyed.withColumn("__digest", F.xxhash64("__text"))
+    near = X.written(keyed.select("__key", "__digest", "__text").mapInArrow(_mentions(pattern(), window), "__key long, digest long, entity long, term long"), "mentions")
+    pair = near.groupBy("entity", "term").agg(F.countDistinct("digest").alias("n"))
     pair = X.written(pair, "pairs")
     terms = pair.where("term <> 0").select("term").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(terms, "term"))
-    df = keyed.select("__text").mapInArrow(_frequencies(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("docs"))
-    total = docs.agg(F.count("*").alias("total"))
+    # every copy of a text has the same words, so each counts for its part of one
+    texts = X.written(keyed.groupBy("__digest").agg(F.count("*").alias("copies")), "texts")
+    again = X.written(texts.where("copies > 1"), "again")
+    weighed = keyed.select("__text", "__digest").join(X.small_side(again), "__digest", "left").select("__text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    df = weighed.mapInArrow(_frequencies(bits), "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("docs"))
+    total = texts.agg(F.count("*").alias("total"))
     own = pair.where("term = 0").select("entity", F.col("n").alias("own"))
     info = pair.where("term <> 0").join(own, "entity").join(df, "term").crossJoin(F.broadcast(total))
     part = F.log2(F.col("total") * F.col("n") / (F.col("docs") * F.col("own"))) / F.log2(F.col("total") / F.col("own"))

@@ -278,6 +278,17 @@ def test_pii_judges_entities_of_one_context(spark):
     assert all(got[i].text == t for i, t in plain)
 
 
+def test_pii_copies_weigh_nothing(spark):
+    rng = random.Random(7)
+    plain = [(i, words(rng, 30, 90)) for i in range(150)]
+    near = [(800 + i, f"{words(rng, 4, 90)} quibblewort {words(rng, 4, 90)} mail four@times.org") for i in range(4)]
+    copies = [(1000 + i, near[0][1]) for i in range(300)]
+    info = {tuple(r) for r in pii.judged(frame(spark, plain + near + copies))[1].where("n = 4").select("own", "n", "docs", "total", "part").collect()}
+    assert info == {(4, 4, 4, 154, 1.0)}
+    got = pii.sanitise(frame(spark, plain + near + copies)).collect()
+    assert len(got) == 454 and not [r for r in got if "quibblewort" in r.text]
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
