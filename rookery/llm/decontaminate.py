@@ -2,12 +2,16 @@
 
 A mask marks the token positions of a window that count; the others may differ.
 Hashes of all masked windows of the benchmark are joined with those of the
-documents, and each hit is verified along its diagonal: the best stretch in
+documents, and each hit is verified along its diagonal: the longest stretch in
 which enough tokens agree, substitutions allowed, has to be long enough.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,14 +20,37 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textkernel as K
 
-MASKS = ("1110110111", "110101111011", "11101001101011")
+#: One of these fits 283 of the 286 ways in which 3 of 13 tokens differ.
+MASKS = ("11101011", "1100100111", "111111", "1011000111", "1110001011")
+#: Items of fewer tokens have masks of their length, of which one fits wherever few enough tokens differ.
+SHORT = 13
 MAX_BITS = 1 << 28
 PROBES = 6
 
 
-def _masks(lengths: list[int], masks: tuple[str, ...], whole: int) -> list[str]:
-    """The masks, and a full one for each length of items that no mask fits."""
-    return [*masks, *("1" * n for n in lengths if whole <= n < min(map(len, masks)))]
+@cache
+def short_masks(n: int, share: float) -> tuple[str, ...]:
+    """Masks of n positions or fewer, one of which fits however many of n tokens may differ at this share; greedily chosen."""
+    k = n - ceil(share * n - 1e-9)
+    weight = min(6, n - k, max(4, n - 2 * k))
+    ways = np.array([[i in c for i in range(n)] for c in combinations(range(n), k)])
+    fits = {}
+    for span in range(weight, n + 1):
+        for inner in combinations(range(1, span - 1), max(0, weight - 2)):
+            on = np.array(sorted({0, *inner, span - 1}))
+            fits["".join("1" if i in on else "0" for i in range(span))] = np.any([~ways[:, on + at].any(1) for at in range(n - span + 1)], axis=0)
+    names, fits, out = list(fits), np.array(list(fits.values())), []
+    left = np.ones(len(ways), bool)
+    while left.any():
+        best = int(np.argmax((fits & left).sum(1)))
+        out.append(names[best])
+        left &= ~fits[best]
+    return tuple(out)
+
+
+def _masks(lengths, share: float) -> list[tuple[str, int]]:
+    """The masks with 0, and those for items of each of the lengths, with the length."""
+    return [*((m, 0) for m in MASKS), *((m, n) for n in lengths for m in short_masks(n, share))]
 
 
 def masked_hashes(t: K.Tokens, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -41,16 +68,17 @@ def masked_hashes(t: K.Tokens, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, K.fmix(h[at])
 
 
-def best_stretch(equal: np.ndarray, penalty: int = 3) -> tuple[int, int]:
-    """Stretch with the greatest sum of +1 for equal and -penalty for other tokens."""
-    s = np.concatenate(([0], np.cumsum(np.where(equal, 1, -penalty))))
+def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """The longest stretch of which at least this share is equal, the first of several."""
+    s = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - share, -share))))
     low = np.minimum.accumulate(s)
-    b = int(np.argmax(s - low))
-    a = int(np.flatnonzero(s[: b + 1] == low[b])[-1])
-    return a, b
+    # the first start whose sum is not above that of the end
+    start = np.searchsorted(-low, -(s + 1e-9), "left")
+    b = int(np.argmax(np.arange(len(s)) - start))
+    return int(start[b]), b
 
 
-def _items(masks, whole):
+def _items(masks):
     """Rows of the benchmark: item, tokens, and its masked hashes with positions."""
 
     def run(batches):
@@ -60,10 +88,10 @@ def _items(masks, whole):
             first = t.first()
             size = np.diff(first)
             rows, hashes, at = [], [], []
-            for m in masks:
+            for m, length in masks:
                 where, h = masked_hashes(t, m)
-                if "0" not in m and len(m) < min(len(x) for x in MASKS):
-                    on = size[t.row[where]] == len(m)
+                if length:
+                    on = size[t.row[where]] == length
                     where, h = where[on], h[on]
                 rows.append(t.row[where]), hashes.append(h), at.append(where - first[t.row[where]])
             rows, hashes, at = map(np.concatenate, (rows, hashes, at))
@@ -174,9 +202,9 @@ def _verify(least, share):
                 d, q = np.frombuffer(seg.as_buffer(), np.uint64), np.frombuffer(item.as_buffer(), np.uint64)
                 lo, hi = max(0, shift), min(len(d), shift + len(q))
                 equal = d[lo:hi] == q[lo - shift : hi - shift]
-                a, b = best_stretch(equal)
+                a, b = longest_stretch(equal, share)
                 n = int(equal[a:b].sum())
-                if b - a >= min(least, len(q)) and n >= share * (b - a):
+                if b - a >= min(least, len(q)):
                     keep.append(i), starts.append(c["start"][i].as_py() + lo + a), sizes.append(b - a), matches.append(n)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], names=batch.schema.names[:3]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32())], names=["__id", "__key", "__item", "first_token", "n_tokens", "n_equal"])
@@ -188,20 +216,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     """Verified overlaps: (__id, __key, __item, first_token, n_tokens, n_equal), the longest of each document and item.
 
     least: tokens an overlap needs, or the item's length where that is less.
-    share: part of its tokens that must agree. Items that no mask fits are
-    searched whole; items of under `whole` tokens match nothing.
+    share: part of its tokens that must agree. Items of under `whole` tokens
+    match nothing.
     """
     items_in = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     kind = items_in.schema["item"].dataType.simpleString()
-    every = tuple("1" * n for n in range(whole, min(map(len, MASKS))))
-    items = X.written(items_in.mapInArrow(_items((*MASKS, *every), whole), f"item {kind}, size int, tokens binary, hashes array<long>, at array<int>"), "items")
+    items = X.written(items_in.mapInArrow(_items(_masks(range(whole, SHORT), share)), f"item {kind}, size int, tokens binary, hashes array<long>, at array<int>"), "items")
     hashes = items.select("item", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("item", F.col("x.hashes").alias("h"), F.col("x.at").alias("p"))
-    stat = items.agg(F.max("size"), F.array_sort(F.collect_set(F.when(F.col("size") < min(map(len, MASKS)), F.col("size"))))).first()
-    reach = int(stat[0] or 0) + max(map(len, MASKS))
+    stat = items.agg(F.max("size"), F.array_sort(F.collect_set(F.when(F.col("size").between(whole, SHORT - 1), F.col("size"))))).first()
+    reach = int(stat[0] or 0) + SHORT
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(hashes, "h"))
     keyed = X.with_row_key(docs, id_col, text_col).where("__text is not null").select("__id", "__key", "__text")
     idk = keyed.schema["__id"].dataType.simpleString()
-    seg = X.written(keyed.mapInArrow(_segments(_masks(list(stat[1] or []), MASKS, whole), bits, reach), f"__id {idk}, __key long, start long, tokens binary, hashes array<long>, at array<int>"), "segments")
+    seg = X.written(keyed.mapInArrow(_segments(list(dict.fromkeys(m for m, _ in _masks(stat[1] or [], share))), bits, reach), f"__id {idk}, __key long, start long, tokens binary, hashes array<long>, at array<int>"), "segments")
     hit = seg.select("__key", "start", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("__key", "start", F.col("x.hashes").alias("h"), F.col("x.at").alias("d"))
     hit = hit.join(hashes, "h").select("__key", "start", "item", (F.col("d") - F.col("p")).alias("shift")).distinct()
     both = hit.join(seg.select("__id", "__key", "start", "tokens"), ["__key", "start"]).join(items.select("item", F.col("tokens").alias("item_tokens")), "item")

@@ -177,6 +177,25 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.leaks(both, bench.limit(0)).count() == 0 and decontaminate.leaks(both.limit(0), bench).count() == 0
 
 
+def test_decontamination_recall(spark):
+    rng = random.Random(12)
+    items, texts, want = [], [], collections.defaultdict(set)
+    for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 20, 25, 37):
+        for rate in (0.1, 0.2):
+            for _ in range(30):
+                i = len(items)
+                q = words(rng, n, 5000).replace(".", "").split()
+                d = [f"x{rng.randrange(5000)}" if rng.random() < rate else w for w in q]
+                same = [a == b for a, b in zip(q, d)]
+                if any(sum(same[a:b]) >= 0.75 * (b - a) for a in range(n) for b in range(a + min(13, n), n + 1)):
+                    want[n, rate].add(i)
+                items.append((i, " ".join(q)))
+                texts.append((i, f"{words(rng, 20, 5000)} {' '.join(d)} {words(rng, 20, 5000)}"))
+    got = {r.doc_id for r in decontaminate.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id == r.item_id}
+    assert all(len(w & got) >= 0.9 * len(w) for w in want.values())
+    assert got <= set().union(*want.values())
+
+
 def test_mixing(spark, docs):
     sizes = {"a": 100.0, "b": 900.0, "c": 50.0, None: 10.0}
     d = spark.createDataFrame([(i, s, int(n / 10)) for s, n in sizes.items() for i in range(10)], "doc_id long, source string, n_chars long")
