@@ -338,7 +338,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: st
 
 
 def near_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents with Jaccard >= threshold: (doc_id, match_id, jaccard), each pair once, the lesser id first.
+    """All pairs of documents with Jaccard >= threshold: (doc_id, match_id, jaccard), each pair once, the lesser id first, null last.
 
     Rows equal in id and text are one document (see jaccard_join), so no pair
     joins them; a pair of different rows of one id is reported as (id, id).
@@ -346,13 +346,14 @@ def near_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str
     j = jaccard_join(docs, n, threshold, id_col, text_col)
     named = j.keys.join(j.sets, j.keys["__key"] == j.sets["key"]).select("rep", "key", "__id").distinct()
     place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
-    lists = named.select("rep", "__id", F.floor((place - 1) / CHUNK).alias("chunk")).groupBy("rep", "chunk").agg(F.collect_list("__id").alias("ids"))
+    ident = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))  # lists drop nulls, least() skips them
+    lists = named.select("rep", ident.alias("__id"), F.floor((place - 1) / CHUNK).alias("chunk")).groupBy("rep", "chunk").agg(F.collect_list("__id").alias("ids"))
     lists = X.written(lists, "lists")
     one, two = lists.select(F.col("rep").alias("a"), F.col("chunk").alias("ca"), F.col("ids").alias("x")), lists.select(F.col("rep").alias("b"), F.col("chunk").alias("cb"), F.col("ids").alias("y"))
     across = j.pairs.join(one, "a").join(two, "b").select("x", F.explode("y").alias("q"), "jaccard").select(F.explode("x").alias("p"), "q", "jaccard")
     again = one.join(two, F.col("a") == F.col("b")).where("ca <= cb and (ca < cb or size(x) > 1)")
     within = again.select("x", F.posexplode("y").alias("j", "q"), (F.col("ca") == F.col("cb")).alias("own")).select(F.posexplode("x").alias("i", "p"), "j", "q", "own").where("not own or i < j").select("p", "q", F.lit(1.0).alias("jaccard"))
-    return across.union(within).select(F.least("p", "q").alias(id_col), F.greatest("p", "q").alias("match_id"), "jaccard")
+    return across.union(within).select(F.least("p", "q")["id"].alias(id_col), F.greatest("p", "q")["id"].alias("match_id"), "jaccard")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,10 +370,11 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: str =
     near = j.keys.join(group, j.keys["__key"] == group["key"]).select("__key", "__id", "group")
     w = Window.partitionBy("group").orderBy(F.col("__id").asc_nulls_last(), "__key")
     placed = near.withColumn("__n", F.row_number().over(w))
-    # rows equal in id and text share a key; one of them is kept below
-    gone = placed.where("__n > 1").groupBy("__key").agg(F.min("__n").alias("__least"), F.count("*").alias("__rows"))
-    firsts = placed.where("__n = 1").select("__key", F.lit(True).alias("__first"))
-    verdict = X.written(gone.join(firsts, "__key", "full_outer").select("__key", F.coalesce("__first", F.lit(False)).alias("__first"), F.coalesce("__rows", F.lit(0)).alias("__rows")).where("not __first or __rows > 0"), "verdict")
+    lost = placed.groupBy("__key").agg(F.min("__n").alias("__least")).where("__least > 1").select("__key", F.lit(False).alias("__first"))
+    # rows equal in id and text share a key, whether they have partners or not; one of them is kept below
+    wordy = X.with_row_key(docs, id_col, text_col).where(F.col("__text").rlike(r"[0-9A-Za-z_\x{80}-\x{10FFFF}]"))
+    again = wordy.groupBy("__key").agg(F.count("*").alias("__rows")).where("__rows > 1").select("__key", F.lit(True).alias("__first"))
+    verdict = X.written(lost.unionByName(again.join(lost, "__key", "left_anti")), "verdict")
     packed = docs.select(F.struct("*").alias("__row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
     judged = packed.join(X.small_side(verdict.select("__key", "__first")), "__key", "left").where("__first is null or __first")
     if verdict.where("__first").isEmpty():

@@ -146,6 +146,16 @@ def test_keep_one(docs, rows):
     assert ids.count(0) == 1
 
 
+def test_repeated_rows_and_null_ids(spark):
+    rng = random.Random(13)
+    one, two, near = words(rng, 60, 9000), words(rng, 60, 9000), words(rng, 60, 9000)
+    some = [(1, one), (1, one), (1, one), (2, two), (3, None), (3, None), (4, " - "), (4, " - "), (None, near), (None, near + " a"), (5, near + " b"), (5, near + " b")]
+    kept = collections.Counter(r.doc_id for r in ngram_join.keep_one(frame(spark, some)).collect())
+    assert kept == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1}
+    pairs = collections.Counter((r.doc_id, r.match_id) for r in ngram_join.near_pairs(frame(spark, some)).collect())
+    assert pairs == {(5, None): 2, (None, None): 1}
+
+
 def test_substring_dedup(docs, rows):
     got = substring_dedup.repeats(docs).collect()
     flagged = {r.doc_id for r in got} | {k for r in got for k in r.kept_ids}
