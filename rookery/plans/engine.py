@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_scan
+from ..functions.net import ip_key, ip_scan
 from ..operators import lookups, state
 from ..operators.cut import cut
 from .compiler import NONE, Templates, candidates
@@ -129,8 +129,21 @@ def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
             track, inside, codes = r.country
             x = lookups.country(x, t.geo, "src_ip" if track == "by_src" else "dst_ip", codes, inside, t.geo_skip) if t.geo is not None else x.where("false")
         for kind, track, cats, mdate, cdate in r.reputation:
-            column = {"by_src": "src_ip", "by_dst": "dst_ip"}.get(track, {"ip_reputation": "src_ip", "file_hash": "md5", "url": "url", "filename": "filename", "ja3": "ja3"}.get(kind, "src_ip"))
-            x = lookups.reputation(x, t.reputation, kind, column, cats, t.categories, mdate, cdate) if t.reputation is not None else x.where("false")
+            if t.reputation is None:
+                x = x.where("false")
+                continue
+            look = lambda df, column, kind=kind, cats=cats, mdate=mdate, cdate=cdate: lookups.reputation(df, t.reputation, kind, column, cats, t.categories, mdate, cdate)
+            if kind == "ip_reputation" and track not in ("both", "all") or kind in ("url", "filename", "ja3"):
+                x = look(x, {"ip_reputation": "dst_ip" if track == "by_dst" else "src_ip"}.get(kind, kind))
+                continue
+            if kind == "file_hash":
+                values = F.array("md5", "sha1", "sha256")
+            elif track == "both":  # both have to be valid, as for block lists
+                values = F.when(ip_key(F.col("src_ip")).isNotNull() & ip_key(F.col("dst_ip")).isNotNull(), F.array("src_ip", "dst_ip"))
+            else:
+                values = F.transform(ip_scan(F.col("message")), lambda s: s["ip"])
+            hit = look(x.select("event_seq", "event_time", F.explode(values).alias("__value")), "__value")
+            x = x.join(hit.select("event_seq").distinct(), "event_seq", "left_semi")
         if r.offload:
             call = t.offload.get(r.offload)
             x = x.where(call(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("host", "facility", "priority", "level", "tag", "program", "message") if c in x.columns)))) if call else x.where("false")

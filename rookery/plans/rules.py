@@ -476,6 +476,10 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
             m = re.fullmatch(r"type\s+(\w+)\s*(?:,\s*track\s+(\w+)\s*)?((?:,\s*(?:mdate|cdate)_effective_period\s+[\w ]+)*),\s*(.*)", v)
             if not m:
                 raise RuleError(f"reputation: {v!r}")
+            if m[1] not in ("ip_reputation", "file_hash", "url", "filename", "ja3"):
+                raise RuleError(f"reputation: unknown type {m[1]!r}")
+            if m[2] and m[2] not in ("by_src", "by_dst", "both", "all"):
+                raise RuleError(f"reputation: unknown track {m[2]!r}")
             per = {k: to_seconds(p) for k, p in re.findall(r"(mdate|cdate)_effective_period\s+([\w ]+)", m[3])}
             r.reputation.append((m[1], m[2] or "", [x.strip().lower() for x in m[4].split(",")], per.get("mdate"), per.get("cdate")))
     for need in ("msg", "sid", "rev"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rookery.operators import state
 from rookery.plans import engine
 from rookery.plans.rules import RuleError, load_variables, parse_rule, parse_rules, pcre_to_java, to_seconds, unhex
+from rookery.sources.logs import documents_as_logs
 
 HEAD = "alert any any any -> any any"
 
@@ -122,3 +123,21 @@ def test_streams_equal_batches(spark, tmp_path, mode):
         res = state.simulate_bits([{"op": o, "name": "n", "key": k, "t": t, "expire": 10} for _, t, k, _, o in rows])
         want = {i for i, ok in zip([i for i, _, _, _, o in rows if o.startswith("is")], res) if ok}
     assert got == want
+
+
+def test_reputation_tracks_and_hashes(spark):
+    sha1, sha256, md5 = "ab" * 20, "cd" * 32, "ef" * 16
+    texts = ["from 8.8.8.8 to 9.9.9.9 by 7.7.7.7", "from 9.9.9.9 to 8.8.8.8 by 7.7.7.7", "from 8.8.8.8 to 7.7.7.7 by 9.9.9.9", "from 9.9.9.9", f"file {sha1} x", f"file {sha256} x", f"file {md5} x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rep = spark.createDataFrame([("ip_reputation", "9.9.9.9", 1, 0, 0), *[("file_hash", x, 1, 0, 0) for x in (sha1, sha256, md5)]], "kind string, value string, code int, ctime long, mtime long")
+
+    def got(option):
+        rules = parse_rules(f'{HEAD} (msg:"a"; parse_src_ip: 1; parse_dst_ip: 2; parse_hash: md5; parse_hash: sha1; parse_hash: sha256; reputation: {option}, bad; sid:1; rev:1;)')
+        return sorted(r.event_seq for r in engine.run(documents_as_logs(docs), rules, engine.Tables(reputation=rep, categories={"bad": 1})).collect())
+
+    assert got("type ip_reputation, track by_dst") == [0] and got("type ip_reputation, track both") == [0, 1, 3]  # an address missing from the message is the host
+    assert got("type ip_reputation, track all") == [0, 1, 2, 3] and got("type ip_reputation, track by_src") == [1, 3]
+    assert got("type file_hash") == [4, 5, 6]
+    for bad in ("type ip_reputation, track any", "type unknown"):
+        with pytest.raises(RuleError):
+            got(bad)
