@@ -60,8 +60,21 @@ def op4_fingerprints(spark, d):
 
 
 def op5_ngram_join(spark, d):
-    """All pairs of documents whose word 5-gram sets have a Jaccard similarity of 0.5 or more."""
-    return ngram_join.near_pairs(_t(spark, d, "documents"), n=5, threshold=0.5)
+    """Every document that others equal or resemble (Jaccard of word 5-gram sets 0.5 or more), with its class and its links."""
+    return ngram_join.near_classes(_t(spark, d, "documents"), n=5, threshold=0.5)
+
+
+OP5_SQL = """
+with recursive w as materialized (select distinct doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') as w from documents where text is not null),
+k as materialized (select doc_id, list_sort(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end)) as grams from w where len(w) > 0),
+s as materialized (select grams, len(grams) as size, count(*) as copies, min(doc_id) as rep from k group by grams),
+g as materialized (select row_number() over () as n, size, copies, rep, grams from s),
+u as materialized (select n, unnest(grams) as gram from g),
+p as materialized (select a.n as a, b.n as b from u a join u b on a.gram = b.gram and a.n <> b.n join g x on x.n = a.n join g y on y.n = b.n group by a.n, b.n, x.size, y.size having count(*) >= 0.5 * (x.size + y.size - count(*)) - 1e-9),
+r as (select n as node, n as top from g union select p.b, r.top from r join p on p.a = r.node),
+c as (select node, min(x.rep) as class_id from r join g x on x.n = r.top group by node)
+select k.doc_id, c.class_id, g.copies, (select count(*) from p where p.a = g.n) as links
+from k join g on g.grams = k.grams join c on c.node = g.n where g.copies > 1 or exists (select 1 from p where p.a = g.n)"""
 
 
 def op6_decontaminate(spark, d):
@@ -92,4 +105,4 @@ def op10_quality(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_substring_dedup, op4_fingerprints, op5_ngram_join, op6_decontaminate, op7_chat, op8_token_counts, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL, "op5_ngram_join": OP5_SQL}

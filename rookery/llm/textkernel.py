@@ -1,16 +1,18 @@
 """Vectorised tokenising and hashing of whole Arrow batches of texts.
 
-A word is a maximal run of ASCII letters, digits, underscores and bytes over
-127; everything else separates. Words are lower-cased and hashed to 64 bits
-with prefix sums over the bytes, so no Python code runs per word. Texts of any
-length are taken whole; long ones are cut into pieces at separators and the
-tokens joined again.
+A word is a maximal run of Unicode letters, marks, numbers and underscores;
+everything else separates. In scripts that are written without blanks (Han,
+kana, Thai, Lao, Khmer, Burmese) every character is a word. Words are
+lower-cased and hashed to 64 bits with prefix sums over the bytes, so no Python
+code runs per word. Texts of any length are taken whole: long ones are gone
+through in pieces, and a word that a piece's end would cut begins the next one.
 """
 
 from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,17 +52,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return c["pow"], c["inv"]
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+#: Scripts without blanks between words.
+ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+
+
+def _tables(classes: str = "word") -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each byte; class of each code point under 2^17: 0 separates, 1 is part of a word, 2 is a word."""
     c = _cache()
     if "lut" not in c:
         c["lut"] = fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-        word = np.zeros(256, bool)
-        for a, b in ((48, 58), (65, 91), (95, 96), (97, 123), (128, 256)):
-            word[a:b] = True
-        space = np.ones(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = False
-        c["word"], c["nonspace"] = word, space
-    return c["lut"], c["word"]
+    if classes not in c:
+        if classes == "word":
+            t = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(1 << 17)], np.uint8)
+            t[95] = 1
+            for a, b in ALONE:
+                t[a : b + 1] *= 2
+        else:
+            t = np.array([not chr(i).isspace() for i in range(1 << 17)], np.uint8)
+        c[classes] = t
+    return c["lut"], c[classes]
+
+
+def _class_of(cp: np.ndarray, table: np.ndarray, classes: str) -> np.ndarray:
+    """Class of code points; past 2^17 there are Han characters, variation selectors and nothing else that is part of a word."""
+    out = table[np.minimum(cp, len(table) - 1)]
+    far = cp >= len(table)
+    if far.any():
+        out[far] = np.where(cp[far] < 0x40000, 2, (cp[far] >= 0xE0100) & (cp[far] <= 0xE01EF)) if classes == "word" else 1
+    return out
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -107,19 +126,41 @@ class Tokens:
         return np.searchsorted(self.row, np.arange(self.rows + 1))
 
 
-def _piece(buf: np.ndarray, offs: np.ndarray, is_token: np.ndarray):
-    lut, _ = _tables()
+def _piece(buf: np.ndarray, offs: np.ndarray, classes: str):
+    """Row, hash, start and end of the tokens of some bytes, which hold whole characters."""
+    lut, table = _tables(classes)
     n = len(buf)
     power, inverse = _powers(n + 1)
-    w = is_token[buf]
+    w = (table[:256] > 0)[buf]
+    lead = np.flatnonzero(buf >= 0xC2)
+    alone = None
+    if len(lead):
+        far = np.append(buf, np.zeros(3, np.uint8))
+        c0, c1, c2, c3 = (far[lead + k].astype(np.int32) for k in range(4))
+        c1, c2, c3 = c1 & 63, c2 & 63, c3 & 63
+        size = 2 + (c0 >= 0xE0) + (c0 >= 0xF0)
+        cp = np.where(size == 2, ((c0 & 31) << 6) | c1, np.where(size == 3, ((c0 & 15) << 12) | (c1 << 6) | c2, ((c0 & 7) << 18) | (c1 << 12) | (c2 << 6) | c3))
+        kind = _class_of(cp, table, classes)
+        for k in range(4):
+            on = size > k
+            w[lead[on] + k] = kind[on] > 0
+        if (kind == 2).any():
+            alone = lead[kind == 2], size[kind == 2]
     before, after = np.empty(n, bool), np.empty(n, bool)
     np.greater(w[1:], w[:-1], out=before[1:])
     np.greater(w[:-1], w[1:], out=after[:-1])
     inner = offs[(offs >= 0) & (offs < n)]
     before[inner] = w[inner]
+    before[0] = w[0]
     after[n - 1] = w[n - 1]
     inner = offs[(offs > 0) & (offs < n)]
     after[inner - 1] = w[inner - 1]
+    if alone is not None:
+        at, size = alone
+        before[at] = after[at + size - 1] = True
+        after[at[at > 0] - 1] = w[at[at > 0] - 1]
+        past = (at + size)[at + size < n]
+        before[past] = w[past]
     start = np.flatnonzero(before)
     end = np.flatnonzero(after) + 1
     with np.errstate(over="ignore"):
@@ -134,22 +175,29 @@ def tokenise(col: pa.Array, lower: bool = True, classes: str = "word") -> Tokens
     if lower:
         col = pc.utf8_lower(col)
     buf, offs = buffers(col)
-    is_token = (_tables(), _cache()[classes])[1]
     rows, hashes, starts, ends = [], [], [], []
-    a, n = 0, len(buf)
+    a, n, most = 0, len(buf), PIECE
     while a < n:
-        b = min(a + PIECE, n)
+        b, inside = min(a + most, n), False
         if b < n:
             at = int(np.searchsorted(offs, b, "right")) - 1
             if offs[at] > a:
                 b = int(offs[at])
-            else:  # inside one long text: cut where a token ends
-                gap = np.flatnonzero(~is_token[buf[a:b]])
-                b = a + int(gap[-1]) + 1 if len(gap) else b
+            else:  # inside one long text: cut between two characters
+                inside = True
+                while b > a + 1 and buf[b] & 0xC0 == 0x80:
+                    b -= 1
         lo = int(np.searchsorted(offs, a, "right")) - 1
         hi = int(np.searchsorted(offs, b, "left"))
         local = np.clip(offs[lo : hi + 1] - a, 0, b - a)
-        r, h, s, e = _piece(buf[a:b], local, is_token)
+        r, h, s, e = _piece(buf[a:b], local, classes)
+        if inside and len(e) and e[-1] == b - a:  # the cut may be inside this token
+            if s[-1] == 0:
+                most *= 2  # nor does it begin here
+                continue
+            b = a + int(s[-1])
+            r, h, s, e = r[:-1], h[:-1], s[:-1], e[:-1]
+        most = PIECE
         rows.append(r + lo)
         hashes.append(h)
         starts.append(s + a)
