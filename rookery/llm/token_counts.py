@@ -180,31 +180,61 @@ def tree_of(text: str, memo: Memo) -> TokenTree:
     return TokenTree(np.fromiter(map(len, pieces), np.int64, len(pieces)), memo.counts(pieces))
 
 
-def trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, tree): each row's count and its packed tree; null texts have null in both."""
-    sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    kind = sub.schema["__id"].dataType.simpleString()
+def _with_trees(ranks_path: str):
+    """Rows of (id, text) with the count and the packed tree of each text."""
 
     def run(batches):
         memo = _memo(ranks_path)
         for b in batches:
             got = [tree_of(x.as_py(), memo) if x.is_valid else None for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g and g.tokens for g in got], pa.int64()), pa.array([g and g.pack() for g in got], pa.binary())], names=["__id", "tokens", "tree"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g and g.tokens for g in got], pa.int64()), pa.array([g and g.pack() for g in got], pa.binary())], names=[*b.schema.names, "tokens", "tree"])
+
+    return run
+
 
-    return sub.mapInArrow(run, f"__id {kind}, tokens long, tree binary").withColumnRenamed("__id", id_col)
+def kept_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __text, tokens, tree): every row with its text, count and packed tree, to be written and edited later."""
+    sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    kind = sub.schema["__id"].dataType.simpleString()
+    return sub.mapInArrow(_with_trees(ranks_path), f"__id {kind}, __text string, tokens long, tree binary")
+
+
+def trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, tokens, tree): each row's count and its packed tree; null texts have null in both.
+
+    text_key is 64 bits of id and text, by which edited() finds a tree.
+    """
+    k = kept_trees(docs, ranks_path, id_col, text_col)
+    return k.select(F.col("__id").alias(id_col), F.xxhash64("__id", "__text").alias("text_key"), "tokens", "tree")
+
+
+def apart(edits: list[dict], length: int) -> list[tuple[int, int, str]]:
+    """(start, end, new) in order, inside a text of this length, none of which overlap.
+
+    An edit that begins before the one ahead of it ends begins where that one
+    ends; so every edit is applied, and each character is replaced once.
+    """
+    out, at = [], 0
+    for s, e, new in sorted((x["start"], x["end"], x["new"]) for x in edits):
+        s = max(at, min(max(s, 0), length))
+        at = max(s, min(e, length))
+        out.append((s, at, new))
+    return out
 
 
 def edited(docs: DataFrame, kept: DataFrame, edits: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, tree, text) after edits(doc_id, start, end, new), from kept trees(doc_id, tree).
+    """(doc_id, tokens, tree, text) after edits(doc_id, start, end, new), from kept trees(doc_id, text_key, tree).
 
-    Offsets are characters of the text before any edit; edits of a document
-    must not overlap, of equal starts the one of the lesser end goes first.
-    Edits without a document are ignored; nulls in an edit void it; out of
-    range offsets are clipped. Only documents with edits have rows. Ids must be
-    unique in docs and kept.
+    Offsets are characters of the text before any edit; apart() says what
+    becomes of edits that overlap, edits given twice count once. Edits without
+    a document are ignored; nulls in an edit void it; out of range offsets are
+    clipped. Only documents with edits have rows: one for every different text
+    of an id, each with the tree of that text. Null ids and texts have none.
     """
-    e = edits.where("doc_id is not null and start is not null and end is not null and new is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "new")), asc=False).alias("e"))
-    j = e.join(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null"), "__id").join(kept.select(F.col(id_col).alias("__id"), "tree"), "__id").select("__id", "__text", "tree", "e")
+    e = edits.where("doc_id is not null and start is not null and end is not null and new is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("start", "end", "new")).alias("e"))
+    d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null").withColumn("text_key", F.xxhash64("__id", "__text"))
+    k = kept.select(F.col(id_col).alias("__id"), "text_key", "tree")
+    j = d.join(e, "__id").dropDuplicates(["__id", "text_key"]).join(k.dropDuplicates(["__id", "text_key"]), ["__id", "text_key"]).select("__id", "__text", "tree", "e")
     kind = j.schema["__id"].dataType.simpleString()
 
     def run(batches):
@@ -213,9 +243,8 @@ def edited(docs: DataFrame, kept: DataFrame, edits: DataFrame, ranks_path: str,
             n, t, x = [], [], []
             for text, tree, es in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 tree = TokenTree.unpack(tree)
-                for e in es:  # from the last: earlier offsets stay right
-                    s = min(max(e["start"], 0), len(text))
-                    text, _ = tree.edit(text, s, min(max(e["end"], s), len(text)), e["new"], memo)
+                for s, to, new in reversed(apart(es, len(text))):  # from the last: earlier offsets stay right
+                    text, _ = tree.edit(text, s, to, new, memo)
                 n.append(tree.tokens), t.append(tree.pack()), x.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(t, pa.binary()), pa.array(x, pa.string())], names=["__id", "tokens", "tree", "text"])
 
@@ -225,36 +254,32 @@ def edited(docs: DataFrame, kept: DataFrame, edits: DataFrame, ranks_path: str,
 def redaction_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens, tokens_after, edits, encoded_again): counts before and after identifiers are edited out.
 
-    Each row's tree is built once from the whole text; every identifier found
-    is an edit that replaces it by its kind and re-encodes its surroundings
-    alone. Null texts have null counts and no edits, empty ones 0 tokens; rows
-    are judged each by itself, and other columns are not read.
+    The trees of all rows are built from whole texts and written. Then every
+    identifier found is an edit that replaces it by its kind: the row's kept
+    tree is read, and the surroundings of its edits alone are encoded again.
+    Null texts have null counts and no edits, empty ones 0 tokens; rows are
+    judged each by itself, null ids stay null, and other columns are not read.
     """
-    sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    kind = sub.schema["__id"].dataType.simpleString()
+    kept = X.written(kept_trees(docs, ranks_path, id_col, text_col), "trees")
+    kind = kept.schema["__id"].dataType.simpleString()
 
     def run(batches):
         memo, rx = _memo(ranks_path), pattern()
         for b in batches:
+            tokens, trees_, out = b.column(2).to_pylist(), b.column(3), []
             hint = _hints(K.strings(b.column(1)))
-            out = []
-            for x, h in zip(b.column(1), hint.tolist()):
-                text = x.as_py()
-                if text is None:
-                    out.append((None, None, 0, 0))
-                    continue
-                spans = list(_spans(rx, text)) if h else []
+            for i, h in enumerate(hint.tolist()):
+                text = b.column(1)[i].as_py() if h else None
+                spans = list(_spans(rx, text)) if text else []
                 if not spans:
-                    n = int(memo.counts(memo.split(text)).sum())
-                    out.append((n, n, 0, 0))
+                    out.append((tokens[i], tokens[i], 0, 0))
                     continue
-                tree = tree_of(text, memo)
-                n, again = tree.tokens, 0
+                tree, again = TokenTree.unpack(trees_[i].as_py()), 0
                 for s, e, k in reversed(spans):
                     text, m = tree.edit(text, s, e, f"[{k}]", memo)
                     again += m
-                out.append((n, tree.tokens, len(spans), again))
+                out.append((tokens[i], tree.tokens, len(spans), again))
             cols = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["__id", "tokens", "tokens_after", "edits", "encoded_again"])
 
-    return sub.mapInArrow(run, f"__id {kind}, tokens long, tokens_after long, edits long, encoded_again long").withColumnRenamed("__id", id_col)
+    return kept.mapInArrow(run, f"__id {kind}, tokens long, tokens_after long, edits long, encoded_again long").withColumnRenamed("__id", id_col)
