@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -48,16 +48,11 @@ def _texts(form, bits):
     def run(batches):
         held = bits.value
         for batch in batches:
-            out = [[], [], [], []]
-            for i, v in enumerate(batch.column(1)):
-                c = canonical(v.as_py(), form).encode("utf-8", "surrogatepass")
-                d = xxhash.xxh3_128_digest(c)
-                lo = np.frombuffer(d, ">u8")[1:].astype(np.uint64)
-                if in_bitmap(held, K.fmix(lo))[0]:
-                    hi, low = np.frombuffer(d, ">i8").astype(np.int64).tolist()
-                    for o, x in zip(out, (i, hi, low, c)):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=[batch.schema.names[0], "hi", "lo", "canon"])
+            canon = [canonical(v.as_py(), form).encode("utf-8", "surrogatepass") for v in batch.column(1)]
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, canon)), ">i8").astype(np.int64)
+            hi, lo = both[0::2], both[1::2]
+            on = np.flatnonzero(in_bitmap(held, K.fmix(lo.view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on)), pa.array(hi[on]), pa.array(lo[on]), pa.array([canon[i] for i in on], pa.binary())], names=[batch.schema.names[0], "hi", "lo", "canon"])
 
     return run
 
@@ -83,12 +78,19 @@ def fingerprints(docs: DataFrame, form: str = "NFC", id_col: str = "doc_id", tex
     twice = X.written(all_.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "twice")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(twice.select("lo").mapInArrow(_mix, "lo long"), "lo"))
     text = full.mapInArrow(_texts(form, bits), f"__id {kind}, hi long, lo long, canon binary").join(twice, ["hi", "lo"], "left_semi")
-    w = Window.partitionBy("hi", "lo", "canon")
+    # copies are counted before the shuffle, so a text of any number of copies is one row a task
+    same = X.written(text.groupBy("hi", "lo", "canon").agg(F.count("*").alias("copies"), F.min("__id").alias("keep_id")), "same")
     digest = F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
-    many = text.repartition("hi", "lo").select("__id", digest.alias("digest"), F.min("__id").over(w).alias("keep_id"), F.count("*").over(w).alias("copies"))
-    single = all_.join(twice, ["hi", "lo"], "left_anti").select("__id", digest.alias("digest"), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
+    groups = same.groupBy("hi", "lo").agg(F.count("*").alias("texts"), F.max("copies").alias("copies"), F.max("keep_id").alias("keep_id"))
+    groups = X.written(groups, "groups")
+    placed = all_.join(X.small_side(groups), ["hi", "lo"], "left")
+    one = placed.where("texts is null or texts = 1").select("__id", digest.alias("digest"), F.when(F.col("texts").isNull(), F.col("__id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    clash = groups.where("texts > 1")
+    if not clash.isEmpty():  # different texts of one digest: their rows are matched by their bytes
+        many = text.join(F.broadcast(clash.select("hi", "lo")) if clash.count() <= X.SMALL_ROWS else clash.select("hi", "lo"), ["hi", "lo"], "left_semi").join(same, ["hi", "lo", "canon"])
+        one = one.unionByName(many.select("__id", digest.alias("digest"), "keep_id", "copies"))
     none = sub.where("__text is null").select("__id", F.lit(None).cast("string").alias("digest"), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
-    return many.unionByName(single).unionByName(none).withColumnRenamed("__id", id_col)
+    return one.unionByName(none).withColumnRenamed("__id", id_col)
 
 
 #: DuckDB SQL of fingerprints() without the digest; case folding as far as Latin scripts need it.
