@@ -17,6 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,12 @@ def pattern() -> re.Pattern:
     return re.compile(rf"(?P<NAME>{_NAMES}[\"']?\s*[=:]\s*[\"']?)(?P<SECRET>[^\s\"']{{6,}})|" + rest)
 
 
+#: What keys without any digit begin with or consist of, and digits of other scripts.
+_LETTERS_ONLY = r"(?:sk|pk|ghp|gho|xox[bap])[-_]|AKIA|ASIA|[0-9a-fA-F]{32}|[^\x00-\x7F\P{Nd}]"
+
+
 def _hints(col: pa.Array) -> np.ndarray:
-    """Rows that can hold an identifier: those with a digit, '@', '=' or ':'."""
+    """Rows that can hold an identifier: those with a digit, '@', '=' or ':', or the start of a key. No pattern matches another row."""
     buf, offs = K.buffers(col)
     lut = np.zeros(256, np.uint8)
     lut[[*range(48, 58), 64, 61, 58]] = 1
@@ -54,7 +59,7 @@ def _hints(col: pa.Array) -> np.ndarray:
         if len(hit):
             at = np.searchsorted(offs, hit, "right") - 1
             out[at] = True
-    return out
+    return out | pc.match_substring_regex(col, _LETTERS_ONLY).to_numpy(zero_copy_only=False)
 
 
 def _spans(rx: re.Pattern, text: str):
@@ -64,50 +69,35 @@ def _spans(rx: re.Pattern, text: str):
         yield (*m.span(kind), kind)
 
 
-_WORD = re.compile(r"[0-9A-Za-z_\u0080-\U0010ffff]+")
-
-
-def _hash(words: list[str]) -> np.ndarray:
-    """The tokeniser's hash of each word."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    t = K.tokenise(pa.array(words, pa.large_string()))
-    out = np.zeros(len(words), np.uint64)
-    out[t.row] = t.hash
-    return out
-
-
 def _mentions(rx, window):
-    """One row an entity of a document and word within `window` words: entity and word, with the document's digest."""
+    """One row an entity of a document and word within `window` words: entity and word, with the document's digest.
+
+    The words are whole ones, of any length, and identifiers don't count among them.
+    """
     schema = pa.schema([("__key", pa.int64()), ("digest", pa.int64()), ("entity", pa.int64()), ("term", pa.int64())])
 
     def run(batches):
         for batch in batches:
             keys, digests, col = batch.column(0), batch.column(1), K.strings(batch.column(2))
-            rows, texts, ents, terms, of, words = [], [], [], [], [], []
-            n = 0
-            for r in np.flatnonzero(_hints(col)):
-                text = col[int(r)].as_py()
-                spans = list(_spans(rx, text))
-                for s, e, kind in spans:
-                    left = [w for w in _WORD.findall(text[max(0, s - 16 * window) : s])[-window:]]
-                    right = [w for w in _WORD.findall(text[e : e + 16 * window])[:window]]
-                    near = left + right
-                    words.append(f"{kind}_" + re.sub(r"\W", "_", text[s:e]))
-                    words += near
-                    rows.append(keys[int(r)].as_py())
-                    texts.append(digests[int(r)].as_py())
-                    of.append((n, len(near)))
-                    n += 1 + len(near)
+            rows, names, plain, mid, low, high = [], [], [], [], [], []
+            for r in np.flatnonzero(_hints(col)).tolist():
+                text, at, first = col[r].as_py(), 0, len(plain)
+                for s, e, kind in _spans(rx, text):
+                    plain.append(text[at:s])
+                    at = e
+                    rows.append(r), names.append(xxhash.xxh64_intdigest(f"{kind} {text[s:e]}".encode())), mid.append(len(plain)), low.append(first)
+                if len(plain) > first:
+                    plain.append(text[at:])
+                    high += [len(plain)] * (len(mid) - len(high))
             if not rows:
                 continue
-            h = _hash(words)
-            for a, m in of:
-                near = np.unique(h[a + 1 : a + 1 + m])
-                ents.append(np.full(len(near) + 1, h[a]))
-                terms.append(np.append(near, np.uint64(0)))
+            t = K.tokenise(pa.array(plain, pa.large_string()))
+            first = t.first()
+            middle = first[mid]
+            terms = [np.append(np.unique(t.hash[a:b]), np.uint64(0)) for a, b in zip(np.maximum(first[low], middle - window).tolist(), np.minimum(first[high], middle + window).tolist())]
             count = [len(x) for x in terms]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array(x, np.int64), count)) for x in (rows, texts)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (ents, terms))], schema=schema)
+            rows = pa.array(np.repeat(rows, count))
+            yield pa.RecordBatch.from_arrays([keys.take(rows), digests.take(rows), pa.array(np.repeat(np.array(names, np.uint64), count).view(np.int64)), pa.array(np.concatenate(terms).view(np.int64))], schema=schema)
 
     return run
 
@@ -158,6 +148,8 @@ def judged(docs: DataFrame, window: int = 10, share: float = 0.8, chance: float
     each. Rare entities are judged like others: a word tells if its part of
     IC(e) is at least `share` and if so many texts with it would come about by
     chance in at most a part `chance` of cases. Of one text that is n(t) / N.
+    Both bounds are inclusive, so words that tie with them tell; all that tie
+    are treated alike. Texts are told apart by 64 bits.
     """
     keyed = X.with_row_key(docs, id_col, text_col).where("__text is not null")
     keyed = keyed.withColumn("__digest", F.xxhash64("__text"))
@@ -191,6 +183,33 @@ def disclosures(docs: DataFrame, window: int = 10, share: float = 0.8, chance: f
     return X.written(mine.groupBy("__key").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("all"), F.col("term"))).alias("removed")), "told")
 
 
+def _lower_hashes(col: pa.Array, t: K.Tokens) -> np.ndarray:
+    """Of the tokens of texts as they stand, the hashes of their lower case."""
+    low = K.tokenise(col)
+    if len(low.hash) == len(t.hash):
+        return low.hash
+    low = K.tokenise(pa.array([bytes(t.buf[a:b]).decode() for a, b in zip(t.start, t.end)], pa.large_string()))
+    out = np.zeros(len(t.hash), np.uint64)
+    out[low.row] = low.hash
+    return out
+
+
+def _without(texts: list[str], terms: frozenset, removed: frozenset) -> list[str]:
+    """Texts whose words of these hashes are generalised or removed."""
+    col = pa.array(texts, pa.large_string())
+    t = K.tokenise(col, lower=False)
+    h = _lower_hashes(col, t).view(np.int64)
+    hit = np.flatnonzero(np.isin(h, np.array(list(terms), np.int64)))
+    raw, (_, offs), out = bytes(t.buf), K.buffers(col), list(texts)
+    for r in np.unique(t.row[hit]).tolist():
+        parts, at = [], int(offs[r])
+        for i in hit[t.row[hit] == r].tolist():
+            parts += [raw[at : t.start[i]], b"" if int(h[i]) in removed else b"[TERM]"]
+            at = int(t.end[i])
+        out[r] = b"".join([*parts, raw[at : offs[r + 1]]]).decode()
+    return out
+
+
 def clean_text(rx: re.Pattern, text: str, terms: frozenset = frozenset(), removed: frozenset = frozenset()) -> str:
     """The text with identifiers replaced by their kind and revealing words generalised or removed."""
     out, at = [], 0
@@ -201,15 +220,7 @@ def clean_text(rx: re.Pattern, text: str, terms: frozenset = frozenset(), remove
         return text
     out.append(text[at:])
     if terms:
-        for i in range(0, len(out), 2):
-            words = list(_WORD.finditer(out[i]))
-            h = _hash([m.group() for m in words])
-            parts, last = [], 0
-            for m, x in zip(words, h.view(np.int64).tolist()):
-                if x in terms:
-                    parts += [out[i][last : m.start()], "" if x in removed else "[TERM]"]
-                    last = m.end()
-            out[i] = "".join([*parts, out[i][last:]])
+        out[0::2] = _without(out[0::2], terms, removed)
     return "".join(out)
 
 
