@@ -212,17 +212,19 @@ def _verify(least, share):
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.75, whole: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.75, whole: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified overlaps: (__id, __key, __item, first_token, n_tokens, n_equal), the longest of each document and item.
 
     least: tokens an overlap needs, or the item's length where that is less.
-    share: part of its tokens that must agree. Items of under `whole` tokens
-    match nothing.
+    share: part of its tokens that must agree, so items of 1 to 3 tokens match
+    exactly. Items of under `whole` tokens match nothing; by default there are
+    none. Ties of equal overlaps are broken by position. Items and documents
+    without any word match nothing.
     """
     items_in = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     kind = items_in.schema["item"].dataType.simpleString()
     items = X.written(items_in.mapInArrow(_items(_masks(range(whole, SHORT), share)), f"item {kind}, size int, tokens binary, hashes array<long>, at array<int>"), "items")
-    hashes = items.select("item", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("item", F.col("x.hashes").alias("h"), F.col("x.at").alias("p"))
+    hashes = X.written(items.select("item", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("item", F.col("x.hashes").alias("h"), F.col("x.at").alias("p")), "hashes")
     stat = items.agg(F.max("size"), F.array_sort(F.collect_set(F.when(F.col("size").between(whole, SHORT - 1), F.col("size"))))).first()
     reach = int(stat[0] or 0) + SHORT
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(hashes, "h"))
@@ -230,7 +232,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     idk = keyed.schema["__id"].dataType.simpleString()
     seg = X.written(keyed.mapInArrow(_segments(list(dict.fromkeys(m for m, _ in _masks(stat[1] or [], share))), bits, reach), f"__id {idk}, __key long, start long, tokens binary, hashes array<long>, at array<int>"), "segments")
     hit = seg.select("__key", "start", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("__key", "start", F.col("x.hashes").alias("h"), F.col("x.at").alias("d"))
-    hit = hit.join(hashes, "h").select("__key", "start", "item", (F.col("d") - F.col("p")).alias("shift")).distinct()
+    hit = hit.join(X.small_side(hashes), "h").select("__key", "start", "item", (F.col("d") - F.col("p")).alias("shift")).distinct()
     both = hit.join(seg.select("__id", "__key", "start", "tokens"), ["__key", "start"]).join(items.select("item", F.col("tokens").alias("item_tokens")), "item")
     found = both.select("__id", "__key", "item", "start", "tokens", "item_tokens", "shift").mapInArrow(_verify(least, share), f"__id {idk}, __key long, __item {kind}, first_token long, n_tokens int, n_equal int")
     w = Window.partitionBy("__key", "__item").orderBy(F.desc("n_equal"), "first_token", "n_tokens")
