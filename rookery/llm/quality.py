@@ -78,7 +78,6 @@ def _pairs(t: K.Tokens, bits: int):
     on = np.flatnonzero(t.row[1:] == t.row[:-1]) if len(t.row) else np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         h = K.fmix(t.hash[on] * np.uint64(0x9E3779B97F4A7C15) + t.hash[on + 1])
-    h[t.hash[on] == t.hash[on + 1]] = np.uint64(0xA5A5A5A5A5A5A5A5)  # a word said twice, whichever it is
     return on, h >> np.uint64(64 - bits)
 
 
@@ -139,17 +138,17 @@ def _bags(col: pa.Array, bits: int):
 
 
 def fit(texts: pa.Array, classes: np.ndarray, dim: int = 8, bits: int = 18, epochs: int = 6, rate: float = 0.3, scale: float = 30.0, batch: int = 16, seed: int = 7, clean_loss: float = 0.02) -> tuple[Model, dict]:
-    """Model and its held-out figures (every fifth row is held out).
+    """Model and its held-out figures: of five rows three are for training, one sets the threshold, one is reported on.
 
     Averages are multiplied by `scale` before the output layer, as the share of
     telling words is small. SGD steps are scaled per vector by past gradients (AdaGrad), so rare features
-    learn as fast as common ones. The threshold is the highest of 0.5 and what
-    keeps all but `clean_loss` of held-out good rows.
+    learn as fast as common ones. The threshold is the lower of 0.5 and what
+    keeps all but `clean_loss` of the good rows set apart for it.
     """
     rng = np.random.default_rng(seed)
     bags = _bags(texts, bits)
-    held = np.arange(len(bags)) % 5 == 4
-    train = np.flatnonzero(~held)
+    turn = np.arange(len(bags)) % 5
+    train = np.flatnonzero(turn < 3)
     k = len(CLASSES)
     e = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, k)).astype(np.float32)
@@ -184,27 +183,30 @@ def fit(texts: pa.Array, classes: np.ndarray, dim: int = 8, bits: int = 18, epoc
             ge[b] += (de * de).mean(axis=1)
             e[b] -= (rate * de / np.sqrt(ge[b])[:, None]).astype(np.float32)
     model = Model((e @ w * np.float32(scale)).astype(np.float32), bias, 0.5)
-    rows = np.flatnonzero(held)
-    report = {"train": len(train), "held": len(rows)}
+    tune, rows = np.flatnonzero(turn == 3), np.flatnonzero(turn == 4)
+    report = {"train": len(train), "tune": len(tune), "held": len(rows)}
+    if len(tune):
+        good = np.sort(softmax(logits(texts.take(pa.array(tune)), model))[classes[tune] == 0, 0])
+        if len(good):
+            model.threshold = float(min(0.5, good[int(clean_loss * len(good))]))
     if len(rows):
         p = softmax(logits(texts.take(pa.array(rows)), model))
         y = classes[rows]
-        good = np.sort(p[y == 0, 0])
-        if len(good):
-            model.threshold = float(min(0.5, good[int(clean_loss * len(good))]))
         keep = p[:, 0] >= model.threshold
         report |= {"accuracy": float(((p.argmax(axis=1)) == y).mean()), "good kept": float(keep[y == 0].mean()) if (y == 0).any() else None, "bad rejected": float((~keep[y != 0]).mean()) if (y != 0).any() else None, "threshold": model.threshold}
     return model, report
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[Model, dict]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[Model, dict]:
     """Fits a model to at most max_rows labelled documents, a third of each class (good; low; toxic of any quality).
 
     labels(doc_id, quality, toxic): rows with a null id, or null in both
     labels, are left out, a null in one counts as good in it; an id labelled
     twice counts as its worst. The rows are the first by a hash of the id, so
-    the sample is the same at any partitioning. No labels at all give a model
-    that accepts everything.
+    the sample is the same at any partitioning. Of rows that share an id the
+    least text is taken, and texts of over max_bytes are left out of the sample,
+    so the driver gets max_rows * max_bytes at most; every text is scored
+    whole. No labels at all give a model that accepts everything.
     """
     one = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.when(F.max(F.coalesce("toxic", F.lit(0))) > 0, 2).when(F.min(F.coalesce("quality", F.lit(1))) < 1, 1).otherwise(0).alias("class"))
     picked = None
@@ -212,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
         some = one.where(F.col("class") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // len(CLASSES))
         picked = some if picked is None else picked.union(some)
     picked = picked.select(F.col("doc_id").alias("__id"), "class")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__id", "__text", "class").toArrow()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= max_bytes).join(F.broadcast(picked), "__id").groupBy("__id", "class").agg(F.min("__text").alias("__text")).select("__id", "__text", "class").toArrow()
     rows = rows.sort_by([("__id", "ascending"), ("__text", "ascending")])
     y = rows["class"].to_numpy().astype(np.int64)
     if not len(y):
