@@ -87,6 +87,21 @@ def op7_chat(spark, d):
     return chat.format_chats(*chat.turns_as_calls(_t(spark, d, "conversations")), chat.ASK_SCHEMAS)
 
 
+OP7_SQL = """
+with c as materialized (select conv_id, turn, role, text, conv_id || ':' || last(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn, case when role = 'user' then 0 else 1 end rows between unbounded preceding and current row) as asked
+  from conversations where conv_id is not null),
+r as (select conv_id, asked, count(*) as n, string_agg(to_json(coalesce(text, ''))::varchar, ',' order by coalesce(text, '')) as results from c where role = 'assistant' group by conv_id, asked),
+e as (select conv_id, turn, asked as call_id, text, list_filter([case when text is null then '"$.query: missing"' when length(text) not between 20 and 1500 then '"$.query: length"' end, case when turn is null then '"$.turn: missing"' when turn < 0 then '"$.turn: range"' end], lambda x: x is not null) as errors from c where role = 'user'),
+k as (select e.conv_id, e.turn, coalesce(r.n, 0) as n, len(errors) > 0 as wrong, '{"arguments":{' || concat_ws(',', '"query":' || to_json(e.text)::varchar, '"turn":' || e.turn) || '}' || case when len(errors) > 0 then ',"errors":[' || array_to_string(errors, ',') || ']' else '' end
+  || ',"id":"' || call_id || '","name":"ask","results":[' || coalesce(r.results, '') || ']}' as call from e left join r on r.conv_id = e.conv_id and r.asked = e.call_id),
+ks as (select conv_id, string_agg(call, ',' order by turn) as calls, count(*) as n, count(*) filter (n > 0) as answered, count(*) filter (wrong) as invalid from k group by conv_id),
+ms as (select conv_id, string_agg('{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}', ',' order by turn nulls last, role, text) as messages from c where role is null or role not in ('user', 'assistant') group by conv_id),
+os as (select r.conv_id, string_agg(results, ',' order by results) as orphans, sum(r.n) as n from r where asked is null or not exists (select 1 from e where e.conv_id = r.conv_id and e.call_id = r.asked) group by r.conv_id)
+select i.conv_id, '{"calls":[' || coalesce(calls, '') || '],"messages":[' || coalesce(messages, '') || ']' || coalesce(',"orphans":[' || orphans || ']', '') || '}' as chat,
+  cast(coalesce(ks.n, 0) as integer) as calls, cast(coalesce(answered, 0) as integer) as answered, cast(coalesce(invalid, 0) as integer) as invalid, cast(coalesce(os.n, 0) as integer) as orphans, 0 as cyclic
+from (select distinct conv_id from c) i left join ks using (conv_id) left join ms using (conv_id) left join os using (conv_id)"""
+
+
 def op8_token_counts(spark, d):
     """Tokens of every document before and after its identifiers are edited out."""
     return token_counts.redaction_counts(_t(spark, d, "documents"), RANKS)
@@ -105,4 +120,4 @@ def op10_quality(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_substring_dedup, op4_fingerprints, op5_ngram_join, op6_decontaminate, op7_chat, op8_token_counts, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL, "op5_ngram_join": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL, "op5_ngram_join": OP5_SQL, "op7_chat": OP7_SQL}

@@ -8,6 +8,7 @@ confirms each hit against the stored string, so collisions block nothing.
 
 from __future__ import annotations
 
+import re
 import urllib.parse
 
 import numpy as np
@@ -91,6 +92,7 @@ def build(rules: DataFrame, rule_col: str = "rule", rules_per_shard: int = 1 <<
         path = "file://" + path
     path = urllib.parse.unquote(path) if path.startswith("file:") else path
     path = path.replace("file:///", "file:/").replace("file:/", "file:///")
+    path = re.sub(r"^s3[an]://", "s3://", path)  # Arrow's name of what Hadoop calls s3a
     h = F.xxhash64("rule")
     done = norm.withColumn("shard", F.pmod(F.shiftrightunsigned(h, 32), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_shards(path, shards), "shard int, n long")
     done.agg(F.sum("n")).first()
@@ -137,7 +139,8 @@ def _probe(path, shards):
                     continue
                 mine = np.flatnonzero(shard == k)
                 at = np.searchsorted(digest, h[mine])
-                for i, p in zip(mine.tolist(), at.tolist()):
+                on = digest[np.minimum(at, len(digest) - 1)] == h[mine]  # the rest misses without a loop
+                for i, p in zip(mine[on].tolist(), at[on].tolist()):
                     while p < len(digest) and digest[p] == h[i]:
                         if bytes(text[off[p] : off[p + 1]]) == data[so[i] : so[i + 1]]:
                             hit[i] = True

@@ -2,12 +2,16 @@
 
 import collections
 import json
+import math
 import random
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from rookery.llm import chat, components, decontaminate, exchange, fingerprints, mixing, ngram_join, pii, quality, substring_dedup, textkernel, token_counts, url_filter
 
@@ -238,16 +242,53 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup.tune_bands(0.8, 0.93) == 6
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_substring_dedup_places(spark, small, monkeypatch):
+    if small:  # no filter, buckets in blocks
+        monkeypatch.setattr(substring_dedup, "MAX_BITS", 1)
+        monkeypatch.setattr(substring_dedup, "BUCKET", 2)
+    rng = random.Random(30)
+    passage = words(rng, 60, 5000)
+    near = passage.split()
+    near[10] = near[31] = "changed"
+    inside = words(rng, 70, 5000)
+    some = [(i, f"{words(rng, 40, 5000)} {passage} {words(rng, 40, 5000)}") for i in range(12)] + [(20, f"{words(rng, 30, 5000)} {' '.join(near)} {words(rng, 30, 5000)}")]
+    some += [(30, f"{inside} {words(rng, 80, 5000)} {inside}"), (31, words(rng, 400, 5000)), (32, words(rng, 90, 5000)), (32, None)]
+    got = substring_dedup.repeats(frame(spark, some)).collect()
+    assert {r.doc_id for r in got} == {*range(1, 12), 20, 30}
+    assert {0, 30} <= {k for r in got for k in r.kept_ids} <= {*range(12), 30} and all(r.kept_ids == [30] for r in got if r.doc_id == 30)
+    assert all(r.first_word >= 150 for r in got if r.doc_id == 30)
+    twice = substring_dedup.repeats(frame(spark, [some[14], some[14]])).collect()
+    assert {r.doc_id for r in twice} == {31} and sum(r.n_words for r in twice) > 300
+
+
+def test_documents_of_one_tag_collide():
+    """Paragraphs of two documents whose keys differ in one bit of the 40 that are kept still meet; those of one that overlap don't."""
+    def entry(doc, word, content):
+        return np.uint64((doc & ~substring_dedup.PLACE) | word), np.uint64(2 * content)
+
+    def collide(*entries):
+        d, c = zip(*(entry(*e) for e in entries))
+        x = exchange.pack(h=exchange.deltas(np.full(len(d), 5, np.uint64)), c=np.array(c, np.uint64), d=np.array(d, np.uint64))
+        return substring_dedup._collide(16)(pa.table({"part": pa.array([0], pa.int32()), "payload": pa.array([x], pa.binary())}))["contents"].to_pylist()
+
+    assert collide((1 << 24, 0, 7), (2 << 24, 0, 8)) == [[14, 16]] and collide((1 << 24, 0, 7), (1 << 24, 9, 8)) == [] and collide((1 << 24, 0, 7), (1 << 24, 90, 8)) == [[14, 16]]
+
+
 def test_decontamination(spark, docs, rows):
     rng = random.Random(9)
     items = [(1, rows[3][1]), (2, words(rng, 25, 5000)), (3, None), (4, ""), (5, "w1 w2"), (6, words(rng, 8, 5000)), (7, words(rng, 40, 5000))]
     w = items[6][1].split()
     w[7], w[19], w[30] = "zz", "yy", "xx"  # substitutions
     extra = [(900, words(rng, 30, 7000) + " " + items[1][1] + " " + words(rng, 9, 7000)), (901, items[5][1]), (902, " ".join(w)), (903, " ".join(items[1][1].split()[:9]))]
+    items += [(8, "zeta eta theta"), (9, "quokka"), (10, "zeta eta"), (11, "?!")]
+    extra += [(904, "so ZETA, eta theta. ok"), (905, "zeta eta iota"), (906, "a quokka, then")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     both = docs.unionByName(frame(spark, extra))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(both, bench).collect()}
-    assert {(900, 2), (901, 6), (902, 7), (rows[3][0], 1)} <= got and not {(903, 2)} & got
+    assert {(900, 2), (901, 6), (902, 7), (rows[3][0], 1), (904, 8), (904, 10), (905, 10), (906, 9)} <= got and not {(903, 2), (905, 8)} & got
+    assert 11 not in {i for _, i in got}
+    assert not [r for r in decontaminate.leaks(both, bench, whole=5).collect() if r.item_id in (8, 9, 10)]
     clean = decontaminate.decontaminate(both, bench)
     left = {r.doc_id for r in clean.collect()}
     assert clean.columns == docs.columns and not {900, 901, 902} & left and 903 in left
@@ -348,10 +389,23 @@ def test_token_count_tables(spark, docs):
     got = {r.doc_id: r for r in token_counts.redaction_counts(d, RANKS).collect()}
     assert got[1].tokens_after == len(memo.encoding.encode_ordinary("call [PHONE] now")) and got[1].edits == 1
     assert got[2].tokens is None and got[3].tokens == 0 and got[4].tokens == got[4].tokens_after
-    edits = spark.createDataFrame([(4, 0, 1, "X"), (4, 5, 99, " y"), (9, 0, 0, "q"), (2, 0, 0, "q"), (1, None, 1, "")], "doc_id long, start int, end int, new string")
+    edits = spark.createDataFrame([(4, 0, 1, "X"), (4, 0, 1, "X"), (4, 5, 99, " y"), (9, 0, 0, "q"), (2, 0, 0, "q"), (1, None, 1, "")], "doc_id long, start int, end int, new string")
     after = {r.doc_id: r for r in token_counts.edited(d, kept, edits, RANKS).collect()}
     assert set(after) == {4} and after[4].text == "Xlain y" and after[4].tokens == len(memo.encoding.encode_ordinary("Xlain y"))
-    assert token_counts.redaction_counts(docs, RANKS).count() == docs.count()
+    assert token_counts.redaction_counts(docs, RANKS).count() == docs.count() and token_counts.redaction_counts(docs.limit(0), RANKS).count() == 0
+    assert token_counts.apart([{"start": 3, "end": 9, "new": "b"}, {"start": -4, "end": 5, "new": "a"}, {"start": 50, "end": 60, "new": "c"}], 20) == [(0, 5, "a"), (5, 9, "b"), (20, 20, "c")]
+    again = spark.createDataFrame([(1, "one two three", 0), (1, "one two three", 0), (1, "four", 0)], "doc_id long, text string, tokens int")
+    some = spark.createDataFrame([(1, 0, 3, "1"), (1, 2, 5, "_")], "doc_id long, start int, end int, new string")
+    both = {r.text: r.tokens for r in token_counts.edited(again, token_counts.trees(again, RANKS), some, RANKS).collect()}
+    assert both == {t: len(memo.encoding.encode_ordinary(t)) for t in ("1_wo three", "1_")}
+
+
+def test_redaction_counts_are_those_of_full_encodings(spark, rows):
+    memo, rx = token_counts.Memo(RANKS), pii.pattern()
+    some = [*rows, *[(600 + i, f"mail a{i}@b.org or 10.0.0.{i} {words(random.Random(i), i * 9)} key=abcdef{i}") for i in range(30)]]
+    got = collections.Counter((r.doc_id, r.tokens, r.tokens_after, r.edits) for r in token_counts.redaction_counts(frame(spark, some), RANKS).collect())
+    n = lambda t: len(memo.encoding.encode_ordinary(t))
+    assert got == collections.Counter((i, None, None, 0) if t is None else (i, n(t), n(pii.clean_text(rx, t)), len(list(pii._spans(rx, t)))) for i, t in some)
 
 
 def test_pii(spark, docs):
@@ -374,6 +428,63 @@ def test_pii_judges_entities_of_one_context(spark):
     assert all(got[i].text == t for i, t in plain)
 
 
+@given(st.sampled_from(range(len(pii.PATTERNS) + 1)), st.data())
+def test_no_identifier_without_a_hint(k, data):
+    rx = rf"{pii._NAMES}=[^\s\"']{{6,20}}" if k == len(pii.PATTERNS) else pii.PATTERNS[k][1]
+    text = "so " + data.draw(st.from_regex(re.compile(rx), fullmatch=True)) + " thanks"
+    if list(pii._spans(pii.pattern(), text)):
+        assert pii._hints(textkernel.strings(pa.array([text])))[0]
+
+
+def test_letters_only_keys_and_long_words(spark):
+    long = "q" * 5000
+    got = {r.doc_id: r.text for r in pii.sanitise(frame(spark, [(1, "my key is sk_live_abcdefghijklmnopqrst thanks"), *[(2 + i, f"{long} {'z' * 400} {w} mail me@x.org") for i, w in enumerate(["one", "two", "one two"])], *[(10 + i, f"one two mail {'z' * 400} {i}") for i in range(200)]])).collect()}
+    assert "[KEY]" in got[1] and "live" not in got[1]
+    assert all(long not in got[i] and "z" * 400 in got[i] for i in (2, 3, 4))
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(41)
+    ents = ["a@b.org", "c@d.net", "10.1.2.3", "+1 (488) 555-6503"]
+    texts = []
+    for i in range(160):
+        w = [rng.choice(["Müller", "„Zug“", "x"]) if rng.random() < 0.05 else f"w{rng.randrange(60)}" for _ in range(rng.randint(3, 40))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k, at = rng.randrange(len(ents)), rng.randrange(len(w))
+            w[at:at] = [ents[k], f"tell{k}"] if rng.random() < 0.9 else [ents[k]]
+        texts.append((i, " ".join(w)))
+    texts += [(500, texts[3][1]), (501, None), (502, ""), *[(510 + i, f"tell0 tell1 w{i} tell2 tell3") for i in range(3)]]
+    rx, window = pii.pattern(), 5
+    n_te, n_e, n_t = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    uniq = {t for _, t in texts if t is not None}
+    for t in uniq:
+        for w in set(tokens(t)):
+            n_t[w].add(t)
+        spans, at, flat, marks = list(pii._spans(rx, t)), 0, [], []
+        for s, e, kind in spans:
+            flat += tokens(t[at:s])
+            marks.append((len(flat), (kind, t[s:e])))
+            at = e
+        flat += tokens(t[at:])
+        for m, ent in marks:
+            n_e[ent].add(t)
+            for w in flat[max(0, m - window) : m + window]:
+                n_te[w, ent].add(t)
+    total = len(uniq)
+    want = collections.Counter()
+    for (w, e), x in n_te.items():
+        own, n, docs = len(n_e[e]), len(x), len(n_t[w])
+        part = math.log2(total * n / (docs * own)) / math.log2(total / own)
+        a, rate = n / own, min(1, docs / total)
+        low = own * (a * math.log(a / rate) + ((1 - a) * math.log((1 - a) / (1 - rate)) if n < own else 0)) if a > rate else 0
+        want[own, n, docs, round(part, 9), part >= 0.5 and low >= -math.log(0.05) - 1e-9] += 1
+    got = collections.Counter((r.own, r.n, r.docs, round(r.part, 9), r.told) for r in pii.judged(frame(spark, texts), window, 0.5, 0.05)[1].collect())
+    assert not got - want and not want - got
+    assert any(k[4] for k in got)
+    out = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts), window, 0.9, 0.05).collect() if r.text}
+    assert any("[TERM]" in t for t in out.values()) and not any("@" in t for t in out.values()) and out[510] == "tell0 tell1 w0 tell2 tell3"
+
+
 def test_pii_copies_weigh_nothing(spark):
     rng = random.Random(7)
     plain = [(i, words(rng, 30, 90)) for i in range(150)]
@@ -425,3 +536,51 @@ def test_chat(spark):
     assert '"arguments":{"x":1,"y":2}' in got[1].chat and got[1].invalid == 2 and got[1].cyclic == 1 and got[1].orphans == 1
     assert set(got) == {1, 2, 3} and got[2].invalid == 1
     assert chat.format_chats(m.limit(0), c.limit(0), r.limit(0), schemas).count() == 0
+
+
+def test_chat_of_odd_arguments(spark):
+    args = ["[" * 100_000, '{"a":"\\ud800","\\ud83d\\ude00":1}', "{bad", "NaN", "1e999", "9" * 5000, "[" * 3000 + "]" * 3000, None, "", '{"a":1,"a":2}', '"\u2028"']
+    c = spark.createDataFrame([(1, f"c{i:02}", "any", a, i, None) for i, a in enumerate(args)], "conv_id long, call_id string, name string, arguments string, turn int, depends array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    m = spark.createDataFrame([(1, None, None, None)], "conv_id long, turn int, role string, text string")
+    r = chat.format_chats(m, c, none, {"any": True}).collect()[0]
+    calls = {k["id"]: k for k in json.loads(r.chat)["calls"]}
+    assert r.calls == len(args) and calls["c01"]["arguments"] == {"a": "\ufffd", "\U0001f600": 1} and calls["c09"]["arguments"] == {"a": 2} and calls["c07"]["arguments"] == {}
+    assert {k for k, v in calls.items() if "errors" in v} == {"c00", "c02", "c03", "c05", "c06"}
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"enum": [True]}, [True], [1, "true"]),
+        ({"const": 1}, [1, 1.0], [True, 2]),
+        ({"oneOf": [{"type": "string"}, {"minLength": 3}]}, ["ab", 5], ["abcd"]),
+        ({"allOf": [{"minimum": 2}, {"exclusiveMaximum": 5}]}, [2, 4.9], [1, 5]),
+        ({"not": {"type": "null"}}, [0], [None]),
+        ({"exclusiveMinimum": 0, "multipleOf": 0.1}, [0.3, 7], [0, 0.25]),
+        ({"uniqueItems": True, "prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1, 2]], [["a", 1, 1.0], [1], ["a", "b"]]),
+        ({"contains": {"const": 3}}, [[1, 3]], [[1], []]),
+        ({"$ref": "#/$defs/x", "$defs": {"x": {"type": "object", "properties": {"n": {"$ref": "#"}}, "additionalProperties": {"type": "string"}}}}, [{"n": {"n": {}}, "s": "t"}], [{"n": 3}, {"s": 3}]),
+        ({"patternProperties": {"^a": {"type": "integer"}}, "propertyNames": {"maxLength": 2}, "maxProperties": 1}, [{"a1": 1}], [{"a1": "x"}, {"abc": 1}, {"a": 1, "b": 2}]),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": False}, [{"a": 1, "b": 1}], [{"a": 1}, {}]),
+        ({"dependentRequired": {"a": ["b"]}}, [{}, {"a": 1, "b": 2}], [{"a": 1}]),
+        (False, [], [1]),
+    ],
+)
+def test_schemas(schema, good, bad):
+    chat.check_schema(schema)
+    assert not [v for v in good if chat.violations(v, schema)] and all(chat.violations(v, schema) for v in bad)
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"pattern": "("}, {"minimun": 3}, {"properties": {"a": {"foo": 1}}}, {"$ref": "http://x"}, {"$ref": "#/nope"}, {"$ref": "#"}, 5])
+def test_schemas_that_are_refused(schema):
+    with pytest.raises(chat.SchemaError):
+        chat.check_schema(schema)
+
+
+def test_turns_of_every_role(spark):
+    rows = [(1, 0, "user", "q" * 30), (1, 1, "tool", "t"), (1, 2, "assistant", "a"), (1, 3, "user", "p" * 30), (1, None, "user", "n" * 30), (1, None, "assistant", "o"), (2, 0, "assistant", "first"), (3, 1, None, "x"), (None, 1, "user", "y")]
+    got = {r.conv_id: r for r in chat.format_chats(*chat.turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.ASK_SCHEMAS).collect()}
+    one = json.loads(got[1].chat)
+    assert [(k["id"], k["results"]) for k in one["calls"]] == [("1:0", ["a"]), ("1:3", []), (None, [])] and one["orphans"] == ["o"]
+    assert [x["role"] for x in one["messages"]] == ["tool"] and got[1].cyclic == 0 and got[2].orphans == 1 and set(got) == {1, 2, 3}
