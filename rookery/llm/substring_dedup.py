@@ -175,23 +175,29 @@ def _collide(least: int):
     return run
 
 
-def _occurrences(reach, least, wanted):
-    """Paragraphs, of contents that the filter lets pass if there is one."""
+def _occurrences(reach, least, wanted, fuzzy):
+    """Paragraphs, with filters those whose content may be in `wanted`; with the 3-grams of those that may be in `fuzzy`, once a slice."""
 
     def run(batches):
-        w = wanted.value if wanted is not None else None
+        w, f = (wanted.value, fuzzy.value) if wanted is not None else (None, None)
         for batch in batches:
             ids, keys, col = batch.column(0), batch.column(1), K.strings(batch.column(2))
-            schema = pa.schema([("__id", ids.type), ("__key", pa.int64()), ("content", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int32())])
+            schema = pa.schema([("__id", ids.type), ("__key", pa.int64()), ("content", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int32()), ("grams", pa.binary())])
             for lo, hi in K.slices(col, max_bytes=1 << 20):
                 t = K.tokenise(col.slice(lo, hi - lo))
                 start, end = paragraphs(t, reach, least)
                 content = _content(t, start, end)
+                grams = [None] * len(content)
                 if w is not None:
                     on = in_bitmap(w, K.fmix(content))
                     start, end, content = start[on], end[on], content[on]
+                    g, grams = _grams(t), [None] * len(content)
+                    new = np.zeros(len(content), bool)
+                    new[np.unique(content, return_index=True)[1]] = True
+                    for i in np.flatnonzero(new & in_bitmap(f, K.fmix(content))).tolist():
+                        grams[i] = K.distinct(g[start[i] : end[i] - 2]).tobytes()
                 row = t.row[start]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), keys.take(pa.array(row + lo)), pa.array(content.view(np.int64)), pa.array(start - t.first()[row]), pa.array((end - start).astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), keys.take(pa.array(row + lo)), pa.array(content.view(np.int64)), pa.array(start - t.first()[row]), pa.array((end - start).astype(np.int32)), pa.array(grams, pa.binary())], schema=schema)
 
     return run
 
@@ -272,18 +278,22 @@ def clusters(docs: DataFrame, threshold: float = 0.7, recall: float = 0.8, reach
     sets = X.written(packed.groupBy("part").applyInArrow(_collide(least), "sig long, contents array<long>"), "buckets")
     many = sets.where("size(contents) > 1").dropDuplicates(["sig"])
     wanted = X.written(sets.select(F.explode("contents").alias("content")).distinct(), "wanted")
-    few = wanted.count() * 64 <= MAX_BITS
-    held = spark.sparkContext.broadcast(bitmap(wanted.mapInArrow(_mix, "content long"), "content")) if few else None
-    seen = keyed.select("__id", "__key", "__text").mapInArrow(_occurrences(reach, least, held), f"__id {kind}, __key long, content long, first_word long, n_words int")
+    few = wanted.count() * 16 <= MAX_BITS  # one false positive in a thousand
+    bucket = X.written(many.select("sig", F.size("contents").alias("size"), F.explode("contents").alias("content")), "bucket")
+    near = bucket.select("content").distinct()
+    filters = [spark.sparkContext.broadcast(bitmap(x.mapInArrow(_mix, "content long"), "content")) if few else None for x in (wanted, near)]
+    seen = keyed.select("__id", "__key", "__text").mapInArrow(_occurrences(reach, least, *filters), f"__id {kind}, __key long, content long, first_word long, n_words int, grams binary")
     # a filter is only right for so many contents; beyond, the paragraphs themselves are joined with them
     seen = X.written(seen if few else seen.join(wanted, "content", "left_semi"), "seen")
-    bucket = X.written(many.select("sig", F.size("contents").alias("size"), F.explode("contents").alias("content")), "bucket")
-    place = seen.join(bucket.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("__key", "first_word", "n_words")).alias("at"))
+    place = seen.join(near, "content", "left_semi").groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("__key", "first_word", "n_words")).alias("at"))
     place = X.written(place, "places")
-    named = place.groupBy(F.col("at.__key").alias("__key")).agg(F.collect_list(F.struct("content", F.col("at.first_word").alias("first_word"), F.col("at.n_words").alias("n_words"))).alias("at"))
-    named = X.written(named, "named")
-    some = keyed.select("__key", "__text").join(F.broadcast(named) if place.count() <= X.SMALL_ROWS else named, "__key")
-    grams = X.written(some.select("__text", "at").mapInArrow(_samples, "content long, grams binary").groupBy("content").agg(F.first("grams").alias("grams")), "grams")
+    if few:
+        grams = seen.where("grams is not null").select("content", "grams")
+    else:
+        named = place.groupBy(F.col("at.__key").alias("__key")).agg(F.collect_list(F.struct("content", F.col("at.first_word").alias("first_word"), F.col("at.n_words").alias("n_words"))).alias("at"))
+        grams = keyed.select("__key", "__text").join(named, "__key").select("__text", "at").mapInArrow(_samples, "content long, grams binary")
+    grams = grams.groupBy("content").agg(F.first("grams").alias("grams"))
+    seen = seen.drop("grams")
     split = _in_blocks(bucket.join(grams, "content"), "sig", F.ceil(F.col("size") / F.lit(BUCKET)), "content")
     edges = split.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").select("sig", "i", "j", "content", "grams").mapInArrow(_verify(threshold), "a long, b long")
     # two paragraphs that occur once each, overlapping, are no repeat
