@@ -113,7 +113,7 @@ def _bags(col: pa.Array, bits: int):
     for lo, hi in K.slices(col, max_bytes=1 << 20):
         t = K.tokenise(col.slice(lo, hi - lo), lower=False, classes="nonspace")
         if not len(t.hash):
-            out += [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * (hi - lo)
+            out += [(np.zeros(0, np.int32), np.zeros(0, np.float16))] * (hi - lo)
             continue
         first, number = _distinct(t)
         word, bucket = _subwords(t.buf, t.start[first], t.end[first], t.hash[first], bits)
@@ -133,7 +133,7 @@ def _bags(col: pa.Array, bits: int):
             b, w = b[o], w[o]
             s = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
             w = np.add.reduceat(w, s) if len(s) else w
-            out.append((b[s], (w / max(1e-9, w.sum())).astype(np.float32)))
+            out.append((b[s], (w / max(1e-9, w.sum())).astype(np.float16)))
     return out
 
 
@@ -146,27 +146,28 @@ def fit(texts: pa.Array, classes: np.ndarray, dim: int = 8, bits: int = 18, epoc
     keeps all but `clean_loss` of the good rows set apart for it.
     """
     rng = np.random.default_rng(seed)
-    bags = _bags(texts, bits)
-    turn = np.arange(len(bags)) % 5
+    turn = np.arange(len(texts)) % 5
     train = np.flatnonzero(turn < 3)
+    bags = _bags(texts.take(pa.array(train)), bits)
+    known = classes[train]
     k = len(CLASSES)
     e = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     w = rng.normal(0, 0.5, (dim, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
     ge, gw = np.full(1 << bits, 1e-8, np.float32), np.full((dim, k), 1e-8, np.float32)
-    share = np.bincount(classes[train], minlength=k) / max(1, len(train))
+    share = np.bincount(known, minlength=k) / max(1, len(train))
     weight = np.where(share > 0, 1 / np.maximum(share * (share > 0).sum(), 1e-9), 0).astype(np.float32)
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
+        for at in np.array_split(rng.permutation(len(train)), max(1, len(train) // batch)):
             full = [i for i in at if len(bags[i][0])]
             if not full:
                 continue
             idx = np.concatenate([bags[i][0] for i in full])
-            val = np.concatenate([bags[i][1] for i in full])
+            val = np.concatenate([bags[i][1] for i in full]).astype(np.float32)
             size = np.array([len(bags[i][0]) for i in full])
             start = np.concatenate(([0], np.cumsum(size)[:-1]))
             x = np.add.reduceat(e[idx] * val[:, None], start, axis=0) * np.float32(scale)
-            y = classes[full]
+            y = known[full]
             g = softmax(x @ w + bias).astype(np.float32)
             g[np.arange(len(full)), y] -= 1
             g *= (weight[y] / len(full))[:, None]
@@ -220,7 +221,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: i
     if not len(y):
         return Model(np.zeros((2, len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32), 0.0), {"train": 0, "held": 0}
     mix = np.random.default_rng(1).permutation(len(y))
-    return fit(K.strings(rows["__text"]).take(pa.array(mix)), y[mix], **options)
+    texts = K.strings(rows["__text"]).take(pa.array(mix))
+    del rows
+    return fit(texts, y[mix], **options)
 
 
 def _scored(model, at):
