@@ -7,28 +7,35 @@ from pyspark.sql import functions as F
 
 from ..plans.rules import Content
 
-MAX_PAIRS = 256
+_PAIRS = "array<struct<key:string,value:string>>"
 
 
 def _children(doc: Column, prefix: Column) -> Column:
     pairs = F.map_entries(F.from_json(doc, "map<string,string>"))
-    return F.transform(F.coalesce(pairs, F.from_json(F.lit("[]"), "array<struct<key:string,value:string>>")), lambda p: F.struct(F.concat(prefix, F.lit("."), p["key"]).alias("key"), F.coalesce(p["value"], F.lit("null")).alias("value")))
+    return F.transform(F.coalesce(pairs, F.array().cast(_PAIRS)), lambda p: F.struct(F.concat(prefix, F.lit("."), p["key"]).alias("key"), F.coalesce(p["value"], F.lit("null")).alias("value")))
 
 
-def flatten(doc: Column, depth: int = 4, limit: int = MAX_PAIRS) -> Column:
-    """array<struct<key, value>>: ("", document), then ".a", then ".a.b", level by level.
+def flatten(doc: Column, limit: int | None = None) -> Column:
+    """array<struct<key, value>>: ("", document), then ".a", then ".a.b", level by level, however deep it is.
 
     Values with a brace among their first three characters are opened, strings
     that hold JSON included; arrays stay text; null is "null". Text that is no
-    object gives the first pair alone, null gives null.
+    object gives the first pair alone, null gives null. limit: pairs to keep,
+    for readers that expect a bound (the original has 256).
     """
     level = _children(doc, F.lit(""))
-    out = F.concat(F.array(F.struct(F.lit("").alias("key"), doc.alias("value"))), level)
-    for _ in range(depth - 1):
-        deeper = F.filter(level, lambda p: F.contains(F.substring(p["value"], 1, 3), F.lit("{")))
-        level = F.flatten(F.transform(deeper, lambda p: _children(p["value"], p["key"])))
-        out = F.concat(out, level)
-    return F.when(doc.isNotNull(), F.slice(out, 1, limit))
+    start = F.struct(F.concat(F.array(F.struct(F.lit("").alias("key"), doc.alias("value"))), level).alias("out"), level.alias("open"))
+
+    def deeper(seen: Column, _: Column) -> Column:
+        inner = F.filter(seen["open"], lambda p: F.contains(F.substring(p["value"], 1, 3), F.lit("{")))
+        new = F.flatten(F.transform(inner, lambda p: _children(p["value"], p["key"])))
+        return F.struct(F.concat(seen["out"], new).alias("out"), new.alias("open"))
+
+    # each level opens a brace, so there are no more levels than braces
+    braces = F.length(doc) - F.length(F.translate(doc, "{", ""))
+    rounds = F.when(braces > 1, F.sequence(F.lit(2), braces)).otherwise(F.array().cast("array<int>"))
+    out = F.aggregate(rounds, start, deeper)["out"]
+    return F.when(doc.isNotNull(), F.slice(out, 1, limit) if limit else out)
 
 
 def get(pairs: Column, key: str) -> Column:

@@ -38,14 +38,16 @@ def long_ipv4(c: Column) -> Column:
 
 def ip_key(c: Column) -> Column:
     """Sortable key of an address of either family; null where the text is none. IPv4-mapped IPv6 counts as IPv4."""
-    c = F.regexp_replace(c, r"^(?i)::ffff:(?=\d+\.)", "")
+    c = F.when(F.contains(c, F.lit(":")), F.regexp_replace(c, r"^(?i)::ffff:(?=\d+\.)", "")).otherwise(c)
     halves = F.split(F.lower(c), "::")
     groups = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
     left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
     fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
     full = F.when(F.size(halves) == 2, F.concat(left, fill, right)).otherwise(left)
     six = F.concat(F.lit("6"), F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
-    return F.when(is_ipv4(c), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_long(c))), 8, "0"))).when(c.rlike(f"^{V6}$") & (F.size(halves) <= 2) & (F.size(full) == 8), six)
+    p = F.split(c, r"\.")
+    four = F.lower(F.format_string("4%02X%02X%02X%02X", *(F.get(p, F.lit(i)).cast("int") for i in range(4))))
+    return F.when(is_ipv4(c), four).when(F.contains(c, F.lit(":")) & c.rlike(f"^{V6}$") & (F.size(halves) <= 2) & (F.size(full) == 8), six)
 
 
 def key_of(ip) -> str:
@@ -71,9 +73,8 @@ def in_nets(key: Column, nets: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def nets_match(ip: Column, nets: list[tuple[bool, str]]) -> Column:
-    """No negated network holds the address, and a positive one does if there are any."""
-    key = ip_key(ip)
+def nets_match(key: Column, nets: list[tuple[bool, str]]) -> Column:
+    """No negated network holds the address of this key, and a positive one does if there are any."""
     no, yes = [n for neg, n in nets if neg], [n for neg, n in nets if not neg]
     out = F.lit(True)
     if no:
@@ -112,12 +113,13 @@ def tokens(message: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.translate(message, _MARKS, " " * len(_MARKS)), r"\s+", " ")), " ")
 
 
-def ip_scan(message: Column, limit: int = 30) -> Column:
+def ip_scan(message: Column, limit: int | None = None) -> Column:
     """array<struct<ip, port>> of the addresses in a message, in order.
 
     Shapes: an address, with a final dot, ip:port, ip#port, name:ip, name#ip,
     and IPv6; a port can follow as "port N", "source|destination|client port
-    N" or ":443".
+    N" or ":443". limit: addresses to keep, for readers that expect a bound
+    (the original has 30).
     """
     toks = tokens(message)
     # each token beside the next three: a lambda that looked into `toks` would split the message anew for every token
@@ -139,7 +141,8 @@ def ip_scan(message: Column, limit: int = 30) -> Column:
         port = F.when(t.rlike(r"^[^#]*#\d{1,5}\.?$") | t.rlike(rf"^{V4}:\d{{1,5}}\.?$"), F.regexp_extract(t, r"[:#](\d{1,5})\.?$", 1).cast("int"))
         return F.struct(ip.alias("ip"), F.coalesce(port, ahead, F.lit(0)).alias("port"))
 
-    return F.slice(F.filter(F.transform(near, one), lambda x: x["ip"].isNotNull()), 1, limit)
+    found = F.filter(F.transform(near, one), lambda x: x["ip"].isNotNull())
+    return F.slice(found, 1, limit) if limit else found
 
 
 def proto_scan(message: Column) -> Column:

@@ -12,7 +12,8 @@ from ..plans.rules import Content
 
 def valid_message(m: Column) -> Column:
     """Two characters at least, neither a line break."""
-    return F.coalesce((F.length(m) >= 2) & ~F.substring(m, 1, 2).rlike(r"[\r\n\x00]"), F.lit(False))
+    breaks = ["\r", "\n", "\0"]
+    return F.coalesce((F.length(m) >= 2) & ~F.substring(m, 1, 1).isin(breaks) & ~F.substring(m, 2, 1).isin(breaks), F.lit(False))
 
 
 def glob(c: Column, pattern: str) -> Column:

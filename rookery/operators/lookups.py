@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.net import cidr_range, ip_key, not_routable
 
 
+#: Rows of a dimension up to which it is broadcast; a larger one is joined as Catalyst sees fit.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A dimension, with a broadcast hint if no more than SMALL rows of it are counted."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def ranges(spark: SparkSession, cidrs: list[tuple], columns: str = "cidr string") -> DataFrame:
     """(lo, hi, family, ...) of networks given as (cidr, ...) rows; invalid and repeated ones are left out."""
     out, seen = [], set()
@@ -57,24 +66,53 @@ def intel_addresses(df: DataFrame, intel: DataFrame, ip: str = "src_ip") -> Data
     return df.where(~not_routable(F.col(ip))).join(intel.where("type = 'ADDR'").select(F.col("indicator").alias(ip)).distinct(), ip, "left_semi")
 
 
-def intel_strings(df: DataFrame, intel: DataFrame, kind: str, column: str = "message") -> DataFrame:
+#: Needles up to which a text is tested for each; beyond, texts meet them by pieces of their words.
+FEW_NEEDLES = 64
+_GRAM = 4
+
+
+def intel_strings(df: DataFrame, intel: DataFrame, kind: str, column: str = "message", key: str = "event_seq") -> DataFrame:
     """Rows whose text holds an indicator of a type, in any case.
 
-    Indicators of one word are found by an equi join on the text's words, the
-    others, and those that stand inside longer words, by containment.
+    A few indicators become one expression. Of many, each is known by the first
+    four characters of its longest word; the pieces of four of every word of a
+    text are joined with these, and what meets is confirmed by containment.
+    Shorter indicators, of which there can't be many, stay an expression.
     """
-    mine = intel.where(F.col("type") == kind).select(F.lower("indicator").alias("needle")).distinct()
-    return df.join(mine, F.contains(F.lower(F.col(column)), F.col("needle")), "left_semi")
+    mine = intel.where(F.col("type") == kind).select(F.lower("indicator").alias("needle")).where("needle <> ''").distinct()
+    words = F.split("needle", r"\s+")
+    anchor = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    mine = mine.withColumn("gram", F.substring(anchor, 1, _GRAM))
+    short = F.length("gram") < _GRAM
+    some = mine.limit(FEW_NEEDLES + 1).collect()
+    few = [r.needle for r in some] if len(some) <= FEW_NEEDLES else [r.needle for r in mine.where(short).collect()]
+    low, hit = F.lower(F.col(column)), F.lit(False)
+    for n in few:
+        hit = hit | F.contains(low, F.lit(n))
+    if len(some) <= FEW_NEEDLES:
+        return df.where(hit)
+    pieces = F.flatten(F.transform(F.array_distinct(F.split(low, r"\s+")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (_GRAM - 1), F.lit(1))), lambda i: F.substring(w, i, _GRAM))))
+    met = df.select(key, low.alias("__low"), F.explode(F.array_distinct(pieces)).alias("gram")).join(mine.where(~short), "gram").where(F.contains("__low", F.col("needle"))).select(key).distinct()
+    return df.join(met.withColumn("__met", F.lit(True)), key, "left").where(F.col("__met").isNotNull() | hit).drop("__met")
+
+
+def addresses(df: DataFrame, *columns: str) -> DataFrame:
+    """(ip): the distinct addresses of some columns."""
+    return df.select(F.explode(F.array(*columns)).alias("ip")).where("ip is not null").distinct()
+
+
+def countries(ips: DataFrame, geo: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """(ip, countries) of addresses(ip) that are routable, known and not skipped; countries in upper case."""
+    known = ips.where(~not_routable(F.col("ip")))
+    if skip is not None:
+        known = range_join(known, "ip", skip, "left_anti")
+    return range_join(known, "ip", geo.select("lo", "hi", F.upper("country").alias("__c")), "inner").groupBy("ip").agg(F.collect_set("__c").alias("countries"))
 
 
 def country(df: DataFrame, geo: DataFrame, ip: str, codes: list[str], inside: bool, skip: DataFrame | None = None) -> DataFrame:
     """Rows whose address is (or isn't) in countries; not routable, skipped and unknown addresses are neither."""
-    known = df.where(~not_routable(F.col(ip)))
-    if skip is not None:
-        known = range_join(known, ip, skip, "left_anti")
-    hit = range_join(known, ip, geo.select("lo", "hi", F.col("country").alias("__country")), "inner")
-    test = F.upper("__country").isin(codes)
-    return hit.where(test if inside else ~test).drop("__country")
+    c = countries(addresses(df, ip), geo, skip).withColumnsRenamed({"ip": "__i", "countries": "__c"})
+    return df.join(c, F.col(ip) == F.col("__i")).where(F.exists("__c", lambda x: x.isin(codes) if inside else ~x.isin(codes))).drop("__i", "__c")
 
 
 def reputation(df: DataFrame, rep: DataFrame, kind: str, column: str, categories: list[str], names: dict[str, int], mdate: int | None = None, cdate: int | None = None, now: Column | None = None) -> DataFrame:
@@ -92,16 +130,16 @@ def reputation(df: DataFrame, rep: DataFrame, kind: str, column: str, categories
 
 def classify(alerts: DataFrame, classes: DataFrame) -> DataFrame:
     """Description of each class name, UNKNOWN where there is none."""
-    return alerts.join(F.broadcast(classes.select(F.col("short").alias("classtype"), F.col("description").alias("category"))), "classtype", "left").withColumn("category", F.coalesce("category", F.lit("UNKNOWN")))
+    return alerts.join(small(classes.select(F.col("short").alias("classtype"), F.col("description").alias("category"))), "classtype", "left").withColumn("category", F.coalesce("category", F.lit("UNKNOWN")))
 
 
 def cross_references(rules_refs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(sid, xref): all references of a rule as "[Xref => url]", in their order."""
-    j = rules_refs.join(F.broadcast(prefixes), "id")
+    j = rules_refs.join(small(prefixes), "id")
     return j.groupBy("sid").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("n", "url_prefix", "value"))), lambda x: F.concat(F.lit("[Xref => "), x["url_prefix"], x["value"], F.lit("]")))).alias("xref"))
 
 
 def resolve_hosts(df: DataFrame, dns: DataFrame, default_host: str) -> DataFrame:
     """Host names replaced by their addresses from a table (host, ip); unknown names by the default."""
-    j = df.join(F.broadcast(dns.select(F.col("host").alias("__h"), F.col("ip").alias("__ip"))), F.col("host") == F.col("__h"), "left")
+    j = df.join(small(dns.select(F.col("host").alias("__h"), F.col("ip").alias("__ip"))), F.col("host") == F.col("__h"), "left")
     return j.withColumn("host", F.when(ip_key(F.col("host")).isNotNull(), F.col("host")).otherwise(F.coalesce("__ip", F.lit(default_host)))).drop("__h", "__ip")

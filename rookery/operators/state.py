@@ -2,15 +2,16 @@
 
 Rows are ordered by (event_time, event_seq, rule_pos). Rate control keeps one
 counter a key; bits are named records that expire. Everything is partitioned by
-the key, so no state is shared between partitions.
+the key, so no state is shared between partitions; running() also cuts a key's
+rows by time, so that a key of a third of all rows is many tasks' work.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.rules import to_seconds
 
@@ -43,21 +44,34 @@ def limit_step(state, t: int, count: int, secs: int, mode: str):
     return (c, u), False
 
 
-def _fold(keys: list[str], mode: str):
+def _fold(mode: str, names: list[str], state_only: bool):
+    """One pass over rows sorted by __k. Rows of __seq null give a key's state (c, u) from before."""
+
     def run(batches):
-        now, c, u = object(), 0, 0
-        for pdf in batches:
-            key = pdf["__k"].tolist()
-            ts, n, s = pdf["__t"].tolist(), pdf["__n"].tolist(), pdf["__s"].tolist()
-            keep = np.zeros(len(pdf), bool)
+        now, c, u, known = object(), 0, 0, False
+        out: list[tuple] = []
+        for batch in batches:
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            key, ts, n, s, old = (batch.column(at[x]).to_pylist() for x in ("__k", "__t", "__n", "__s", "__c"))
+            keep = np.zeros(batch.num_rows, bool)
             for i, k in enumerate(key):
                 t = ts[i]
                 if k != now:
-                    now, c, u = k, 1, t
+                    if state_only and known:
+                        out.append((now, c, u))
+                    now, known = k, old[i] is not None
+                    if known:
+                        c, u = old[i], t
+                        continue
+                if not known:
+                    c, u, known = 1, t, True
                     keep[i] = mode != "after"
                     continue
                 c += 1
-                if t - u > s[i]:
+                gap = t - u > s[i]
+                if mode == "suppress":
+                    u = t
+                if gap:
                     c, u = 1, t
                 if mode == "after":
                     if c > n[i]:
@@ -65,7 +79,12 @@ def _fold(keys: list[str], mode: str):
                         keep[i] = True
                 else:
                     keep[i] = c <= n[i]
-            yield pdf[keep].drop(columns=["__k", "__t", "__n", "__s"])
+            if not state_only:
+                yield batch.select(names).filter(pa.array(keep))
+        if state_only:
+            if known:
+                out.append((now, c, u))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["k", "c", "u"])
 
     return run
 
@@ -74,15 +93,48 @@ def _key(keys: list[str]) -> Column:
     return F.concat_ws("\u0001", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
 
 
-def counted(df: DataFrame, keys: list[str], count: Column, secs: Column, mode: str, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Rows that `limit` lets pass or at which `after` fires; windows are anchored at a key's first event.
+def _sorted(df, keys, count, secs, order, before):
+    wide = df.withColumns({"__k": _key(keys), "__t": seconds(order[0]), "__n": count.cast("long"), "__s": secs.cast("long"), "__c": F.lit(None).cast("long")})
+    if before is not None:
+        wide = wide.unionByName(before.select(F.col("k").alias("__k"), F.col("u").alias("__t"), F.col("c").alias("__c")), allowMissingColumns=True)
+    return wide.repartition("__k").sortWithinPartitions("__k", F.col("__c").isNull(), *order)
+
+
+def counted(df: DataFrame, keys: list[str], count: Column, secs: Column, mode: str, order: tuple[str, ...] = ORDER, before: DataFrame | None = None) -> DataFrame:
+    """Rows that `limit` or `suppress` lets pass or at which `after` fires; windows are anchored at a key's first event.
 
     The machine looks at its own past decisions, which no window function can;
-    each partition is one pass over sorted rows with a constant state.
+    each partition is one pass over sorted rows with a constant state, and of a
+    row Python looks at the key and three numbers alone. before(k, c, u): the
+    keys' states from earlier batches (counter_state()).
+    """
+    return _sorted(df, keys, count, secs, order, before).mapInArrow(_fold(mode, df.columns, False), df.schema)
+
+
+def counter_state(df: DataFrame, keys: list[str], count: Column, secs: Column, mode: str, order: tuple[str, ...] = ORDER, before: DataFrame | None = None) -> DataFrame:
+    """(k, c, u): each key's state after counted() has seen these rows."""
+    return _sorted(df, keys, count, secs, order, before).select("__k", "__t", "__n", "__s", "__c").mapInArrow(_fold(mode, [], True), "k string, c long, u long")
+
+
+#: Seconds of a key's rows that one task goes through in running().
+BUCKET = 3600
+
+
+def running(df: DataFrame, keys: list[str], value: Column, how: str, name: str, order: tuple[str, ...] = ORDER, after: bool = False) -> DataFrame:
+    """df with `name`: max, min or sum of a value over the rows of the key before each row (or after it), the row itself left out.
+
+    Rows are cut by time: totals of each BUCKET seconds are carried over the
+    buckets, and rows are gone through inside their own.
     """
-    cols = df.columns
-    wide = df.withColumn("__k", _key(keys)).withColumn("__t", seconds(order[0])).withColumn("__n", count.cast("long")).withColumn("__s", secs.cast("long"))
-    return wide.repartition("__k").sortWithinPartitions("__k", *order).mapInPandas(_fold(keys, mode), T.StructType([f for f in df.schema if f.name in cols]))
+    agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    wide = df.withColumn("__b", F.floor(seconds(order[0]) / BUCKET)).withColumn("__v", value)
+    every, inside = Window.partitionBy(*keys).orderBy("__b"), Window.partitionBy(*keys, "__b").orderBy(*order)
+    span = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
+    total = wide.groupBy(*keys, "__b").agg(agg("__v").alias("__p"))
+    total = total.withColumn("__far", agg("__p").over(every.rowsBetween(*span))).drop("__p")
+    near = wide.withColumn("__near", agg("__v").over(inside.rowsBetween(*span)))
+    both = F.coalesce("__far", F.lit(0)) + F.coalesce("__near", F.lit(0)) if how == "sum" else (F.greatest if how == "max" else F.least)("__far", "__near")
+    return near.join(total, [*keys, "__b"]).withColumn(name, both).drop("__b", "__v", "__far", "__near")
 
 
 def suppress(df: DataFrame, keys: list[str], count: Column, secs: Column, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -102,6 +154,15 @@ def xbit_key(track: str) -> Column:
     return F.concat_ws("\u0001", *(F.coalesce(F.col(c), F.lit("")) for c in XKEYS[track]))
 
 
+def _at(*cols) -> Column:
+    """A moment in the order of rows."""
+    return F.struct(*(c.alias(n) for c, n in zip(cols, ORDER)))
+
+
+def _now() -> Column:
+    return _at(*map(F.col, ORDER))
+
+
 def xbit_state(tests: DataFrame, ops: DataFrame) -> DataFrame:
     """tests(id, name, key, event_time, event_seq, rule_pos) with `is_set` and `by` (event_seq of the set).
 
@@ -109,13 +170,17 @@ def xbit_state(tests: DataFrame, ops: DataFrame) -> DataFrame:
     for a set, null for an unset. A bit is set while t < set + expire, strictly;
     the last operation before the test counts.
     """
-    t = seconds()
-    both = tests.select("name", "key", *ORDER, F.lit(0).alias("is_op"), F.lit(None).cast("long").alias("until"), "id").unionByName(
-        ops.select("name", "key", *ORDER, F.lit(1).alias("is_op"), F.when(F.col("expire").isNotNull(), t + F.col("expire")).otherwise(-1).alias("until"), F.lit(None).cast(tests.schema["id"].dataType).alias("id"))
-    )
-    w = Window.partitionBy("name", "key").orderBy(*ORDER, "is_op").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("is_op") == 1, F.struct("until", F.col("event_seq").alias("by"))), ignorenulls=True).over(w)
-    return both.withColumn("__s", seen).where("is_op = 0").select("id", "name", "key", *ORDER, F.coalesce(seconds() < F.col("__s.until"), F.lit(False)).alias("is_set"), F.col("__s.by").alias("by"))
+    until = F.when(F.col("expire").isNotNull(), seconds() + F.col("expire")).otherwise(-1)
+    both = tests.select("name", "key", *ORDER, F.lit(0).alias("is_op"), F.lit(None).cast("long").alias("until"), "id").unionByName(ops.select("name", "key", *ORDER, F.lit(1).alias("is_op"), until.alias("until"), F.lit(None).cast(tests.schema["id"].dataType).alias("id")))
+    last = F.when(F.col("is_op") == 1, F.struct(_now().alias("at"), "until", F.col("event_seq").alias("by")))
+    seen = running(both, ["name", "key"], last, "max", "__s", (*ORDER, "is_op"))
+    return seen.where("is_op = 0").select("id", "name", "key", *ORDER, F.coalesce(seconds() < F.col("__s.until"), F.lit(False)).alias("is_set"), F.col("__s.by").alias("by"))
+
+
+def xbit_left(ops: DataFrame) -> DataFrame:
+    """The last operation of each bit: all that later batches need."""
+    last = F.max(F.struct(*ORDER, "expire")).alias("o")
+    return ops.groupBy("name", "key").agg(last).select("name", "key", "o.*")
 
 
 #: Flexbit directions: pairs (record column, event column) that must agree.
@@ -135,40 +200,57 @@ for _k, _v in _PORTS.items():
 _WHO = ("src_ip", "dst_ip", "src_port", "dst_port", "username")
 
 
-def flexbit_lives(sets: DataFrame, unsets: DataFrame | None = None) -> DataFrame:
-    """Lives of records: (name, src_ip, dst_ip, src_port, dst_port, username, from_*, until, by).
+def _who(direction: str, side: int) -> Column:
+    """Key of the record's (0) or the event's (1) columns that a direction compares."""
+    return F.concat_ws("\u0001", *(F.coalesce(F.col(p[side]).cast("string"), F.lit("")) for p in FLEX[direction]))
 
-    sets(name, the five, event_time, event_seq, rule_pos, expire). Setting a
-    live record again prolongs it, so a life here is one set up to the next of
-    the same record; unsets(name, direction, the five, ...) end lives they match.
+
+def flexbit_lives(sets: DataFrame, unsets: DataFrame | None = None, directions: tuple[str, ...] = tuple(FLEX)) -> DataFrame:
+    """Lives of records: (name, the five, event_time, event_seq, rule_pos, expire, stop).
+
+    sets(name, src_ip, dst_ip, src_port, dst_port, username, event_time,
+    event_seq, rule_pos, expire). A life ends when it expires, when its record
+    is set again (which begins another), or with the first later unset that
+    matches it; stop is the earliest of these moments. unsets(name, direction,
+    the five, ...); directions: those that occur in unsets.
     """
-    w = Window.partitionBy("name", *_WHO).orderBy(*ORDER)
-    nxt = F.lead(F.struct(*ORDER)).over(w)
-    lives = sets.select("name", *_WHO, *ORDER, "expire").withColumn("until", seconds() + F.col("expire")).withColumn("next", nxt)
-    lives = lives.select("name", *_WHO, F.struct(*ORDER).alias("born"), "until", "next", F.col("event_seq").alias("by"))
+    life = sets.select("name", *_WHO, *ORDER, "expire").withColumn("__key", _who("both_p", 0)).withColumn("__key", F.concat_ws("\u0001", "__key", F.coalesce("username", F.lit(""))))
+    life = running(life, ["name", "__key"], _now(), "min", "stop", after=True)
+    end = _at(F.timestamp_seconds(seconds() + F.col("expire")), F.lit(-1).cast(sets.schema["event_seq"].dataType), F.lit(-1).cast(sets.schema["rule_pos"].dataType))
+    life = life.withColumn("stop", F.least("stop", end)).drop("__key")
     if unsets is None:
-        return lives.withColumn("ended", F.lit(None).cast(lives.schema["born"].dataType))
-    ends = None
-    for d in FLEX:
-        u = unsets.where(F.col("direction") == d).select(F.col("name").alias("u_name"), *(F.col(c).alias("u_" + c) for c in _WHO), F.struct(*ORDER).alias("at"))
-        on = [F.col("name") == F.col("u_name"), *(F.col(a) == F.col("u_" + b) for a, b in FLEX[d])]
-        hit = lives.join(u, [*on, F.col("at") > F.col("born")]).select("name", *_WHO, "born", "at")
-        ends = hit if ends is None else ends.unionByName(hit)
-    first = ends.groupBy("name", *_WHO, "born").agg(F.min("at").alias("ended"))
-    keys = ["name", *_WHO, "born"]
-    joined = lives.alias("l").join(first.alias("e"), [F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys], "left")
-    return joined.select("l.*", "e.ended")
-
-
-def flexbit_matches(tests: DataFrame, lives: DataFrame, direction: str) -> DataFrame:
-    """(id, records, by): tests that live records match, with how many and the last setting event.
-
-    An equi join on the name and the direction's columns; time is a filter.
+        return life
+    for d in directions:
+        mine = unsets.where(F.col("direction") == d).select("name", *ORDER, _who(d, 1).alias("__key"), F.lit(True).alias("__ends"))
+        both = life.withColumn("__key", _who(d, 0)).withColumn("__ends", F.lit(False)).unionByName(mine, allowMissingColumns=True)
+        both = running(both, ["name", "__key"], F.when(F.col("__ends"), _now()), "min", "__end", after=True)
+        life = both.where("not __ends").withColumn("stop", F.least("stop", "__end")).drop("__key", "__ends", "__end")
+    return life
+
+
+def flexbit_matches(tests: DataFrame, lives: DataFrame, direction: str, count: bool = False) -> DataFrame:
+    """(id, records, by) of every test: is a record alive (records 1 or 0) and the setting event of the one that lives longest; or how many are alive.
+
+    tests(id, name, the five, event_time, event_seq, rule_pos). A running
+    maximum of the ends of lives, or a running sum of births and ends, over
+    rows that a direction's columns bring together; nothing is paired.
     """
-    t = tests.select("id", F.col("name").alias("t_name"), *(F.col(c).alias("t_" + c) for c in _WHO), F.struct(*ORDER).alias("now"), seconds().alias("t_s"))
-    on = [F.col("name") == F.col("t_name"), *(F.col(a) == F.col("t_" + b) for a, b in FLEX[direction])]
-    live = (F.col("born") < F.col("now")) & (F.col("t_s") < F.col("until")) & (F.col("next").isNull() | (F.col("next") >= F.col("now"))) & (F.col("ended").isNull() | (F.col("ended") >= F.col("now")))
-    return t.join(lives, [*on, live]).groupBy("id").agg(F.count("*").alias("records"), F.max("by").alias("by"))
+    asked = tests.select("name", *ORDER, _who(direction, 1).alias("__key"), "id", F.lit(True).alias("__ask"))
+    born = lives.select("name", *ORDER, _who(direction, 0).alias("__key"), "stop", F.lit(False).alias("__ask"), F.lit(1).alias("__n"))
+    if count:
+        gone = lives.select("name", *(F.col(f"stop.{c}").alias(c) for c in ORDER), _who(direction, 0).alias("__key"), F.lit(False).alias("__ask"), F.lit(-1).alias("__n"))
+        both = asked.unionByName(born.drop("stop"), allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+        got = running(both, ["name", "__key"], F.coalesce("__n", F.lit(0)), "sum", "records", (*ORDER, "__n"))
+        return got.where("__ask").select("id", "records", F.lit(None).cast("long").alias("by"))
+    both = asked.unionByName(born, allowMissingColumns=True)
+    got = running(both, ["name", "__key"], F.when(~F.col("__ask"), F.struct("stop", F.col("event_seq").alias("by"))), "max", "__s")
+    alive = F.coalesce(F.col("__s.stop") > _now(), F.lit(False))
+    return got.where("__ask").select("id", F.when(alive, 1).otherwise(0).alias("records"), F.when(alive, F.col("__s.by")).alias("by"))
+
+
+def flexbit_left(lives: DataFrame, since: Column) -> DataFrame:
+    """The sets that nothing but their expiry ends, and that after a moment (seconds): all that later batches need."""
+    return lives.where((F.col("stop.event_seq") == -1) & (seconds(F.col("stop.event_time")) > since)).drop("stop")
 
 
 def simulate_bits(rows: list[dict]) -> list[bool]:
@@ -214,9 +296,13 @@ def client_stats(events: DataFrame, key: str = "src_ip", private_only: bool = Fa
 
 
 def counters(events: DataFrame, every: str) -> DataFrame:
-    """(window_start, received, bytes, eps, delta): counters of each period and their change."""
+    """(window_start, received, bytes, max_bytes, hosts, programs, eps, delta): counters of each period and their change.
+
+    bytes and max_bytes are of messages; delta is the change of received since
+    the period before, which is the last one that has events.
+    """
     sec = to_seconds(every)
-    g = events.groupBy((F.floor(seconds() / sec) * sec).cast("long").alias("window_start")).agg(F.count("*").alias("received"), F.sum(F.coalesce(F.length("message"), F.lit(0))).alias("bytes"))
-    w = Window.orderBy("window_start")
+    size = F.coalesce(F.octet_length("message"), F.lit(0))
+    g = events.groupBy((F.floor(seconds() / sec) * sec).cast("long").alias("window_start")).agg(F.count("*").alias("received"), F.sum(size).alias("bytes"), F.max(size).alias("max_bytes"), F.countDistinct("host").alias("hosts"), F.countDistinct("program").alias("programs"))
+    w = Window.partitionBy(F.lit(0)).orderBy("window_start")  # one row a period
     return g.withColumn("eps", F.col("received") / float(sec)).withColumn("delta", F.col("received") - F.coalesce(F.lag("received").over(w), F.lit(0)))
-

@@ -1,8 +1,8 @@
 """Rule -> Column expressions.
 
-compile_rule() gives a predicate over the event and the fields the rule
-extracts from it. candidates() evaluates all rules in one pass over the events:
-each rule is one element of an array, matched ones are exploded.
+compile_rule() gives tests of the event and the fields the rule extracts from
+it. candidates() evaluates all rules in one pass over the events and explodes
+the numbers of those that match.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from ..functions import jsonflat, net, text
 from .rules import Rule
 
 #: Fields a rule may extract, with their types.
-FIELDS = {"src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int", "proto": "int", "username": "string", "event_id": "string", "md5": "string", "sha1": "string", "sha256": "string", "filename": "string", "hostname": "string", "url": "string", "ja3": "string", "flow_id": "bigint"}
-#: Rules a projection evaluates at once; more would outgrow generated code.
+FIELDS = {"src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int", "proto": "int", "username": "string", "event_id": "string", "md5": "string", "sha1": "string", "sha256": "string", "filename": "string", "hostname": "string", "url": "string", "ja3": "string", "flow_id": "bigint", "normalized": "string"}
+#: Rules of one array of numbers; more would outgrow a generated method.
 CHUNK = 40
 
 
@@ -69,11 +69,44 @@ def _normalized(message: Column, patterns: list[str], name: str) -> Column:
     return out
 
 
-def compile_rule(r: Rule, columns: list[str], t: Templates = NONE) -> tuple[Column, dict[str, Column]]:
-    """(predicate, fields) of a rule; columns that events lack count as null."""
+@dataclass
+class Compiled:
+    """What a rule becomes: header is a plain test of columns, for the scan, or None; plain are the tests that need no addresses, flow those that do."""
+
+    header: Column | None
+    plain: Column
+    flow: Column | None
+    fields: dict[str, Column]
+    message: Column
+
+
+def profile(r: Rule) -> tuple:
+    """What decides how a rule's fields are extracted: rules of equal profiles share their fields."""
+    return (tuple(r.json_map.items()), r.append_program, r.normalize, tuple(r.event_ids), r.parse_src_ip, r.parse_dst_ip, tuple(r.parse_hashes), r.parse_proto, r.parse_proto_program, r.default_proto, r.default_src_port, r.default_dst_port)
+
+
+class _Fields(dict):
+    """A field's column, made when it is asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, name: str) -> Column:
+        self[name] = self.make(name)
+        return self[name]
+
+
+def compile_rule(r: Rule, columns: list[str], t: Templates = NONE, ips: Column | None = None, keys: tuple[Column, Column] | None = None, fields: bool = True) -> Compiled:
+    """A rule's tests and fields; columns that events lack count as null. Without `fields`, only those are made that its tests need.
+
+    ips: the message's scanned addresses where they are a column already; keys:
+    the same of the source's and the destination's sortable address.
+    """
     col = lambda c, kind="string": F.col(c) if c in columns else F.lit(None).cast(kind)
     pairs = F.col("json") if "json" in columns else F.lit(None).cast("array<struct<key:string,value:string>>")
-    f = {n: col(n, k).cast(k) for n, k in FIELDS.items()}
+    f = _Fields(lambda n: col(n, FIELDS[n]).cast(FIELDS[n]))
+    late_needed = bool(r.proto or r.src_nets or r.dst_nets or r.src_ports or r.dst_ports)
     message, program = col("message"), col("program")
     numbers = {"tcp": 6, "udp": 17, "icmp": 1}
     for name, key in r.json_map.items():
@@ -92,11 +125,15 @@ def compile_rule(r: Rule, columns: list[str], t: Templates = NONE) -> tuple[Colu
     if r.append_program:
         message = F.when(F.coalesce(program, F.lit("")) != "", F.concat(message, F.lit(" | "), program)).otherwise(message)
     tests: list[Column] = []
+    header = None
     if r.programs:
         tests.append(text.any_glob(program, r.programs))
+        if "program" in columns and "program" not in r.json_map and not any(set(p) & set("*?") for p in r.programs):
+            header = F.col("program").isin(r.programs)
     for name, values in (("facility", r.facilities), ("level", r.levels), ("tag", r.tags), ("priority", r.priorities)):
         if values:
             tests.append(col(name).isin(values))
+            header = tests[-1] if header is None and name in columns else header
     if r.contents or r.pcres or r.metas or r.json_pcres or r.json_contents or r.json_metas or r.event_ids:
         tests.append(text.valid_message(message))
     if r.contents:
@@ -109,12 +146,22 @@ def compile_rule(r: Rule, columns: list[str], t: Templates = NONE) -> tuple[Colu
     tests += [jsonflat.json_meta_content(pairs, c) for c in r.json_metas]
     if r.normalize and t.patterns:
         for n, k in FIELDS.items():
-            f[n] = F.coalesce(_normalized(message, t.patterns, n).try_cast(k), f[n])
+            if n != "normalized":
+                f[n] = F.coalesce(_normalized(message, t.patterns, n).try_cast(k), f[n])
+        found = F.struct(*(_normalized(message, t.patterns, n).alias(n) for n in FIELDS if any(f"<{n}>" in p for p in t.patterns)))
+        f["normalized"] = F.nullif(F.to_json(found), F.lit("{}"))
     if r.event_ids:
         f["event_id"] = text.event_id(message, f["event_id"], r.event_ids)
         tests.append(f["event_id"].isNotNull())
+    if r.alert_days is not None or r.alert_hours is not None:
+        tests.append(alert_time(F.col("event_time"), r.alert_days, r.alert_hours))
+    both = lambda xs: F.coalesce(reduce(lambda a, b: a & b, xs), F.lit(False)) if xs else None
+    plain = both(tests)
+    plain = F.lit(True) if plain is None else plain
+    if not fields and not late_needed:
+        return Compiled(header, plain, None, f, message)
     if r.parse_src_ip or r.parse_dst_ip:
-        ips = net.ip_scan(message)
+        ips = net.ip_scan(message) if ips is None else ips
         for n, ip, port in ((r.parse_src_ip, "src_ip", "src_port"), (r.parse_dst_ip, "dst_ip", "dst_port")):
             if n:
                 got = F.get(ips, F.lit(n - 1))
@@ -135,42 +182,82 @@ def compile_rule(r: Rule, columns: list[str], t: Templates = NONE) -> tuple[Colu
     host = F.when(col("host").rlike(r"^(127\.|::1$)"), F.lit(t.default_host)).otherwise(col("host")) if t.default_host else col("host")
     for ip in ("src_ip", "dst_ip"):
         f[ip] = F.when(f[ip].rlike(net.REMOTE), f[ip]).otherwise(host)
-    if r.proto:
-        tests.append(f["proto"] == r.proto)
+    late: list[Column] = [f["proto"] == r.proto] if r.proto else []
+    key = dict(zip(("src_ip", "dst_ip"), keys)) if keys else {}
 
     def flow(a, ap, b, bp):
         out = F.lit(True)
         for c, nets in ((a, r.src_nets), (b, r.dst_nets)):
             if nets:
-                out = out & net.nets_match(c, nets)
+                out = out & net.nets_match(key[c] if key else net.ip_key(f[c]), nets)
         for c, ports in ((ap, r.src_ports), (bp, r.dst_ports)):
             if ports:
-                out = out & net.ports_match(c, ports)
+                out = out & net.ports_match(f[c], ports)
         return out
 
     if r.src_nets or r.dst_nets or r.src_ports or r.dst_ports:
-        there, back = (f["src_ip"], f["src_port"], f["dst_ip"], f["dst_port"]), (f["dst_ip"], f["dst_port"], f["src_ip"], f["src_port"])
-        tests.append(flow(*there) if r.direction == "->" else flow(*back) if r.direction == "<-" else flow(*there) | flow(*back))
-    if r.alert_days is not None or r.alert_hours is not None:
-        tests.append(alert_time(F.col("event_time"), r.alert_days, r.alert_hours))
-    predicate = F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)) if tests else F.lit(True)
-    return predicate, f
+        there, back = ("src_ip", "src_port", "dst_ip", "dst_port"), ("dst_ip", "dst_port", "src_ip", "src_port")
+        late.append(flow(*there) if r.direction == "->" else flow(*back) if r.direction == "<-" else flow(*there) | flow(*back))
+    return Compiled(header, plain, both(late), f, message)
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
 def candidates(events: DataFrame, rules: list[Rule], t: Templates = NONE) -> DataFrame:
     """Events x rules whose stateless tests hold: the event's columns, `rule_pos`, and the rule's fields.
 
-    A single scan of the events; the match array is built from CHUNK rules at a
-    time and unmatched events leave no row.
+    One scan of the events. Tests of header columns that every rule has reach
+    the scan; then go events on which no plain test holds. Addresses and their
+    keys are made once an event for each profile whose rules look at networks,
+    rule numbers alone are exploded, and fields are made after, for matches.
     """
     keep = [c for c in events.columns if c not in FIELDS]
-    structs = []
+    if not rules:
+        return events.where("false").select(*keep, F.lit(None).cast("int").alias("rule_pos"), *(F.lit(None).cast(k).alias(n) for n, k in FIELDS.items()))
+    groups: dict[tuple, list[Rule]] = {}
     for r in rules:
-        p, f = compile_rule(r, events.columns, t)
-        structs.append(F.when(p, F.struct(F.lit(r.position).alias("rule_pos"), *(f[n].cast(k).alias(n) for n, k in FIELDS.items()))))
-    parts = [F.filter(F.array(*structs[i : i + CHUNK]), lambda x: x.isNotNull()) for i in range(0, len(structs), CHUNK)]
-    if not parts:
-        hits = F.from_json(F.lit("[]"), "array<struct<rule_pos:int," + ",".join(f"{n}:{k}" for n, k in FIELDS.items()) + ">>")
-    else:
-        hits = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return events.select(*keep, F.explode(hits).alias("hit")).select(*keep, "hit.*")
+        groups.setdefault(profile(r), []).append(r)
+    columns = events.columns
+    compiled = {r.position: compile_rule(r, columns, t, fields=False) for r in rules}
+    if all(c.header is not None for c in compiled.values()):
+        events = events.where(_any([c.header for c in compiled.values()]))
+    if any(r.contents or r.pcres or r.programs or r.levels or r.facilities or r.tags or r.metas for r in rules):
+        events = events.where(_any([c.plain for c in compiled.values()]))
+    made = []
+
+    def also(**new: Column) -> None:
+        nonlocal events
+        events = events.withColumns(new)
+        made.extend(new)
+
+    for n, g in enumerate(groups.values()):
+        if not any(x.src_nets or x.dst_nets for x in g):
+            continue
+        ips = None
+        if g[0].parse_src_ip or g[0].parse_dst_ip:
+            also(**{f"__ips{n}": net.ip_scan(compiled[g[0].position].message)})
+            ips = F.col(f"__ips{n}")
+        f = compile_rule(g[0], columns, t, ips).fields
+        also(**{f"__src{n}": f["src_ip"], f"__dst{n}": f["dst_ip"]})
+        also(**{f"__from{n}": net.ip_key(F.col(f"__src{n}")), f"__to{n}": net.ip_key(F.col(f"__dst{n}"))})
+        for r in g:
+            compiled[r.position] = compile_rule(r, columns, t, ips, (F.col(f"__from{n}"), F.col(f"__to{n}")), False)
+    number = [F.when(c.plain if c.flow is None else c.plain & c.flow, p).otherwise(-1) for p, c in compiled.items()]
+    parts = [F.array_remove(F.array(*number[i : i + CHUNK]), -1) for i in range(0, len(number), CHUNK)]
+    hit = events.select(*[c for c in events.columns if c not in made], F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("rule_pos"))
+    mine = {p: F.col("rule_pos").isin([r.position for r in g]) for p, g in groups.items()}
+    scans = {p: F.when(mine[p], net.ip_scan(compiled[g[0].position].message)) for p, g in groups.items() if g[0].parse_src_ip or g[0].parse_dst_ip}
+    names = {p: f"__scan{i}" for i, p in enumerate(scans)}
+    if scans:
+        hit = hit.withColumns({names[p]: c for p, c in scans.items()})
+    fields = {p: compile_rule(g[0], columns, t, F.col(names[p]) if p in names else None).fields for p, g in groups.items()}
+    first, *others = groups
+    out = []
+    for n, k in FIELDS.items():
+        c = fields[first][n].cast(k)
+        for p in others:
+            c = F.when(mine[p], fields[p][n].cast(k)).otherwise(c)
+        out.append(c.alias(n))
+    return hit.select(*keep, "rule_pos", *out)

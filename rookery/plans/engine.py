@@ -3,14 +3,17 @@
 Rules are staged so that a rule that tests a bit comes after those that set it,
 and all rules after a `pass` come after it. Each stage is one pass of candidate
 matches through look-ups, bit tests, after, threshold and effects; a stage's
-emitted setters are what later stages test.
+emitted setters are what later stages test. Rules of one kind of look-up or bit
+test go through it together, in one join, however many they are. A stream is
+the same over its batches, with what counters and bits remember in between.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import ip_key, ip_scan
@@ -37,6 +40,8 @@ class Tables:
     classes: DataFrame | None = None
     templates: Templates = field(default_factory=lambda: NONE)
     offload: dict = field(default_factory=dict)
+    #: Prefixes of cross references, by their name.
+    references: dict[str, str] = field(default_factory=dict)
 
 
 def stages(rules: list[Rule]) -> list[list[Rule]]:
@@ -97,126 +102,220 @@ def _tests(r: Rule) -> bool:
 def _readings(rules: list[Rule]) -> int:
     """How often a level's matches would be read if they weren't written."""
     plain = [r for r in rules if not (_looks(r) or _tests(r) or r.after or r.threshold)]
-    return len([r for r in rules if _looks(r)]) + len([r for r in rules if _tests(r)]) + len({(*q.keys, q.kind) for r in rules for q in (r.after, r.threshold) if q}) + bool(plain)
+    return 2 * any(map(_looks, rules)) + 2 * any(map(_tests, rules)) + len({(*q.keys, q.kind) for r in rules for q in (r.after, r.threshold) if q}) + bool(plain)
+
+
+_IDENT = ["event_seq", "rule_pos"]
+
+
+def _table(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
+    """What rules ask for, as small as the rule set."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, columns))
+
+
+def _scanned(m: DataFrame) -> DataFrame:
+    """(event_seq, ip): the addresses in the messages of matches."""
+    return m.select("event_seq", "message").dropDuplicates(["event_seq"]).select("event_seq", F.explode(ip_scan(F.col("message"))).alias("x")).select("event_seq", "x.ip")
 
 
 def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
-    """Matches whose look-ups hold; rules without look-ups go by untouched."""
+    """Matches whose look-ups hold. All rules of one kind of look-up share one join; the rows to keep are found from m itself."""
     looks = [r for r in rules if _looks(r)]
     if not looks:
         return m
-    out = _rest(m, rules, [r.position for r in looks])
+    asks: dict[tuple, list[int]] = {}
     for r in looks:
-        x = _only(m, r)
         for mode in r.blacklist:
-            if t.blacklist is None:
-                x = x.where("false")
-                continue
-            wide = x.withColumn("ips", F.transform(ip_scan(F.col("message")), lambda s: s["ip"])) if mode == "all" else x
-            x = x.join(lookups.blacklisted(wide, t.blacklist, mode, "event_seq"), "event_seq", "left_semi")
+            asks.setdefault(("blacklist", mode), []).append(r.position)
         for kind in r.intel:
-            if t.intel is None:
-                x = x.where("false")
-            elif kind in ("by_src", "by_dst"):
-                x = lookups.intel_addresses(x, t.intel, "src_ip" if kind == "by_src" else "dst_ip")
-            elif kind in ("both", "all"):
-                sides = F.array("src_ip", "dst_ip") if kind == "both" else F.transform(ip_scan(F.col("message")), lambda s: s["ip"])
-                hit = lookups.intel_addresses(x.select("event_seq", F.explode(sides).alias("src_ip")), t.intel)
-                x = x.join(hit.select("event_seq").distinct(), "event_seq", "left_semi")
-            else:
-                x = lookups.intel_strings(x, t.intel, kind.upper())
-        if r.country:
-            track, inside, codes = r.country
-            x = lookups.country(x, t.geo, "src_ip" if track == "by_src" else "dst_ip", codes, inside, t.geo_skip) if t.geo is not None else x.where("false")
+            asks.setdefault(("intel", kind), []).append(r.position)
         for kind, track, cats, mdate, cdate in r.reputation:
-            if t.reputation is None:
-                x = x.where("false")
-                continue
-            look = lambda df, column, kind=kind, cats=cats, mdate=mdate, cdate=cdate: lookups.reputation(df, t.reputation, kind, column, cats, t.categories, mdate, cdate)
-            if kind == "ip_reputation" and track not in ("both", "all") or kind in ("url", "filename", "ja3"):
-                x = look(x, {"ip_reputation": "dst_ip" if track == "by_dst" else "src_ip"}.get(kind, kind))
-                continue
+            asks.setdefault(("reputation", kind, track, tuple(cats), mdate, cdate), []).append(r.position)
+        if r.country:
+            asks.setdefault(("country", r.country[0]), []).append(r.position)
+        if r.offload:
+            asks.setdefault(("offload", r.offload), []).append(r.position)
+    tables = {"blacklist": t.blacklist, "intel": t.intel, "reputation": t.reputation, "country": t.geo, "offload": t.offload.get}
+    out = m
+    for (what, *how), positions in asks.items():
+        mine = F.col("rule_pos").isin(positions)
+        if tables[what] is None:
+            out = out.where(~mine)
+            continue
+        x = m.where(mine)
+
+        def by_address(out, found, sides, both_valid=False, mine=mine):
+            """Rows of these rules stay if a side is among found(ip)."""
+            hit = F.lit(False)
+            for n, side in enumerate(sides):
+                f = found.select(F.col("ip").alias(f"__ip{n}"))
+                out = out.join(f, F.col(side) == F.col(f"__ip{n}"), "left")
+                hit = hit | F.col(f"__ip{n}").isNotNull()
+            if both_valid:
+                hit = hit & ip_key(F.col("src_ip")).isNotNull() & ip_key(F.col("dst_ip")).isNotNull()
+            return out.where(~mine | hit).drop(*(f"__ip{n}" for n in range(len(sides))))
+
+        def by_event(out, found, on="event_seq", mine=mine):
+            """Rows of these rules stay if their event (or match) is found."""
+            on = [on] if isinstance(on, str) else on
+            return out.join(found.select(*on).distinct().withColumn("__found", F.lit(True)), on, "left").where(~mine | F.col("__found").isNotNull()).drop("__found")
+
+        sides = {"by_src": ["src_ip"], "by_dst": ["dst_ip"], "both": ["src_ip", "dst_ip"]}
+        if what == "blacklist":
+            (mode,) = how
+            if mode == "all":
+                out = by_event(out, lookups.range_join(_scanned(x), "ip", t.blacklist))
+            else:
+                out = by_address(out, lookups.range_join(lookups.addresses(x, *sides[mode]), "ip", t.blacklist), sides[mode], mode == "both")
+        elif what == "intel":
+            (kind,) = how
+            if kind == "all":
+                out = by_event(out, lookups.intel_addresses(_scanned(x), t.intel, "ip"))
+            elif kind in sides:
+                out = by_address(out, lookups.intel_addresses(lookups.addresses(x, *sides[kind]), t.intel, "ip"), sides[kind])
+            else:
+                out = by_event(out, lookups.intel_strings(x.select("event_seq", "message").dropDuplicates(["event_seq"]), t.intel, kind.upper()))
+        elif what == "country":
+            side = sides[how[0]][0]
+            known = lookups.countries(lookups.addresses(x, side), t.geo, t.geo_skip).withColumnsRenamed({"ip": "__ip", "countries": "__known"})
+            wants = _table(m, [(r.position, r.country[1], r.country[2]) for r in looks if r.country and r.country[0] == how[0]], "rule_pos int, __inside boolean, __codes array<string>")
+            out = out.join(known, F.col(side) == F.col("__ip"), "left").join(wants, "rule_pos", "left")
+            good = F.when(F.col("__inside"), F.arrays_overlap("__known", "__codes")).otherwise(F.size(F.array_except("__known", "__codes")) > 0)
+            out = out.where(~mine | F.coalesce(F.col("__known").isNotNull() & good, F.lit(False))).select(m.columns)
+        elif what == "reputation":
+            kind, track, cats, mdate, cdate = how
             if kind == "file_hash":
                 values = F.array("md5", "sha1", "sha256")
+            elif kind in ("url", "filename", "ja3"):
+                values = F.array(kind)
             elif track == "both":  # both have to be valid, as for block lists
                 values = F.when(ip_key(F.col("src_ip")).isNotNull() & ip_key(F.col("dst_ip")).isNotNull(), F.array("src_ip", "dst_ip"))
-            else:
+            elif track == "all":
                 values = F.transform(ip_scan(F.col("message")), lambda s: s["ip"])
-            hit = look(x.select("event_seq", "event_time", F.explode(values).alias("__value")), "__value")
-            x = x.join(hit.select("event_seq").distinct(), "event_seq", "left_semi")
-        if r.offload:
-            call = t.offload.get(r.offload)
-            x = x.where(call(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("host", "facility", "priority", "level", "tag", "program", "message") if c in x.columns)))) if call else x.where("false")
-        out = _plus(out, x)
+            else:
+                values = F.array("dst_ip" if track == "by_dst" else "src_ip")
+            look = x.select(*_IDENT, "event_time", F.explode(values).alias("__value"))
+            out = by_event(out, lookups.reputation(look, t.reputation, kind, "__value", list(cats), t.categories, mdate, cdate), _IDENT)
+        else:
+            call = t.offload.get(how[0])
+            out = out.where(~mine | call(F.concat_ws("|", *nine_fields(m))) if call else ~mine)
     return out
 
 
-def _bits(m: DataFrame, rules: list[Rule], xops: DataFrame | None, fsets: DataFrame | None, funsets: DataFrame | None) -> DataFrame:
-    """Matches whose isset, isnotset and count conditions hold; `correlation` names the setting events."""
-    testers = [r for r in rules if _tests(r)]
-    m = m.withColumn("correlation", F.lit(None).cast("string"))
-    out = _rest(m, rules, [r.position for r in testers])
-    for r in testers:
-        x = _only(m, r)
-        ident = F.struct("event_seq", "rule_pos")
-        for b in r.xbits:
-            if b.action not in ("isset", "isnotset"):
-                continue
-            want = b.action == "isset"
-            if xops is None:
-                x = x.where(F.lit(not want))
-                continue
-            tests = x.select(ident.alias("id"), F.lit(b.name).alias("name"), state.xbit_key(b.track).alias("key"), *state.ORDER)
-            got = state.xbit_state(tests, xops.where(F.col("name") == b.name)).where(F.col("is_set") == want).select(F.col("event_seq"), F.col("rule_pos"), "by")
-            x = x.join(got, ["event_seq", "rule_pos"]).withColumn("correlation", F.coalesce("correlation", F.when(F.lit(want), F.to_json(F.struct(F.lit(b.name).alias("xbit"), F.col("by").alias("event_seq")))))).drop("by")
-        lives = state.flexbit_lives(fsets, funsets) if fsets is not None else None
-        for b in r.flexbits:
-            if b.action not in ("isset", "isnotset", "count"):
-                continue
-            if lives is None:
-                x = x.where(F.lit(b.action == "isnotset" or b.op == "<" or (b.op == "=" and b.number == 0)))
-                continue
-            tests = x.select(ident.alias("id"), F.lit(b.name).alias("name"), *state._WHO, *state.ORDER)
-            got = state.flexbit_matches(tests, lives.where(F.col("name") == b.name), b.track).select("id.*", "records", "by")
-            if b.action == "isset":
-                x = x.join(got.drop("records"), ["event_seq", "rule_pos"]).withColumn("correlation", F.coalesce("correlation", F.to_json(F.struct(F.lit(b.name).alias("flexbit"), F.col("by").alias("event_seq"))))).drop("by")
-            elif b.action == "isnotset":
-                x = x.join(got, ["event_seq", "rule_pos"], "left_anti")
-            else:
-                n = F.coalesce("records", F.lit(0))
-                x = x.join(got.drop("by"), ["event_seq", "rule_pos"], "left").where({">": n > b.number, "<": n < b.number, "=": n == b.number}[b.op]).drop("records")
-        out = _plus(out, x)
-    return out
+def nine_fields(df: DataFrame) -> list[Column]:
+    """host, facility, priority, level, tag, date, time, program, message; date and time from event_time where they are no columns."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    clock = {"date": F.date_format("event_time", "yyyy-MM-dd"), "time": F.date_format("event_time", "HH:mm:ss")}
+    return [clock[c] if c in clock and c not in df.columns else given(c) for c in ("host", "facility", "priority", "level", "tag", "date", "time", "program", "message")]
+
 
+def _bits(m: DataFrame, rules: list[Rule], xops: DataFrame | None, fsets: DataFrame | None, funsets: DataFrame | None, ends: tuple[str, ...]) -> DataFrame:
+    """Matches whose isset, isnotset and count conditions hold; `correlation` names the setting event of the first.
 
-def _rate(m: DataFrame, rules: list[Rule]) -> DataFrame:
-    """after, then threshold over what is left; one pass for all rules of equal tracks and mode."""
+    All xbits of a level are one pass, and all flexbits of one direction.
+    """
+    m = m.withColumn("correlation", F.lit(None).cast("string"))
+    testers = [r for r in rules if _tests(r)]
+    if not testers:
+        return m
+    asks = [(r.position, n, kind, b) for r in testers for n, (kind, b) in enumerate([*(("xbit", b) for b in r.xbits), *(("flexbit", b) for b in r.flexbits)]) if b.action in ("isset", "isnotset", "count")]
+    ident = F.struct("event_seq", "rule_pos", F.col("__n").alias("n"), "name", F.col("__op").alias("op"), F.col("__number").alias("number"))
+    kinds: dict[tuple, list] = {}
+    for p, n, kind, b in asks:
+        kinds.setdefault((kind, "" if kind == "xbit" else b.track, b.action == "count"), []).append((p, n, b.name, b.track, b.action if b.action != "count" else b.op, b.number))
+    results = None
+    lives = state.flexbit_lives(fsets, funsets, ends) if fsets is not None else None
+    for (kind, track, count), rows in kinds.items():
+        x = m.join(_table(m, rows, "rule_pos int, __n int, name string, __track string, __op string, __number int"), "rule_pos")
+        if kind == "xbit":
+            key = F.lit(None).cast("string")
+            for k in state.XKEYS:
+                key = F.when(F.col("__track") == k, F.concat_ws("|", F.lit(k), state.xbit_key(k))).otherwise(key)
+            tests = x.select(ident.alias("id"), "name", key.alias("key"), *state.ORDER)
+            got = state.xbit_state(tests, xops).select("id", F.col("is_set").cast("int").alias("records"), "by") if xops is not None else tests.select("id", F.lit(0).alias("records"), F.lit(None).cast("long").alias("by"))
+        else:
+            tests = x.select(ident.alias("id"), "name", *state._WHO, *state.ORDER)
+            got = state.flexbit_matches(tests, lives, track, count).select("id", F.col("records").cast("int").alias("records"), "by") if lives is not None else tests.select("id", F.lit(0).alias("records"), F.lit(None).cast("long").alias("by"))
+        found = F.when(F.col("id.op") == "isset", F.to_json(F.struct(F.col("id.name").alias(kind), F.col("by").alias("event_seq"))))
+        n, op, k = F.col("records"), F.col("id.op"), F.col("id.number")
+        ok = F.when(op == "isset", n > 0).when(op == "isnotset", n == 0).when(op == ">", n > k).when(op == "<", n < k).otherwise(n == k)
+        got = got.select("id.event_seq", "id.rule_pos", "id.n", ok.alias("ok"), found.alias("found"))
+        results = got if results is None else results.unionByName(got)
+    verdict = results.groupBy(*_IDENT).agg(F.min("ok").alias("__ok"), F.min_by("found", F.when(F.col("found").isNotNull(), F.col("n"))).alias("__found"))
+    mine = F.col("rule_pos").isin([r.position for r in testers])
+    out = m.join(verdict, _IDENT, "left").where(~mine | F.coalesce("__ok", F.lit(False)))
+    return out.withColumn("correlation", F.col("__found")).drop("__ok", "__found")
+
+
+def _groups(rules: list[Rule], what: str) -> dict[tuple, list[Rule]]:
+    groups: dict[tuple, list[Rule]] = {}
+    for r in rules:
+        q = getattr(r, what)
+        if q:
+            groups.setdefault((what, tuple(q.keys), "after" if what == "after" else q.kind), []).append(r)
+    return groups
+
+
+def _rate(m: DataFrame, rules: list[Rule], memory: Memory | None, left: Memory | None) -> DataFrame:
+    """after, then threshold over what is left; one pass for all rules of equal tracks and mode.
+
+    left: gets the counters' states for later batches, and memory has those of earlier ones.
+    """
     for what in ("after", "threshold"):
-        groups: dict[tuple, list[Rule]] = {}
-        for r in rules:
-            q = getattr(r, what)
-            if q:
-                groups.setdefault((tuple(q.keys), "after" if what == "after" else q.kind), []).append(r)
+        groups = _groups(rules, what)
         if not groups:
             continue
+        if left is not None:
+            m = cut(m)  # read for the rows and for the states
         held = [r.position for g in groups.values() for r in g]
         out = _rest(m, rules, held)
-        for (keys, mode), g in groups.items():
+        for group, g in groups.items():
+            _, keys, mode = group
             x = m.where(F.col("rule_pos").isin([r.position for r in g]))
             pick = lambda attr, g=g, what=what: F.create_map(*(F.lit(v) for r in g for v in (r.position, getattr(getattr(r, what), attr))))[F.col("rule_pos")]
             keyed = ["rule_pos", *keys]
-            out = _plus(out, state.suppress(x, keyed, pick("count"), pick("seconds")) if mode == "suppress" else state.counted(x, keyed, pick("count"), pick("seconds"), mode))
+            if left is None:
+                new = state.suppress(x, keyed, pick("count"), pick("seconds")) if mode == "suppress" else state.counted(x, keyed, pick("count"), pick("seconds"), mode)
+            else:
+                name = "|".join((what, mode, *keys))
+                old = memory.counters.where(F.col("name") == name).drop("name") if memory is not None else None
+                new = state.counted(x, keyed, pick("count"), pick("seconds"), mode, before=old)
+                now = state.counter_state(x, keyed, pick("count"), pick("seconds"), mode, before=old).withColumn("name", F.lit(name))
+                left.counters = now if left.counters is None else left.counters.unionByName(now)
+            out = _plus(out, new)
         m = out
     return m
 
 
-def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None) -> DataFrame:
+@dataclass
+class Memory:
+    """What counters and bits remember between the batches of a stream."""
+
+    counters: DataFrame | None = None
+    xops: DataFrame | None = None
+    fsets: DataFrame | None = None
+
+
+def stateful(rules: list[Rule]) -> bool:
+    """Whether rules remember events, so that a stream of them has to go through stream()."""
+    return any(r.xbits or r.flexbits or r.after or r.threshold or r.action == "pass" for r in rules)
+
+
+def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None, memory: Memory | None = None, left: Memory | None = None) -> DataFrame:
     """Matches that fire: the event's columns, rule_pos, extracted fields and correlation.
 
-    Stages before the last are written to the shared folder. Rules of `noalert` fire too (they set bits); alerts() leaves them out.
+    Stages before the last are written to the shared folder. Rules of `noalert`
+    fire too (they set bits); alerts() leaves them out. A streaming frame gives
+    a streaming frame for rules without memory and look-ups of many rows;
+    stream() runs all rules. memory and left: what earlier batches of a stream
+    left, and what this one leaves.
     """
     t = tables or Tables()
-    fired = xops = fsets = funsets = stopped = None
+    if events.isStreaming and (stateful(rules) or any(map(_looks, rules))):
+        raise ValueError("rules that remember events or look things up run over a stream by stream()")
+    fired = funsets = stopped = None
+    xops, fsets = (memory.xops, memory.fsets) if memory is not None else (None, None)
+    ends: tuple[str, ...] = tuple(dict.fromkeys(b.track for r in rules for b in r.flexbits if b.action == "unset"))
     levels = stages(rules)
     for level in levels:
         m = candidates(events, level, t.templates)
@@ -224,40 +323,90 @@ def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None) -> D
             m = m.join(stopped, "event_seq", "left").where(F.col("stop").isNull() | (F.col("rule_pos") < F.col("stop"))).drop("stop")
         if _readings(level) > 1:
             m = cut(m)
-        m = _rate(_bits(_gate(m, level, t), level, xops, fsets, funsets), level)
-        if level is not levels[-1]:  # read again by each later stage
+        m = _rate(_bits(_gate(m, level, t), level, xops, fsets, funsets, ends), level, memory, left)
+        setting = any(b.action.startswith("set") or b.action == "unset" for r in level for b in r.xbits + r.flexbits)
+        if level is not levels[-1] or left is not None and setting:  # read again by each later stage, or kept
             m = cut(m)
+        keys, bits, undone = [], [], []
         for r in level:
-            mine = None
-            for b in r.xbits:
-                if b.action in ("set", "unset"):
-                    mine = _only(m, r).select(F.lit(b.name).alias("name"), state.xbit_key(b.track).alias("key"), *state.ORDER, F.lit(b.seconds if b.action == "set" else None).cast("long").alias("expire"))
-                    xops = mine if xops is None else xops.unionByName(mine)
-            for b in r.flexbits:
-                base = [F.lit(b.name).alias("name"), "src_ip", "dst_ip", "src_port", "dst_port", F.coalesce("username", F.lit("")).alias("username"), *state.ORDER]
-                if b.action.startswith("set"):
-                    sp, dp = b.action in ("set_srcport", "set_ports"), b.action in ("set_dstport", "set_ports")
-                    mine = _only(m, r).select(*base, F.lit(b.seconds).alias("expire"))
-                    mine = mine if sp else mine.withColumn("src_port", F.lit(0))
-                    mine = mine if dp else mine.withColumn("dst_port", F.lit(0))
-                    fsets = mine if fsets is None else fsets.unionByName(mine)
-                elif b.action == "unset":
-                    mine = _only(m, r).select(*base, F.lit(b.track).alias("direction"))
-                    funsets = mine if funsets is None else funsets.unionByName(mine)
+            keys += [(r.position, b.name, b.track, b.seconds if b.action == "set" else None) for b in r.xbits if b.action in ("set", "unset")]
+            bits += [(r.position, b.name, b.action in ("set_srcport", "set_ports"), b.action in ("set_dstport", "set_ports"), b.seconds) for b in r.flexbits if b.action.startswith("set")]
+            undone += [(r.position, b.name, b.track) for b in r.flexbits if b.action == "unset"]
+        if keys:
+            key = F.lit(None).cast("string")
+            for k in state.XKEYS:
+                key = F.when(F.col("__track") == k, F.concat_ws("|", F.lit(k), state.xbit_key(k))).otherwise(key)
+            new = m.join(_table(m, keys, "rule_pos int, name string, __track string, expire long"), "rule_pos").select("name", key.alias("key"), *state.ORDER, "expire")
+            xops = new if xops is None else xops.unionByName(new)
+        who = ["name", "src_ip", "dst_ip", "src_port", "dst_port", F.coalesce("username", F.lit("")).alias("username"), *state.ORDER]
+        if bits:
+            new = m.join(_table(m, bits, "rule_pos int, name string, __sp boolean, __dp boolean, expire long"), "rule_pos").withColumns({c: F.when(F.col(k), F.col(c)).otherwise(0) for c, k in (("src_port", "__sp"), ("dst_port", "__dp"))}).select(*who, "expire")
+            fsets = new if fsets is None else fsets.unionByName(new)
+        if undone:
+            new = m.join(_table(m, undone, "rule_pos int, name string, direction string"), "rule_pos").select(*who, "direction")
+            funsets = new if funsets is None else funsets.unionByName(new)
         passing = [r.position for r in level if r.action == "pass"]
         if passing:
             now = m.where(F.col("rule_pos").isin(passing)).groupBy("event_seq").agg(F.min("rule_pos").alias("stop"))
             stopped = now if stopped is None else stopped.unionByName(now).groupBy("event_seq").agg(F.min("stop").alias("stop"))
         fired = m if fired is None else fired.unionByName(m)
+    if left is not None:
+        left.xops = state.xbit_left(xops) if xops is not None else None
+        if fsets is not None:
+            since = F.lit(events.agg(F.min(state.seconds())).first()[0] or 0)
+            left.fsets = state.flexbit_left(state.flexbit_lives(fsets, funsets, ends), since)
     return fired if fired is not None else candidates(events, [], t.templates).withColumn("correlation", F.lit(None).cast("string"))
 
 
-_RULE = "rule_pos int, sid long, rev int, msg string, classtype string, severity int, action string, metadata string, ruleset string, noalert boolean, noeve boolean, email string, external string, rule string"
+_MEMORY = {"counters": "name string, k string, c long, u long", "xops": "name string, key string, event_time timestamp, event_seq long, rule_pos int, expire long", "fsets": "name string, src_ip string, dst_ip string, src_port int, dst_port int, username string, event_time timestamp, event_seq long, rule_pos int, expire long"}
+
 
+def stream(events: DataFrame, rules: list[Rule], out: Callable[[DataFrame, int], None], memory_dir: str, tables: Tables | None = None):
+    """A writer of a streaming frame (start it with a checkpoint): out(fired, batch) gets what fires in every batch.
 
-def rules_table(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    Each batch goes through run() with what counters and bits remember. That is
+    written to memory_dir under the batch's number before out is called, so a
+    batch that runs again begins from the same and gives the same; the memory
+    before the last batch's is deleted. Events that come in order of time give
+    what run() gives over all of them; late ones are taken in as they come.
+    """
+    spark = events.sparkSession
+    stages(rules)  # refuse what can't run before the stream starts
+    base = memory_dir.rstrip("/")
+
+    def one(df: DataFrame, batch: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+        old = Memory(**{n: spark.read.schema(k).parquet(f"{base}/{batch - 1}/{n}") for n, k in _MEMORY.items()}) if fs.exists(path(f"{base}/{batch - 1}/done")) else None
+        left = Memory()
+        fired = cut(run(cut(df), rules, tables, old, left))
+        for n, k in _MEMORY.items():
+            new = getattr(left, n)
+            if new is None:
+                new = getattr(old, n) if old is not None else spark.createDataFrame([], k)
+            if n == "counters" and old is not None:  # keys that this batch didn't meet
+                names = [f.split()[0] for f in k.split(", ")]
+                new = new.unionByName(old.counters.join(new.select("name", "k"), ["name", "k"], "left_anti").select(*names))
+            cast = [F.col(f.split()[0]).cast(f.split()[1]) for f in k.split(", ")]
+            new.select(*cast).write.mode("overwrite").parquet(f"{base}/{batch}/{n}")
+        fs.create(path(f"{base}/{batch}/done"), True).close()
+        out(fired, batch)
+        fs.delete(path(f"{base}/{batch - 2}"), True)
+
+    return events.writeStream.foreachBatch(one)
+
+
+_RULE = "rule_pos int, sid long, rev int, msg string, classtype string, severity int, action string, metadata string, ruleset string, noalert boolean, nolog boolean, noeve boolean, email string, external string, rule string, xref string"
+
+
+def cross_reference(r: Rule, prefixes: dict[str, str]) -> str | None:
+    """A rule's references as "[Xref => url]", in their order; those of unknown kinds are left out."""
+    return " ".join(f"[Xref => {prefixes[k]}{v}]" for k, v in r.references if k in prefixes) or None
+
+
+def rules_table(events: DataFrame, rules: list[Rule], references: dict[str, str] | None = None) -> DataFrame:
     """One row a rule, for the metadata join; as small as the rule set."""
-    rows = [(r.position, r.sid, r.rev, r.msg, r.classtype, r.priority, "blocked" if r.action == "drop" else "allowed", metadata_json(r), r.ruleset, r.noalert, r.noeve, r.email, r.external, r.text) for r in rules]
+    rows = [(r.position, r.sid, r.rev, r.msg, r.classtype, r.priority, "blocked" if r.action == "drop" else "allowed", metadata_json(r), r.ruleset, r.noalert, r.nolog, r.noeve, r.email, r.external, r.text, cross_reference(r, references or {})) for r in rules]
     return events.sparkSession.createDataFrame(rows, _RULE)
 
 
@@ -265,7 +414,7 @@ def alerts(events: DataFrame, rules: list[Rule], tables: Tables | None = None, f
     """Alert rows of all fired rules that aren't `noalert`, with the rule's own columns."""
     t = tables or Tables()
     m = fired if fired is not None else run(events, rules, t)
-    out = m.join(F.broadcast(rules_table(events, rules)), "rule_pos").where("not noalert")
+    out = m.join(F.broadcast(rules_table(events, rules, t.references)), "rule_pos").where("not noalert")
     if t.classes is not None:
         return lookups.classify(out, t.classes)
     return out.withColumn("category", F.lit("UNKNOWN"))
@@ -277,20 +426,28 @@ def fired_rulesets(fired: DataFrame, rules: list[Rule]) -> DataFrame:
     return F.broadcast(r).join(fired.select("rule_pos"), "rule_pos", "left").groupBy("ruleset").agg(F.count(fired["rule_pos"]).alias("fired"))
 
 
-def dynamic(events: DataFrame, rules: list[Rule], load, sample: int, tables: Tables | None = None) -> list[Rule]:
-    """The rules to run: those given, without `dynamic_load`, and the rule sets that their dynamic ones call for.
+def dynamic(events: DataFrame, rules: list[Rule], load, sample: int, tables: Tables | None = None, mode: str = "load") -> list[Rule]:
+    """The rules to run: those given, without `dynamic_load`, and, in mode "load", the rule sets that their dynamic ones call for.
 
-    Dynamic rules look at every sample-th event; load(path) gives a rule set's rules.
+    Dynamic rules look at every sample-th event; load(path) gives a rule set's
+    rules. In the modes "log" and "alert" nothing is loaded: dynamic_calls()
+    says what would be.
     """
-    dyn = [r for r in rules if r.dynamic_load]
+    if mode not in ("load", "log", "alert"):
+        raise ValueError(f"unknown mode {mode!r}")
     rest = [r for r in rules if not r.dynamic_load]
-    if dyn:
-        hit = run(events.where(F.col("event_seq") % sample == 0), dyn, tables).select("rule_pos").distinct()
-        on = {r[0] for r in hit.collect()}  # at most one row a dynamic rule
-        for path in dict.fromkeys(r.dynamic_load for r in dyn if r.position in on):
+    if mode == "load":
+        on = {r.ruleset for r in dynamic_calls(events, rules, sample, tables).select("ruleset").collect()}  # at most one row a dynamic rule
+        for path in dict.fromkeys(r.dynamic_load for r in rules if r.dynamic_load in on):
             for r in load(path):
                 r.position = len(rules) + len(rest)
                 rest.append(r)
     return rest
 
 
+def dynamic_calls(events: DataFrame, rules: list[Rule], sample: int, tables: Tables | None = None) -> DataFrame:
+    """(ruleset, sid, msg, event_seq): the first event, of every sample-th, that calls for each rule set; for its log line or alert."""
+    dyn = [r for r in rules if r.dynamic_load]
+    named = _table(events, [(r.position, r.dynamic_load, r.sid, r.msg) for r in dyn], "rule_pos int, ruleset string, sid long, msg string")
+    hit = run(events.where(F.col("event_seq") % sample == 0), dyn, tables).select(*state.ORDER)
+    return hit.join(named, "rule_pos").groupBy("ruleset").agg(F.min_by(F.struct("sid", "msg", "event_seq"), F.struct(*state.ORDER)).alias("x")).select("ruleset", "x.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import re
 from collections.abc import Iterable
@@ -116,6 +117,8 @@ class Rule:
     xbits: list[Bit] = field(default_factory=list)
     flexbits: list[Bit] = field(default_factory=list)
     noalert: bool = False
+    #: Kept out of the alert log alone, and of EVE alone.
+    nolog: bool = False
     noeve: bool = False
     threshold: Rate | None = None
     after: Rate | None = None
@@ -195,13 +198,13 @@ def unhex(v: str) -> str:
 
 
 def pcre_to_java(v: str) -> str:
-    """/re/flags as a Java expression; flags i s m x A E G."""
+    """/re/flags as a Java expression; flags i s m x A E, and G, which changes nothing for a test. Others (R, U) are refused."""
     v = v.strip()
     a, b = v.find("/"), v.rfind("/")
     if a < 0 or b <= a:
         raise RuleError(f"bad pcre {v!r}")
     body, flags = v[a + 1 : b], v[b + 1 :]
-    if set(flags) - set("ismxAEGRU"):
+    if set(flags) - set("ismxAEG"):
         raise RuleError(f"bad pcre flags {flags!r}")
     if "E" in flags:
         body = re.sub(r"(?<!\\)\$$", r"\\z", body)
@@ -231,6 +234,16 @@ def _nets(tok: str) -> list[tuple[bool, str]]:
     return out
 
 
+def _networks(tok: str) -> list[tuple[bool, str]]:
+    out = _nets(tok)
+    for _, x in out:
+        try:
+            ipaddress.ip_network(x, strict=False)
+        except ValueError:
+            raise RuleError(f"bad network {x!r}") from None
+    return out
+
+
 def _ports(tok: str) -> list[tuple[bool, int, int]]:
     out = []
     for neg, x in _nets(tok):
@@ -328,7 +341,8 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
     a, b = text.find("("), text.rfind(")")
     if a < 0 or b < a:
         raise RuleError("no option list")
-    head = re.sub(r"\[([^\]]*)\]", lambda m: "[" + m[1].replace(" ", "") + "]", text[:a]).replace("not [", "![").split()
+    head = re.sub(r"\[([^\]]*)\]", lambda m: "[" + m[1].replace(" ", "") + "]", text[:a])
+    head = re.sub(r"\bnot\s+(?=\S)", "!", head).split()
     if len(head) != 7:
         raise RuleError(f"header of {len(head)} parts")
     action, proto, sn, sp, direction, dn, dp = head
@@ -338,7 +352,7 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
         raise RuleError(f"unknown protocol {proto!r}")
     if direction not in ("->", "<-", "<>", "any", "<->"):
         raise RuleError(f"unknown direction {direction!r}")
-    r = Rule(action, PROTOCOLS[proto], _nets(sn), _ports(sp), "<>" if direction in ("any", "<->") else direction, _nets(dn), _ports(dp), position=position, ruleset=ruleset, text=line.strip())
+    r = Rule(action, PROTOCOLS[proto], _networks(sn), _ports(sp), "<>" if direction in ("any", "<->") else direction, _networks(dn), _ports(dp), position=position, ruleset=ruleset, text=line.strip())
     last: Content | None = None
     seen = set()
     for opt in _split(text[a + 1 : b], ";"):
@@ -440,7 +454,7 @@ def parse_rule(line: str, variables: dict[str, str] | None = None, classes: dict
         elif name == "xbits":
             bit = _xbits(v)
             if bit.action == "noalert":
-                r.noeve = True  # of xbits: alert.log alone is silent in the original; both log sinks here
+                r.nolog = True
             elif bit.action == "noeve":
                 r.noeve = True
             elif bit.action != "nounified2":

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import shlex
+import subprocess
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.text import percent
+
 PROTO = {1: "ICMP", 6: "TCP", 17: "UDP"}
 
 
@@ -23,14 +29,19 @@ def _time(c: str = "event_time") -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSZ")
 
 
-def eve(a: DataFrame, base64: bool = True) -> DataFrame:
-    """One JSON object an alert, event_type alert; metadata and correlation as objects where a rule has them."""
+def eve(a: DataFrame, base64: bool = True, in_iface: str | None = None) -> DataFrame:
+    """One JSON object an alert, event_type alert; metadata, correlation, normalize and reputation as objects where an alert has them.
+
+    in_iface: name of the interface to report. A column `reputation` (JSON
+    text) may be joined by the caller.
+    """
     payload = F.base64(F.encode("message", "UTF-8")) if base64 else F.col("message")
     body = F.struct(
-        _time().alias("timestamp"), _col(a, "flow_id").alias("flow_id"), F.lit("alert").alias("event_type"), "src_ip", "src_port", F.col("dst_ip").alias("dest_ip"), F.col("dst_port").alias("dest_port"), _proto(F.col("proto")).alias("proto"),
+        _time().alias("timestamp"), _col(a, "flow_id").alias("flow_id"), *([F.lit(in_iface).alias("in_iface")] if in_iface else []), F.lit("alert").alias("event_type"), "src_ip", "src_port", F.col("dst_ip").alias("dest_ip"), F.col("dst_port").alias("dest_port"), _proto(F.col("proto")).alias("proto"),
         payload.alias("payload"), F.lit(0).alias("stream"), F.col("host").alias("xff"), *(_col(a, c).alias(c) for c in ("facility", "priority", "level", "tag", "program", "host")),
         F.struct("action", F.lit(1).alias("gid"), F.col("sid").alias("signature_id"), "rev", F.col("msg").alias("signature"), "category", "severity", "rule").alias("alert"),
         F.from_json(F.nullif("metadata", F.lit("")), "map<string,array<string>>").alias("metadata"), F.from_json("correlation", "map<string,string>").alias("correlation"),
+        F.from_json(_col(a, "normalized"), "map<string,string>").alias("normalize"), F.from_json(_col(a, "reputation"), "map<string,string>").alias("reputation"),
     )
     return a.where("not noeve").select("event_seq", "sid", F.to_json(body).alias("value"))
 
@@ -48,7 +59,8 @@ def fast(a: DataFrame) -> DataFrame:
 
 
 def full(a: DataFrame) -> DataFrame:
-    """The multi-line alert text."""
+    """The multi-line alert text; rules whose xbits say `noalert` are left out of it, and of it alone."""
+    a = a.where("not nolog") if "nolog" in a.columns else a
     xref = [F.col("xref")] if "xref" in a.columns else []
     head = F.concat(F.lit("[**] [1:"), F.col("sid").cast("string"), F.lit(":"), F.col("rev").cast("string"), F.lit("] "), "msg", F.lit(" [**]"))
     cls = F.concat(F.lit("[Classification: "), "category", F.lit("] [Priority: "), F.coalesce(F.col("severity").cast("string"), F.lit("0")), F.lit("]"))
@@ -67,18 +79,36 @@ def mail(a: DataFrame) -> DataFrame:
     return a.where("email <> ''").select("event_seq", F.col("email").alias("to"), F.concat(F.lit("[alert] "), "msg").alias("subject"), F.concat_ws("\n", "msg", "message").alias("body"))
 
 
-def pipe_external(a: DataFrame, command: str) -> DataFrame:
-    """Runs a program once a partition with the EVE lines on its input; rows are its output lines."""
-    import subprocess
+def _through(command: str, lines: list[str]) -> list[str]:
+    """A program's output lines for input lines; each of the command's words is taken as it stands."""
+    got = subprocess.run(shlex.split(command), input="".join(x + "\n" for x in lines), stdout=subprocess.PIPE, text=True, check=True)
+    return got.stdout.splitlines()
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            got = subprocess.run(command, shell=True, input="\n".join(pdf["value"]), capture_output=True, text=True, check=True)
-            yield pd.DataFrame({"value": got.stdout.splitlines()})
+def pipe_external(a: DataFrame, command: str | None = None) -> DataFrame:
+    """(command, value): output lines of programs that get the EVE lines on their input.
 
-    return eve(a).select("value").mapInPandas(run, "value string")
+    command: one for all alerts; without it each alert goes to the program that
+    its rule's `external` names. A program runs once a partition, on all its
+    lines, and a failing one fails the task; retried tasks run it again.
+    """
+    lines = eve(a)
+    if command is None:
+        named = a.where("external <> ''").select("event_seq", "sid", "external").distinct()
+        lines = lines.join(named, ["event_seq", "sid"]).select(F.col("external").alias("command"), "value").repartition("command")
+    else:
+        lines = lines.select(F.lit(command).alias("command"), "value")
+
+    def run(batches):
+        waiting: dict[str, list[str]] = {}
+        for b in batches:
+            for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                waiting.setdefault(c, []).append(v)
+        for c, vs in waiting.items():
+            got = _through(c, vs)
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(got), pa.string()), pa.array(got, pa.string())], names=["command", "value"])
+
+    return lines.mapInArrow(run, "command string, value string")
 
 
 def dispatch(a: DataFrame, writers: dict) -> None:
@@ -91,5 +121,15 @@ def dispatch(a: DataFrame, writers: dict) -> None:
             writers[name](render(a))
 
 
+def report(counts: dict[str, DataFrame], whole: str) -> DataFrame:
+    """(name, count, percent): rows of each frame, and their part of those of `whole`; the console's statistics."""
+    out = None
+    for n, (name, df) in enumerate(counts.items()):
+        one = df.agg(F.count("*").alias("count")).select(F.lit(n).alias("n"), F.lit(name).alias("name"), "count")
+        out = one if out is None else out.unionByName(one)
+    total = F.max(F.when(F.col("name") == whole, F.col("count"))).over(Window.partitionBy(F.lit(0)))  # one row a counter
+    return out.select("n", "name", "count", percent(F.col("count"), total).alias("percent")).orderBy("n").drop("n")
+
+
 def write_text(df: DataFrame, path: str, mode: str = "append") -> None:
     df.select("value").write.mode(mode).text(path)

@@ -19,6 +19,18 @@ def read_lines(spark: SparkSession, path: str, stream: bool = False, per_trigger
     return spark.readStream.option("maxFilesPerTrigger", per_trigger).text(path) if stream else spark.read.text(path)
 
 
+def read_live(spark: SparkSession, kind: str, **options) -> DataFrame:
+    """(value): a stream of lines from a live source: "socket" (host, port), "kafka" (Kafka's options), or any that gives a column `value`.
+
+    A stream waits where its readers can't keep up; nothing is dropped.
+    """
+    return spark.readStream.format(kind).options(**options).load().select(F.col("value").cast("string").alias("value"))
+
+
+#: Fields of journald's JSON lines (`journalctl -o json`), for decode_json().
+JOURNALD = {"host": ["._HOSTNAME"], "facility": [".SYSLOG_FACILITY"], "priority": [".PRIORITY"], "level": [".PRIORITY"], "program": [".SYSLOG_IDENTIFIER", "._COMM"], "message": [".MESSAGE"], "username": ["._UID"]}
+
+
 def ignore(lines: DataFrame, needles: list[str], column: str = "value") -> DataFrame:
     """Lines that hold none of the substrings; dropped before anything is parsed."""
     out = lines
@@ -96,8 +108,8 @@ def events_as_logs(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("event_seq"),
         F.col("ts").cast("timestamp").alias("event_time"),
         F.lit("10.0.0.1").alias("host"),
-        F.lit("user").alias("facility"),
-        F.lit("info").alias("priority"),
+        F.when(F.col("event_type") == "purchase", "auth").otherwise("user").alias("facility"),
+        F.when(F.col("event_type") == "error", "alert").otherwise("info").alias("priority"),
         F.when(F.col("event_type") == "error", "err").otherwise("info").alias("level"),
         F.lit("00").alias("tag"),
         F.col("event_type").alias("program"),

@@ -22,7 +22,7 @@ def test_a_full_rule():
     assert parse_rule(r.text, {"HOME": "172.16.0.0/12"}, {"misc": 3}) == r
 
 
-@pytest.mark.parametrize("text", [f'{HEAD} (msg:"a"; sid:1;)', f'{HEAD} (msg:"a"; rev:1;)', f"{HEAD} (sid:1; rev:1;)", f'{HEAD} (msg:"a"; nonsense: 1; sid:1; rev:1;)', f'{HEAD} (msg:"a"; classtype: no; sid:1; rev:1;)', 'alert any [10.0.0.0/8 any -> any any (msg:"a"; sid:1; rev:1;)', f'{HEAD} (msg:"a"; threshold: type limit, track by_src, count 0, seconds 3; sid:1; rev:1;)', 'shout any any any -> any any (msg:"a"; sid:1; rev:1;)'])
+@pytest.mark.parametrize("text", [f'{HEAD} (msg:"a"; sid:1;)', f'{HEAD} (msg:"a"; rev:1;)', f"{HEAD} (sid:1; rev:1;)", f'{HEAD} (msg:"a"; nonsense: 1; sid:1; rev:1;)', f'{HEAD} (msg:"a"; classtype: no; sid:1; rev:1;)', 'alert any [10.0.0.0/8 any -> any any (msg:"a"; sid:1; rev:1;)', 'alert any 10.0.0.300 any -> any any (msg:"a"; sid:1; rev:1;)', f'{HEAD} (msg:"a"; pcre:"/a/R"; sid:1; rev:1;)', f'{HEAD} (msg:"a"; pcre:"/a/U"; sid:1; rev:1;)', f'{HEAD} (msg:"a"; threshold: type limit, track by_src, count 0, seconds 3; sid:1; rev:1;)', 'shout any any any -> any any (msg:"a"; sid:1; rev:1;)'])
 def test_what_is_no_rule(text):
     with pytest.raises(RuleError):
         parse_rule(text, {}, {"misc": 1})
@@ -141,3 +141,98 @@ def test_reputation_tracks_and_hashes(spark):
     for bad in ("type ip_reputation, track any", "type unknown"):
         with pytest.raises(RuleError):
             got(bad)
+
+
+def test_negated_networks_without_brackets():
+    r = parse_rule('alert any not 10.0.0.0/8 any -> !192.168.0.0/16 not 80 (msg:"a"; sid:1; rev:1;)')
+    assert r.src_nets == [(True, "10.0.0.0/8")] and r.dst_nets == [(True, "192.168.0.0/16")] and r.dst_ports == [(True, 80, 80)]
+
+
+def test_running_is_a_window_cut_by_time(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    _, df = _sequence(spark)
+    value = F.col("event_seq") % 17
+    w = Window.partitionBy("key").orderBy(*state.ORDER)
+    for seconds_ in (7, 3600):
+        monkeypatch.setattr(state, "BUCKET", seconds_)
+        for how, f in (("max", F.max), ("min", F.min), ("sum", F.sum)):
+            for after, span in ((False, (Window.unboundedPreceding, -1)), (True, (1, Window.unboundedFollowing))):
+                got = {r.event_seq: r.x for r in state.running(df, ["key"], value, how, "x", after=after).select("event_seq", "x").collect()}
+                want = {r.event_seq: r.x for r in df.withColumn("x", f(value).over(w.rowsBetween(*span))).select("event_seq", "x").collect()}
+                assert got == {k: (v or 0) if how == "sum" else v for k, v in want.items()}
+
+
+RULES = f"""
+{HEAD} (msg:"plain"; content:"c"; sid:1; rev:1;)
+{HEAD} (msg:"limit"; program: a|b; threshold: type limit, track by_src, count 2, seconds 60; sid:2; rev:1;)
+{HEAD} (msg:"suppress"; program: b; threshold: type suppress, track by_username, count 1, seconds 20; sid:3; rev:1;)
+{HEAD} (msg:"after"; after: track by_src, count 4, seconds 100; sid:4; rev:1;)
+{HEAD} (msg:"set"; program: a; xbits: set,x,track ip_src,expire 40; flexbits: set,f,70; sid:5; rev:1;)
+{HEAD} (msg:"unset"; program: b; xbits: unset,x,track ip_src; flexbits: unset,by_src,f; sid:6; rev:1;)
+{HEAD} (msg:"is"; program: c; xbits: isset,x,track ip_src; sid:7; rev:1;)
+{HEAD} (msg:"is not"; program: c; xbits: isnotset,x,track ip_src; sid:8; rev:1;)
+{HEAD} (msg:"flex"; program: c; flexbits: isset,username,f; sid:9; rev:1;)
+{HEAD} (msg:"flex not"; program: c; flexbits: isnotset,by_src,f; sid:10; rev:1;)
+{HEAD} (msg:"count"; program: c; flexbits: count,by_dst,f,>1; sid:11; rev:1;)
+pass any any any -> any any (msg:"pass"; content:"c9"; sid:12; rev:1;)
+{HEAD} (msg:"later"; program: c; sid:13; rev:1;)
+"""
+
+
+def _log(spark, n=500):
+    import random
+
+    rng = random.Random(15)
+    rows, t = [], 1_700_000_000
+    for i in range(n):
+        t += rng.choice([0, 1, 5, 20, 30])
+        p, k = rng.choice("abc"), rng.randrange(4)
+        rows.append((i, t, p, f" {p}{rng.randrange(12)}", f"10.0.0.{k}", "10.1.1.1", f"u{(k + rng.randrange(2)) % 3}"))
+    return spark.createDataFrame(rows, "event_seq long, t long, program string, message string, src_ip string, host string, username string").withColumn("event_time", F.timestamp_seconds("t")).drop("t")
+
+
+def test_a_stream_of_rules_equals_the_batch(spark, tmp_path):
+    events, rules = _log(spark), parse_rules(RULES)
+    want = sorted((r.event_seq, r.rule_pos) for r in engine.run(events, rules).collect())
+    assert {p for _, p in want} == set(range(13))
+    for i in range(3):
+        events.where(f"event_seq >= {i * 170} and event_seq < {i * 170 + 170}").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = engine.stream(src, rules, lambda df, n: df.select("event_seq", "rule_pos").write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={n}")), str(tmp_path / "memory")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(600)
+    assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.event_seq, r.rule_pos) for r in got.collect()) == want and got.select("batch").distinct().count() == 3
+
+
+def test_rules_without_memory_run_on_a_streaming_frame(spark, tmp_path):
+    events = _log(spark, 50)
+    events.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    plain = parse_rules(f'{HEAD} (msg:"p"; content:"c"; sid:1; rev:1;)')
+    q = engine.run(src, plain).writeStream.format("memory").queryName("plain").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("plain").count() == events.where("message like '%c%'").count()
+    with pytest.raises(ValueError, match="stream"):
+        engine.run(src, parse_rules(RULES))
+
+
+def test_the_shared_folder_has_to_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rookery.operators.cut import shared_path
+
+    none = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_path(none)
+
+
+def test_flattened_json_of_any_depth(spark):
+    from rookery.functions import jsonflat
+
+    deep = "{" + '"a":{' * 300 + '"b":"x"' + "}" * 301
+    rows = [(0, deep), (1, '{"a":{"b":{"c":{"d":{"e":{"f":6}}}}}}'), (2, "{bad"), (3, None), (4, "{}"), (5, '{"s":"{\\"t\\":{\\"u\\":1}}","l":[{"m":1}]}')]
+    got = {r.i: dict(r.p) if r.p is not None else None for r in spark.createDataFrame(rows, "i int, j string").select("i", jsonflat.flatten(F.col("j")).alias("p")).collect()}
+    assert got[0][".a" * 300 + ".b"] == "x" and len(got[0]) == 302 and got[1][".a.b.c.d.e.f"] == "6" and len(got[1]) == 7
+    assert got[2] == {"": "{bad"} and got[3] is None and got[4] == {"": "{}"} and got[5][".s.t.u"] == "1" and got[5][".l"] == '[{"m":1}]'
