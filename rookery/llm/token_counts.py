@@ -260,7 +260,7 @@ def redaction_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     Null texts have null counts and no edits, empty ones 0 tokens; rows are
     judged each by itself, null ids stay null, and other columns are not read.
     """
-    kept = X.written(kept_trees(docs, ranks_path, id_col, text_col), "trees")
+    kept = X.written(kept_trees(docs, ranks_path, id_col, text_col), "trees", "zstd")
     kind = kept.schema["__id"].dataType.simpleString()
 
     def run(batches):
