@@ -602,6 +602,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, id_col: st
     many = F.col("blocks") > 1
     units = order.select("digest", "size", "grams", "block", F.when(many, F.col("i") + 1).otherwise(0).alias("i"), F.when(many, F.col("j") + 1).otherwise(0).alias("j"), "component")
     found = X.written(units.mapInArrow(_search_groups(threshold, all_pairs), "a long, b long, jaccard double, links long"), "found")
+    X.dropped(reps, links, place)  # what is returned reads sets and found alone
     return Joined(sets.select("key", "digest"), found, keyed.select("__id", "__key"))
 
 

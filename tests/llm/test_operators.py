@@ -584,3 +584,28 @@ def test_turns_of_every_role(spark):
     one = json.loads(got[1].chat)
     assert [(k["id"], k["results"]) for k in one["calls"]] == [("1:0", ["a"]), ("1:3", []), (None, [])] and one["orphans"] == ["o"]
     assert [x["role"] for x in one["messages"]] == ["tool"] and got[1].cyclic == 0 and got[2].orphans == 1 and set(got) == {1, 2, 3}
+
+
+def test_what_was_written_is_deleted(spark, docs, tmp_path):
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    here = lambda: {f for f in os.listdir(base) if f.startswith("rookery-")}
+    before = here()
+    kept = exchange.written(docs.select("doc_id"), "kept")
+    with exchange.scratch(spark):
+        assert ngram_join.keep_one(docs).count() > 0 and len(here() - before) > 5
+    assert len(here() - before) == 1 and kept.count() == docs.count()
+    exchange.dropped(kept)
+    assert here() == before
+
+
+def test_batches_follow_the_user(spark):
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(rows)
+    exchange.small_batches(spark.range(1))
+    assert spark.conf.get(name) == str(exchange.BATCH_BYTES) and spark.conf.get(rows) == old
+    spark.conf.set(name, "123456")
+    exchange.small_batches(spark.range(1))
+    assert spark.conf.get(name) == "123456"
+    spark.conf.unset(name)
