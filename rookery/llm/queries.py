@@ -87,6 +87,21 @@ def op7_chat(spark, d):
     return chat.format_chats(*chat.turns_as_calls(_t(spark, d, "conversations")), chat.ASK_SCHEMAS)
 
 
+OP6_SQL = """
+with d as materialized (select row_number() over () as k, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') as w from (select distinct doc_id, text from documents where text is not null)),
+q as materialized (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') as w from benchmark where text is not null),
+dt as (select k, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d),
+qt as (select item_id, len(w) as size, unnest(w) as word, generate_subscripts(w, 1) - 1 as j from q),
+e as materialized (select k, item_id, size, i - j as shift, list(j) as js from dt join qt using (word) group by k, item_id, size, i - j having count(*) >= 0.75 * least(13, size)),
+b as (select e.*, doc_id, greatest(0, -shift) as lo, least(size, len(d.w) - shift) as hi from e join d using (k)),
+s as materialized (select k, doc_id, item_id, size, shift, x, len(list_filter(js, lambda j: j < x)) as n from (select *, unnest(range(lo, hi + 1)) as x from b)),
+l as (select f.k, f.doc_id, f.item_id, f.size, f.shift, t.x - f.x as n_tokens, t.n - f.n as n_equal, f.x + f.shift as first_token,
+  row_number() over (partition by f.k, f.item_id, f.shift order by t.x - f.x desc, t.x) as r
+  from s f join s t on t.k = f.k and t.item_id = f.item_id and t.shift = f.shift and t.x > f.x where t.n - f.n >= 0.75 * (t.x - f.x) - 1e-9),
+o as (select *, row_number() over (partition by k, item_id order by n_equal desc, first_token, n_tokens) as best from l where r = 1 and n_tokens >= least(13, size))
+select doc_id, item_id, first_token, cast(n_tokens as integer) as n_tokens, cast(n_equal as integer) as n_equal from o where best = 1"""
+
+
 OP7_SQL = """
 with c as materialized (select conv_id, turn, role, text, conv_id || ':' || last(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn, case when role = 'user' then 0 else 1 end rows between unbounded preceding and current row) as asked
   from conversations where conv_id is not null),
@@ -120,4 +135,4 @@ def op10_quality(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_substring_dedup, op4_fingerprints, op5_ngram_join, op6_decontaminate, op7_chat, op8_token_counts, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL, "op5_ngram_join": OP5_SQL, "op7_chat": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.mix_sql(MIX_WEIGHTS, **MIX), "op2_url_filter": OP2_SQL, "op4_fingerprints": fingerprints.SQL, "op5_ngram_join": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_chat": OP7_SQL}

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,13 @@ BLOCK = 32
 class Memo(dict):
     """Tokens of each pre-token seen; emptied when large, as it only saves time."""
 
-    def __init__(self, ranks_path: str, limit: int = 300_000):
+    def __init__(self, ranks: str | bytes, limit: int = 300_000):
+        """ranks: a vocabulary file, or what it holds."""
         super().__init__()
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if isinstance(ranks, str):
+            with open(ranks, "rb") as f:
+                ranks = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split, self.match = regex.compile(PATTERN).findall, regex.compile(PATTERN).match
         self.ranks, self.limit = ranks, limit
@@ -168,11 +172,19 @@ class TokenTree:
         return cls(x["chars"].astype(np.int64), x["tokens"].astype(np.int64))
 
 
-def _memo(ranks_path: str) -> Memo:
+def _sent(df: DataFrame, ranks_path: str):
+    """The driver's vocabulary file, under its digest, for the executors."""
+    with open(ranks_path, "rb") as f:
+        raw = f.read()
+    return df.sparkSession.sparkContext.broadcast((xxhash.xxh64_hexdigest(raw), raw))
+
+
+def _memo(sent) -> Memo:
     c = K._cache().setdefault("memo", {})
-    if ranks_path not in c:
-        c[ranks_path] = Memo(ranks_path)
-    return c[ranks_path]
+    name, raw = sent.value
+    if name not in c:
+        c[name] = Memo(raw)
+    return c[name]
 
 
 def tree_of(text: str, memo: Memo) -> TokenTree:
@@ -180,11 +192,11 @@ def tree_of(text: str, memo: Memo) -> TokenTree:
     return TokenTree(np.fromiter(map(len, pieces), np.int64, len(pieces)), memo.counts(pieces))
 
 
-def _with_trees(ranks_path: str):
+def _with_trees(sent):
     """Rows of (id, text) with the count and the packed tree of each text."""
 
     def run(batches):
-        memo = _memo(ranks_path)
+        memo = _memo(sent)
         for b in batches:
             got = [tree_of(x.as_py(), memo) if x.is_valid else None for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g and g.tokens for g in got], pa.int64()), pa.array([g and g.pack() for g in got], pa.binary())], names=[*b.schema.names, "tokens", "tree"])
@@ -196,7 +208,7 @@ def kept_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     """(__id, __text, tokens, tree): every row with its text, count and packed tree, to be written and edited later."""
     sub = X.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = sub.schema["__id"].dataType.simpleString()
-    return sub.mapInArrow(_with_trees(ranks_path), f"__id {kind}, __text string, tokens long, tree binary")
+    return sub.mapInArrow(_with_trees(_sent(docs, ranks_path)), f"__id {kind}, __text string, tokens long, tree binary")
 
 
 def trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,10 +247,10 @@ def edited(docs: DataFrame, kept: DataFrame, edits: DataFrame, ranks_path: str,
     d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null").withColumn("text_key", F.xxhash64("__id", "__text"))
     k = kept.select(F.col(id_col).alias("__id"), "text_key", "tree")
     j = d.join(e, "__id").dropDuplicates(["__id", "text_key"]).join(k.dropDuplicates(["__id", "text_key"]), ["__id", "text_key"]).select("__id", "__text", "tree", "e")
-    kind = j.schema["__id"].dataType.simpleString()
+    kind, sent = j.schema["__id"].dataType.simpleString(), _sent(docs, ranks_path)
 
     def run(batches):
-        memo = _memo(ranks_path)
+        memo = _memo(sent)
         for b in batches:
             n, t, x = [], [], []
             for text, tree, es in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -261,10 +273,10 @@ def redaction_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     judged each by itself, null ids stay null, and other columns are not read.
     """
     kept = X.written(kept_trees(docs, ranks_path, id_col, text_col), "trees", "zstd")
-    kind = kept.schema["__id"].dataType.simpleString()
+    kind, sent = kept.schema["__id"].dataType.simpleString(), _sent(docs, ranks_path)
 
     def run(batches):
-        memo, rx = _memo(ranks_path), pattern()
+        memo, rx = _memo(sent), pattern()
         for b in batches:
             tokens, trees_, out = b.column(2).to_pylist(), b.column(3), []
             hint = _hints(K.strings(b.column(1)))
