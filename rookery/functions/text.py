@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,12 +25,10 @@ def glob(c: Column, pattern: str) -> Column:
 
 
 def any_glob(c: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns matches; null where the column is."""
     plain = [p for p in patterns if not set(p) & set("*?")]
-    out = c.isin(plain) if plain else F.lit(False)
-    for p in patterns:
-        if p not in plain:
-            out = out | glob(c, p)
-    return F.coalesce(out, F.lit(False))
+    tests = [c == plain[0] if len(plain) == 1 else c.isin(plain)] if plain else []
+    return reduce(lambda a, b: a | b, [*tests, *(glob(c, p) for p in patterns if p not in plain)])
 
 
 def window(m: Column, c: Content, previous: Content | None) -> Column:
@@ -48,25 +47,20 @@ def window(m: Column, c: Content, previous: Content | None) -> Column:
 
 
 def content(m: Column, c: Content, previous: Content | None = None) -> Column:
-    """Whether one of the needles is there, or, negated, none."""
+    """Whether one of the needles is there, or, negated, none; null where the message is."""
     hay = window(m, c, previous)
     if c.nocase:
         hay = F.lower(hay)
-    out = F.lit(False)
-    if len(c.needles) > 8:
-        out = hay.rlike("|".join(re.escape(n.lower() if c.nocase else n) for n in c.needles))
+    needles = [n.lower() if c.nocase else n for n in c.needles]
+    if len(needles) > 8:
+        out = hay.rlike("|".join(map(re.escape, needles)))
     else:
-        for n in c.needles:
-            out = out | F.contains(hay, F.lit(n.lower() if c.nocase else n))
-    out = F.coalesce(out, F.lit(False))
+        out = reduce(lambda a, b: a | b, [hay.contains(n) for n in needles]) if needles else F.lit(False)
     return ~out if c.negated else out
 
 
 def contents(m: Column, cs: list[Content]) -> Column:
-    out = F.lit(True)
-    for i, c in enumerate(cs):
-        out = out & content(m, c, cs[i - 1] if i else None)
-    return out
+    return reduce(lambda a, b: a & b, [content(m, c, cs[i - 1] if i else None) for i, c in enumerate(cs)])
 
 
 def event_id(m: Column, current: Column, ids: list[str]) -> Column:

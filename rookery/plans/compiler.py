@@ -97,12 +97,14 @@ class _Fields(dict):
         return self[name]
 
 
-def compile_rule(r: Rule, columns: list[str], t: Templates = NONE, ips: Column | None = None, keys: tuple[Column, Column] | None = None, fields: bool = True) -> Compiled:
+def compile_rule(r: Rule, columns: list[str], t: Templates = NONE, ips: Column | None = None, keys: tuple[Column, Column] | None = None, fields: bool = True, shared: dict | None = None) -> Compiled:
     """A rule's tests and fields; columns that events lack count as null. Without `fields`, only those are made that its tests need.
 
     ips: the message's scanned addresses where they are a column already; keys:
-    the same of the source's and the destination's sortable address.
+    the same of the source's and the destination's sortable address. shared:
+    expressions that rules have in common, as each costs the driver time.
     """
+    shared = {} if shared is None else shared
     col = lambda c, kind="string": F.col(c) if c in columns else F.lit(None).cast(kind)
     pairs = F.col("json") if "json" in columns else F.lit(None).cast("array<struct<key:string,value:string>>")
     f = _Fields(lambda n: col(n, FIELDS[n]).cast(FIELDS[n]))
@@ -129,13 +131,16 @@ def compile_rule(r: Rule, columns: list[str], t: Templates = NONE, ips: Column |
     if r.programs:
         tests.append(text.any_glob(program, r.programs))
         if "program" in columns and "program" not in r.json_map and not any(set(p) & set("*?") for p in r.programs):
-            header = F.col("program").isin(r.programs)
+            header = tests[-1]
     for name, values in (("facility", r.facilities), ("level", r.levels), ("tag", r.tags), ("priority", r.priorities)):
         if values:
             tests.append(col(name).isin(values))
             header = tests[-1] if header is None and name in columns else header
     if r.contents or r.pcres or r.metas or r.json_pcres or r.json_contents or r.json_metas or r.event_ids:
-        tests.append(text.valid_message(message))
+        own = (r.append_program, r.json_map.get("message"), r.append_program and r.json_map.get("program"))
+        if own not in shared:
+            shared[own] = text.valid_message(message)
+        tests.append(shared[own])
     if r.contents:
         tests.append(text.contents(message, r.contents))
     tests += [message.rlike(p) for p in r.pcres]
@@ -209,9 +214,9 @@ def candidates(events: DataFrame, rules: list[Rule], t: Templates = NONE) -> Dat
     """Events x rules whose stateless tests hold: the event's columns, `rule_pos`, and the rule's fields.
 
     One scan of the events. Tests of header columns that every rule has reach
-    the scan; then go events on which no plain test holds. Addresses and their
-    keys are made once an event for each profile whose rules look at networks,
-    rule numbers alone are exploded, and fields are made after, for matches.
+    the scan. Where rules look at networks, events go on which no plain test
+    holds, and addresses and their keys are made once an event for each
+    profile. Rule numbers alone are exploded; fields are made after, for matches.
     """
     keep = [c for c in events.columns if c not in FIELDS]
     if not rules:
@@ -219,11 +224,11 @@ def candidates(events: DataFrame, rules: list[Rule], t: Templates = NONE) -> Dat
     groups: dict[tuple, list[Rule]] = {}
     for r in rules:
         groups.setdefault(profile(r), []).append(r)
-    columns = events.columns
-    compiled = {r.position: compile_rule(r, columns, t, fields=False) for r in rules}
+    columns, shared = events.columns, {}
+    compiled = {r.position: compile_rule(r, columns, t, fields=False, shared=shared) for r in rules}
     if all(c.header is not None for c in compiled.values()):
         events = events.where(_any([c.header for c in compiled.values()]))
-    if any(r.contents or r.pcres or r.programs or r.levels or r.facilities or r.tags or r.metas for r in rules):
+    if any(r.src_nets or r.dst_nets for r in rules):  # addresses are dear: not for events that match no rule anyway
         events = events.where(_any([c.plain for c in compiled.values()]))
     made = []
 
@@ -243,7 +248,7 @@ def candidates(events: DataFrame, rules: list[Rule], t: Templates = NONE) -> Dat
         also(**{f"__src{n}": f["src_ip"], f"__dst{n}": f["dst_ip"]})
         also(**{f"__from{n}": net.ip_key(F.col(f"__src{n}")), f"__to{n}": net.ip_key(F.col(f"__dst{n}"))})
         for r in g:
-            compiled[r.position] = compile_rule(r, columns, t, ips, (F.col(f"__from{n}"), F.col(f"__to{n}")), False)
+            compiled[r.position] = compile_rule(r, columns, t, ips, (F.col(f"__from{n}"), F.col(f"__to{n}")), False, shared)
     number = [F.when(c.plain if c.flow is None else c.plain & c.flow, p).otherwise(-1) for p, c in compiled.items()]
     parts = [F.array_remove(F.array(*number[i : i + CHUNK]), -1) for i in range(0, len(number), CHUNK)]
     hit = events.select(*[c for c in events.columns if c not in made], F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("rule_pos"))
