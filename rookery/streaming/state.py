@@ -94,6 +94,56 @@ def stateful(df: DataFrame, mode: str, delay: str = "1 minute") -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_processor(mode), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
+class _Silence(StatefulProcessor):
+    """Last time a host was heard, and whether it is down; a timer at the end of its timeout."""
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "last long, down boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = sorted(int(t) for pdf in rows for t in pdf["t"])
+        last, down = tuple(self.state.get()) if self.state.exists() else (None, False)
+        out = []
+        for t in times:
+            if last is not None and t - last >= self.timeout:
+                if not down:  # the watermark has not told yet
+                    out.append((key[0], last + self.timeout, "down", last))
+                out.append((key[0], t, "up", last))
+                down = False
+            last = t if last is None else max(last, t)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(int(old))
+        if not down:
+            self.handle.registerTimer((last + self.timeout) * 1000)
+        self.state.update((last, down))
+        yield pd.DataFrame(out, columns=["host", "at", "status", "last_seen"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, down = tuple(self.state.get())
+        out = [] if down else [(key[0], last + self.timeout, "down", last)]
+        self.state.update((last, True))
+        yield pd.DataFrame(out, columns=["host", "at", "status", "last_seen"])
+
+    def close(self) -> None:
+        pass
+
+
+def track_clients(events: DataFrame, timeout_minutes: int, delay: str = "1 minute", host: str = "src_ip") -> DataFrame:
+    """(host, at, status, last_seen): "down" when nothing is heard for the timeout, "up" when a host that was down is heard again.
+
+    A host goes down when the watermark passes its last event by the timeout,
+    or with its next event if that comes first. Rows without a host are left out.
+    """
+    events.sparkSession.conf.set(*STORE)
+    out = T.StructType([T.StructField("host", T.StringType()), T.StructField("at", T.LongType()), T.StructField("status", T.StringType()), T.StructField("last_seen", T.LongType())])
+    rows = events.where(F.col(host).isNotNull()).withWatermark("event_time", delay).select(F.col(host).cast("string").alias("host"), "event_time", seconds().alias("t"))
+    return rows.groupBy("host").transformWithStateInPandas(statefulProcessor=_Silence(timeout_minutes * 60), outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
 def client_windows(events: DataFrame, every: str, delay: str, key: str = "src_ip") -> DataFrame:
     """Tumbling totals of events and message bytes by host, final once the watermark is past."""
     g = events.withWatermark("event_time", delay).groupBy(F.window("event_time", every), key)

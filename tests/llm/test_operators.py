@@ -137,8 +137,14 @@ def test_t_occurrence():
             assert dict(zip(ids.tolist(), n.tolist())) == {i: c for i, c in want.items() if c >= least}
 
 
-def test_merge_skip():
+def test_merge_skip(monkeypatch):
     rng = np.random.default_rng(4)
+    lists = [np.array([7, 900, 4000]), *(np.unique(np.append(rng.integers(0, 9000, 4000), [7, 4000])) for _ in range(4))]
+    used, merge = [], ngram_join.merge_skip
+    monkeypatch.setattr(ngram_join, "merge_skip", lambda *a: used.append(1) or merge(*a))
+    count = collections.Counter(int(i) for x in lists for i in x)
+    ids, n = ngram_join.t_occurrence(np.arange(5), np.concatenate(([0], np.cumsum([len(x) for x in lists]))), np.concatenate(lists), 5)
+    assert used and dict(zip(ids.tolist(), n.tolist())) == {i: c for i, c in count.items() if c == 5}
     for _ in range(60):
         lists = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(8)]
         count = collections.Counter(int(i) for x in lists for i in x)
