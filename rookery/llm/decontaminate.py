@@ -81,6 +81,7 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
 def _items(masks):
     """Rows of the benchmark: item, tokens, and its masked hashes with positions."""
 
+    @X.trimmed
     def run(batches):
         for batch in batches:
             col, ids = K.strings(batch.column(1)), batch.column(0).to_pylist()
@@ -163,6 +164,7 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _segments(masks, bits, reach):
     """Stretches of documents around windows that the bitmap lets pass, `reach` tokens to either side."""
 
+    @X.trimmed
     def run(batches):
         held = bits.value
         for batch in batches:
@@ -194,6 +196,7 @@ def _segments(masks, bits, reach):
 
 
 def _verify(least, share):
+    @X.trimmed
     def run(batches):
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}

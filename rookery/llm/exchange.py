@@ -8,10 +8,12 @@ planes apart, compressed. The reducing side unpacks a partition at once.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import struct
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,6 +150,36 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of another system
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """A function over a task's batches that gives freed memory back at its end: Spark keeps workers for later tasks, and what they hold until then counts."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def trimmed_group(run):
+    """The same for a function over a group's table."""
+
+    def wrapped(table):
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 #: Rows of 8 to 32 bytes up to which a written side is broadcast (32 MB); beyond, Catalyst shuffles both.
 SMALL_ROWS = 1_000_000
 

@@ -88,6 +88,7 @@ def _by_gram(key, size, doc, gram, parts: int):
 def _shingles(n: int, first: int, back: int, hot):
     """Packed (gram, document) entries of a batch by range of grams; hot grams, by range of documents, after part `first`."""
 
+    @X.trimmed
     def run(batches):
         entries, keys, sizes = [], [], []
         known = hot.value
@@ -133,6 +134,7 @@ def _relay(first: int, parts: int):
     """From `first` ranges of grams to `parts` finer ones, `parts` being a multiple; what is past them goes on unchanged."""
     each = parts // first
 
+    @X.trimmed
     def run(batches):
         held, n, now = [], 0, None
 
@@ -165,6 +167,7 @@ def _relay(first: int, parts: int):
 def _repeated(parts: int, back: int):
     """Of one range of grams: those of two or more documents, packed by document. Parts past them hold such already."""
 
+    @X.trimmed_group
     def run(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() >= parts:
             return pa.table([pa.array([p - parts for p in table["part"].to_pylist()], pa.int32()), table["payload"]], schema=_PART)
@@ -197,6 +200,7 @@ def _repeated(parts: int, back: int):
 def _sets(threshold: float):
     """Of one range of documents: each one's shared grams, if enough of them; of equal sets the first alone has them."""
 
+    @X.trimmed_group
     def run(table: pa.Table) -> pa.Table:
         got = [X.unpack(x.as_py()) for x in table["payload"]]
         key, inverse = np.unique(np.concatenate([g["key"] for g in got]), return_inverse=True)
@@ -264,6 +268,7 @@ def forest_of(bits, n, size, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(threshold: float, parts: int):
     """Packed (gram, document) entries of each set's prefix: in order of rarity, all but what a partner can lack."""
 
+    @X.trimmed
     def run(batches):
         grams, rows = [], []
         held = 0
@@ -301,6 +306,7 @@ def _prefixes(threshold: float, parts: int):
 def _links(threshold: float):
     """Of one range of prefix grams: forests of the links in each list (a, b); members of lists too long for one task, by gram."""
 
+    @X.trimmed_group
     def run(table: pa.Table) -> pa.Table:
         got = [X.unpack(x.as_py()) for x in table["payload"]]
         gram = np.concatenate([X.undeltas(g["gram"]) for g in got])
@@ -346,6 +352,7 @@ def _links(threshold: float):
 def _block_links(threshold: float):
     """Forests of the links of each run of rows with one (gram, i, j)."""
 
+    @X.trimmed
     def run(batches):
         rows, now = {}, None
 
@@ -379,6 +386,7 @@ def hot_grams(rows: DataFrame, n: int) -> np.ndarray:
     share = min(1.0, SAMPLE_BYTES / max(1, X.bytes_of(rows)))
     some = rows.sample(share, 3) if share < 1 else rows
 
+    @X.trimmed
     def run(batches):
         held, docs = [], 0
         for batch in batches:
@@ -533,6 +541,7 @@ def _search_groups(threshold: float, all_pairs: bool):
         void = len(on)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[on], x])), pa.array(np.concatenate([key[on], y]), mask=np.arange(void + len(x)) < void), pa.array(np.concatenate([np.zeros(void), sim])), pa.array(np.concatenate([count[on], np.zeros(len(x), np.int64)]))], schema=_FOUND)
 
+    @X.trimmed
     def run(batches):
         rows, now, weight = [], None, 0
         for batch in batches:

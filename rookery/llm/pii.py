@@ -76,6 +76,7 @@ def _mentions(rx, window):
     """
     schema = pa.schema([("__key", pa.int64()), ("digest", pa.int64()), ("entity", pa.int64()), ("term", pa.int64())])
 
+    @X.trimmed
     def run(batches):
         for batch in batches:
             keys, digests, col = batch.column(0), batch.column(1), K.strings(batch.column(2))
@@ -105,6 +106,7 @@ def _mentions(rx, window):
 def _frequencies(bits):
     """Documents of each word that the bitmap lets pass, each by its weight, summed over a task."""
 
+    @X.trimmed
     def run(batches):
         held = bits.value
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0)
@@ -225,6 +227,7 @@ def clean_text(rx: re.Pattern, text: str, terms: frozenset = frozenset(), remove
 
 
 def _cleaned(rx, text_at, size_at, terms_at):
+    @X.trimmed
     def run(batches):
         for batch in batches:
             col = batch.column(text_at)

@@ -85,7 +85,7 @@ def logits(col: pa.Array, model: Model) -> np.ndarray:
     """Class scores of whole texts; a text without words has the bias alone."""
     bits = len(model.scores).bit_length() - 1
     out = np.tile(model.bias.astype(np.float64), (len(col), 1))
-    for lo, hi in K.slices(col):
+    for lo, hi in K.slices(col, max_bytes=1 << 19):
         t = K.tokenise(col.slice(lo, hi - lo), lower=False, classes="nonspace")
         if not len(t.hash):
             continue
@@ -248,6 +248,7 @@ def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sub = X.small_batches(docs).select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
     kind = sub.schema[id_col].dataType.simpleString()
 
+    @X.trimmed
     def run(batches):
         for p, b in score(batches):
             on = np.flatnonzero((p[:, 0] >= held.value.threshold) & _has_text(b.column(1)))
@@ -267,6 +268,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
     score = _scored(held, at)
 
+    @X.trimmed
     def run(batches):
         for p, b in score(batches):
             yield b.filter(pa.array((p[:, 0] >= held.value.threshold) & _has_text(b.column(at))))
