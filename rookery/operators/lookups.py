@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.net import cidr_range, ip_key, not_routable
+from .needles import holders
 
 
 #: Rows of a dimension up to which it is broadcast; a larger one is joined as Catalyst sees fit.
@@ -66,34 +67,21 @@ def intel_addresses(df: DataFrame, intel: DataFrame, ip: str = "src_ip") -> Data
     return df.where(~not_routable(F.col(ip))).join(intel.where("type = 'ADDR'").select(F.col("indicator").alias(ip)).distinct(), ip, "left_semi")
 
 
-#: Needles up to which a text is tested for each; beyond, texts meet them by pieces of their words.
+#: Needles up to which a text is tested for each; beyond, texts are searched for all at once.
 FEW_NEEDLES = 64
-_GRAM = 4
 
 
 def intel_strings(df: DataFrame, intel: DataFrame, kind: str, column: str = "message", key: str = "event_seq") -> DataFrame:
-    """Rows whose text holds an indicator of a type, in any case.
-
-    A few indicators become one expression. Of many, each is known by the first
-    four characters of its longest word; the pieces of four of every word of a
-    text are joined with these, and what meets is confirmed by containment.
-    Shorter indicators, of which there can't be many, stay an expression.
-    """
+    """Rows whose text holds an indicator of a type, in any case: a few indicators become one expression, many go through needles.holders()."""
     mine = intel.where(F.col("type") == kind).select(F.lower("indicator").alias("needle")).where("needle <> ''").distinct()
-    words = F.split("needle", r"\s+")
-    anchor = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    mine = mine.withColumn("gram", F.substring(anchor, 1, _GRAM))
-    short = F.length("gram") < _GRAM
-    some = mine.limit(FEW_NEEDLES + 1).collect()
-    few = [r.needle for r in some] if len(some) <= FEW_NEEDLES else [r.needle for r in mine.where(short).collect()]
-    low, hit = F.lower(F.col(column)), F.lit(False)
+    few = mine.limit(FEW_NEEDLES + 1).collect()
+    low = F.lower(F.col(column))
+    if len(few) > FEW_NEEDLES:
+        return df.join(holders(df.select(key, low.alias("__low")), mine, key, "__low"), key, "left_semi")
+    hit = F.lit(False)
     for n in few:
-        hit = hit | F.contains(low, F.lit(n))
-    if len(some) <= FEW_NEEDLES:
-        return df.where(hit)
-    pieces = F.flatten(F.transform(F.array_distinct(F.split(low, r"\s+")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (_GRAM - 1), F.lit(1))), lambda i: F.substring(w, i, _GRAM))))
-    met = df.select(key, low.alias("__low"), F.explode(F.array_distinct(pieces)).alias("gram")).join(mine.where(~short), "gram").where(F.contains("__low", F.col("needle"))).select(key).distinct()
-    return df.join(met.withColumn("__met", F.lit(True)), key, "left").where(F.col("__met").isNotNull() | hit).drop("__met")
+        hit = hit | F.contains(low, F.lit(n.needle))
+    return df.where(hit)
 
 
 def addresses(df: DataFrame, *columns: str) -> DataFrame:
