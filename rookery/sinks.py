@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import shlex
 import subprocess
+import threading
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,11 +33,11 @@ def _time(c: str = "event_time") -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSZ")
 
 
-def eve(a: DataFrame, base64: bool = True, in_iface: str | None = None) -> DataFrame:
+def eve(a: DataFrame, base64: bool = True, in_iface: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One JSON object an alert, event_type alert; metadata, correlation, normalize and reputation as objects where an alert has them.
 
     in_iface: name of the interface to report. A column `reputation` (JSON
-    text) may be joined by the caller.
+    text) may be joined by the caller. keep: columns of the alerts to hand on.
     """
     payload = F.base64(F.encode("message", "UTF-8")) if base64 else F.col("message")
     body = F.struct(
@@ -43,7 +47,7 @@ def eve(a: DataFrame, base64: bool = True, in_iface: str | None = None) -> DataF
         F.from_json(F.nullif("metadata", F.lit("")), "map<string,array<string>>").alias("metadata"), F.from_json("correlation", "map<string,string>").alias("correlation"),
         F.from_json(_col(a, "normalized"), "map<string,string>").alias("normalize"), F.from_json(_col(a, "reputation"), "map<string,string>").alias("reputation"),
     )
-    return a.where("not noeve").select("event_seq", "sid", F.to_json(body).alias("value"))
+    return a.where("not noeve").select("event_seq", "sid", *keep, F.to_json(body).alias("value"))
 
 
 def eve_log(events: DataFrame) -> DataFrame:
@@ -79,34 +83,60 @@ def mail(a: DataFrame) -> DataFrame:
     return a.where("email <> ''").select("event_seq", F.col("email").alias("to"), F.concat(F.lit("[alert] "), "msg").alias("subject"), F.concat_ws("\n", "msg", "message").alias("body"))
 
 
-def _through(command: str, lines: list[str]) -> list[str]:
-    """A program's output lines for input lines; each of the command's words is taken as it stands."""
-    got = subprocess.run(shlex.split(command), input="".join(x + "\n" for x in lines), stdout=subprocess.PIPE, text=True, check=True)
-    return got.stdout.splitlines()
+#: Output lines of a program that are handed on at once.
+LINES = 5000
+
+
+def _through(command: str, lines: Iterable[str]) -> Iterator[list[str]]:
+    """A program's output lines for input lines, some at a time while it still reads; each of the command's words is taken as it stands."""
+    failed: list[BaseException] = []
+    run = subprocess.Popen(shlex.split(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def feed() -> None:
+        try:
+            with run.stdin:
+                for x in lines:
+                    run.stdin.write(x.encode() + b"\n")
+        except BrokenPipeError:  # it needs no more
+            pass
+        except BaseException as e:
+            failed.append(e)
+
+    feeder = threading.Thread(target=feed, daemon=True)
+    feeder.start()
+    try:
+        with run.stdout:
+            while some := [x.decode().rstrip("\r\n") for x in islice(run.stdout, LINES)]:
+                yield some
+        feeder.join()
+        if failed:
+            raise failed[0]
+        if run.wait():
+            raise subprocess.CalledProcessError(run.returncode, command)
+    finally:
+        if run.poll() is None:
+            run.kill()
+            run.wait()
 
 
 def pipe_external(a: DataFrame, command: str | None = None) -> DataFrame:
     """(command, value): output lines of programs that get the EVE lines on their input.
 
     command: one for all alerts; without it each alert goes to the program that
-    its rule's `external` names. A program runs once a partition, on all its
-    lines, and a failing one fails the task; retried tasks run it again.
+    its rule's `external` names. A program runs once for each partition that has
+    lines for it, and reads and writes at once, so that no lines are gathered;
+    a failing one fails the task, and retried tasks run it again.
     """
-    lines = eve(a)
     if command is None:
-        named = a.where("external <> ''").select("event_seq", "sid", "external").distinct()
-        lines = lines.join(named, ["event_seq", "sid"]).select(F.col("external").alias("command"), "value").repartition("command")
+        lines = eve(a.where("external <> ''"), keep=("external",)).select(F.col("external").alias("command"), "value").sortWithinPartitions("command")
     else:
-        lines = lines.select(F.lit(command).alias("command"), "value")
+        lines = eve(a).select(F.lit(command).alias("command"), "value")
 
     def run(batches):
-        waiting: dict[str, list[str]] = {}
-        for b in batches:
-            for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                waiting.setdefault(c, []).append(v)
-        for c, vs in waiting.items():
-            got = _through(c, vs)
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(got), pa.string()), pa.array(got, pa.string())], names=["command", "value"])
+        rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for c, own in groupby(rows, itemgetter(0)):
+            for got in _through(c, (v for _, v in own)):
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(got), pa.string()), pa.array(got, pa.string())], names=["command", "value"])
 
     return lines.mapInArrow(run, "command string, value string")
 

@@ -1,5 +1,7 @@
 """What only shows on larger or odd inputs."""
 
+import pytest
+
 from rookery.operators import lookups
 
 
@@ -11,3 +13,21 @@ def test_thousands_of_short_indicators(spark):
     intel = spark.createDataFrame([(n, "X") for n in needles], "indicator string, type string")
     got = {r.event_seq for r in lookups.intel_strings(docs, intel, "X").collect()}
     assert got == {i for i, t in enumerate(texts) if t and any(n.lower() in t.lower() for n in needles)} == {0, 1, 5, 7, 9, 14}
+
+
+def test_programs_get_their_lines_as_they_come(spark):
+    from rookery import sinks
+    from rookery.plans import engine
+    from rookery.plans.rules import parse_rules
+
+    head = "alert any any any -> any any"
+    rules = parse_rules(f'{head} (msg:"a"; external: "cat"; program: a; sid:1; rev:1;)\n{head} (msg:"b"; external: "head -n 3"; program: b; sid:2; rev:1;)\n{head} (msg:"c"; program: c; sid:3; rev:1;)')
+    log = spark.range(0, 90_000, 1, 3).selectExpr("id as event_seq", "timestamp_seconds(id) as event_time", "substr('abc', cast(id % 3 as int) + 1, 1) as program", "concat(' one two ', id) as message", "'10.0.0.1' as host")
+    out = sinks.pipe_external(engine.alerts(log, rules))
+    assert out.rdd.getNumPartitions() == 3
+    got = {r.command: r["count"] for r in out.groupBy("command").count().collect()}
+    assert got == {"cat": 30_000, "head -n 3": 9}
+    with pytest.raises(Exception, match="CalledProcessError"):
+        sinks.pipe_external(engine.alerts(log, rules), "false").count()
+    begun = list(zip(range(3), sinks._through("cat", (str(n) for n in iter(int, 1)))))  # input that never ends
+    assert len(begun) == 3 and begun[0][1][0] == "0"
