@@ -1,6 +1,7 @@
 """What only shows on larger or odd inputs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rookery.operators import lookups
 
@@ -31,3 +32,25 @@ def test_programs_get_their_lines_as_they_come(spark):
         sinks.pipe_external(engine.alerts(log, rules), "false").count()
     begun = list(zip(range(3), sinks._through("cat", (str(n) for n in iter(int, 1)))))  # input that never ends
     assert len(begun) == 3 and begun[0][1][0] == "0"
+
+
+def test_addresses_cost_little_where_there_are_none(spark):
+    import time
+
+    from rookery.functions import net
+
+    odd = spark.createDataFrame([(0, "a 1.2.3.4 :443  b"), (1, "fe80::10000#53 fe80::ffff#53"), (2, "x_y#7.7.7.7. 8.8.8.8 Source Port: 53, 9.9.9.9"), (3, None), (4, "12:30:45 1:2:3:4:5:6:7:8 port 7")], "i int, m string")
+    got = {r.i: [tuple(x) for x in r.x or []] for r in odd.select("i", net.ip_scan(F.col("m")).alias("x")).collect()}
+    assert got == {0: [("1.2.3.4", 0)], 1: [("fe80::ffff", 53)], 2: [("7.7.7.7", 0), ("8.8.8.8", 53), ("9.9.9.9", 0)], 3: [], 4: [("1:2:3:4:5:6:7:8", 7)]}
+    texts = spark.range(0, 400, 1, 8).select(F.repeat(F.concat(F.lit("some words (of prose), and: "), F.col("id").cast("string"), F.lit(" numbers. ")), 2000).alias("m")).cache()
+    texts.count()
+
+    def took(c):
+        best = 1e9
+        for _ in range(3):
+            t = time.time()
+            texts.select(c.alias("x")).where("x").count()
+            best = min(best, time.time() - t)
+        return best
+
+    assert took(F.size(net.ip_scan(F.col("m"))) > 0) < 0.2 + 4 * took(F.col("m").rlike(r"\d\.\d{1,3}\.\d{1,3}\.\d|::"))
