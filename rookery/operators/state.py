@@ -8,7 +8,6 @@ rows by time, so that a key of a third of all rows is many tasks' work.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,16 +43,21 @@ def limit_step(state, t: int, count: int, secs: int, mode: str):
     return (c, u), False
 
 
-def _fold(mode: str, names: list[str], state_only: bool):
-    """One pass over rows sorted by __k. Rows of __seq null give a key's state (c, u) from before."""
+def _fold(mode: str, state_only: bool):
+    """One pass over seconds sorted by __k. Those of __c not null give a key's state (c, u) from before.
+
+    Gives the rows of its counter before each second, for seconds in which rows
+    may pass; or each key's state at the end. All rows of a second are of one
+    window, as no gap is shorter.
+    """
 
     def run(batches):
         now, c, u, known = object(), 0, 0, False
         out: list[tuple] = []
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            key, ts, n, s, old = (batch.column(at[x]).to_pylist() for x in ("__k", "__t", "__n", "__s", "__c"))
-            keep = np.zeros(batch.num_rows, bool)
+            key, ts, rows, n, s, old = (batch.column(at[x]).to_pylist() for x in ("__k", "__t", "__rows", "__n", "__s", "__c"))
+            keep, before = [], []
             for i, k in enumerate(key):
                 t = ts[i]
                 if k != now:
@@ -63,24 +67,24 @@ def _fold(mode: str, names: list[str], state_only: bool):
                     if known:
                         c, u = old[i], t
                         continue
-                if not known:
-                    c, u, known = 1, t, True
-                    keep[i] = mode != "after"
-                    continue
-                c += 1
-                gap = t - u > s[i]
-                if mode == "suppress":
-                    u = t
-                if gap:
-                    c, u = 1, t
+                    c, u = 0, t
+                if not known or t - u > s[i]:
+                    c, u, known = 0, t, True
                 if mode == "after":
-                    if c > n[i]:
+                    if c + rows[i] > n[i]:
                         u = t
-                        keep[i] = True
+                        keep.append(i)
+                        before.append(c)
                 else:
-                    keep[i] = c <= n[i]
+                    if mode == "suppress":
+                        u = t
+                    if c < n[i]:
+                        keep.append(i)
+                        before.append(c)
+                c += rows[i]
             if not state_only:
-                yield batch.select(names).filter(pa.array(keep))
+                x = batch.select(["__k", "__t"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(before, pa.int64())], names=["__k", "__t", "__before"])
         if state_only:
             if known:
                 out.append((now, c, u))
@@ -93,27 +97,43 @@ def _key(keys: list[str]) -> Column:
     return F.concat_ws("\u0001", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
 
 
-def _sorted(df, keys, count, secs, order, before):
-    wide = df.withColumns({"__k": _key(keys), "__t": seconds(order[0]), "__n": count.cast("long"), "__s": secs.cast("long"), "__c": F.lit(None).cast("long")})
+#: The second of rows without a time, before all others.
+_NEVER = -(1 << 62)
+
+
+def _wide(df, keys, count, secs, order):
+    return df.withColumns({"__k": _key(keys), "__t": F.coalesce(seconds(order[0]), F.lit(_NEVER)), "__n": count.cast("long"), "__s": secs.cast("long")})
+
+
+def _seconds(wide, before):
+    """A key's seconds in order, each with its number of rows, after its state from before."""
+    each = wide.groupBy("__k", "__t").agg(F.count("*").alias("__rows"), F.first("__n").alias("__n"), F.first("__s").alias("__s")).withColumn("__c", F.lit(None).cast("long"))
     if before is not None:
-        wide = wide.unionByName(before.select(F.col("k").alias("__k"), F.col("u").alias("__t"), F.col("c").alias("__c")), allowMissingColumns=True)
-    return wide.repartition("__k").sortWithinPartitions("__k", F.col("__c").isNull(), *order)
+        each = each.unionByName(before.select(F.col("k").alias("__k"), F.col("u").alias("__t"), F.col("c").alias("__c")), allowMissingColumns=True)
+    return each.repartition("__k").sortWithinPartitions("__k", F.col("__c").isNull(), "__t")
 
 
 def counted(df: DataFrame, keys: list[str], count: Column, secs: Column, mode: str, order: tuple[str, ...] = ORDER, before: DataFrame | None = None) -> DataFrame:
     """Rows that `limit` or `suppress` lets pass or at which `after` fires; windows are anchored at a key's first event.
 
-    The machine looks at its own past decisions, which no window function can;
-    each partition is one pass over sorted rows with a constant state, and of a
-    row Python looks at the key and three numbers alone. before(k, c, u): the
-    keys' states from earlier batches (counter_state()).
+    count and secs are the same for all rows of a key. The machine looks at its
+    own past decisions, which no window function can, but only at whole
+    seconds: one pass goes over a key's seconds and their numbers of rows, and
+    rows are numbered inside their own second, so that a key of all rows is
+    many tasks' work. df is read twice. before(k, c, u): the keys' states from
+    earlier batches (counter_state()).
     """
-    return _sorted(df, keys, count, secs, order, before).mapInArrow(_fold(mode, df.columns, False), df.schema)
+    wide = _wide(df, keys, count, secs, order)
+    start = _seconds(wide, before).mapInArrow(_fold(mode, False), "__k string, __t long, __before long")
+    n = F.row_number().over(Window.partitionBy("__k", "__t").orderBy(*order))
+    total = F.col("__before") + F.col("__i")
+    fits = total > F.col("__n") if mode == "after" else total <= F.col("__n")
+    return wide.join(start, ["__k", "__t"]).withColumn("__i", n).where(fits).select(df.columns)
 
 
 def counter_state(df: DataFrame, keys: list[str], count: Column, secs: Column, mode: str, order: tuple[str, ...] = ORDER, before: DataFrame | None = None) -> DataFrame:
     """(k, c, u): each key's state after counted() has seen these rows."""
-    return _sorted(df, keys, count, secs, order, before).select("__k", "__t", "__n", "__s", "__c").mapInArrow(_fold(mode, [], True), "k string, c long, u long")
+    return _seconds(_wide(df, keys, count, secs, order), before).mapInArrow(_fold(mode, True), "k string, c long, u long")
 
 
 #: Seconds of a key's rows that one task goes through in running().
@@ -138,13 +158,8 @@ def running(df: DataFrame, keys: list[str], value: Column, how: str, name: str,
 
 
 def suppress(df: DataFrame, keys: list[str], count: Column, secs: Column, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """First `count` rows of each session, sessions ending at gaps of over `secs` seconds: window functions alone."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    t = seconds(order[0])
-    gap = F.coalesce(t - F.lag(t).over(w) > secs, F.lit(True)).cast("int")
-    s = df.withColumn("__gap", gap).withColumn("__session", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.row_number().over(Window.partitionBy(*keys, "__session").orderBy(*order))
-    return s.withColumn("__n", n).where(F.col("__n") <= count).drop("__gap", "__session", "__n")
+    """First `count` rows of each session, sessions ending at gaps of over `secs` seconds."""
+    return counted(df, keys, count, secs, "suppress", order)
 
 
 XKEYS = {"ip_src": ("src_ip",), "ip_dst": ("dst_ip",), "ip_pair": ("src_ip", "dst_ip")}

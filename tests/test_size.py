@@ -54,3 +54,25 @@ def test_addresses_cost_little_where_there_are_none(spark):
         return best
 
     assert took(F.size(net.ip_scan(F.col("m"))) > 0) < 0.2 + 4 * took(F.col("m").rlike(r"\d\.\d{1,3}\.\d{1,3}\.\d|::"))
+
+
+@pytest.mark.parametrize("mode", ["limit", "suppress", "after"])
+def test_one_key_is_many_tasks_work(spark, mode):
+    from rookery.operators import state
+
+    rows = [(i, 0, t) for i, t in enumerate(sorted((j * j * 7) % 400 // 3 * 3 for j in range(4000)))]
+    df = spark.createDataFrame(rows, "event_seq long, rule_pos int, t long").select("event_seq", "rule_pos", F.timestamp_seconds("t").alias("event_time"), F.lit("k").alias("key"))
+    n, want, st = 30, set(), None
+    for i, _, t in rows:
+        st, emit = state.limit_step(st, t, n, 5, mode)
+        want |= {i} if emit else set()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        f = state.suppress if mode == "suppress" else lambda *a: state.counted(*a, mode)
+        got = f(df, ["key"], F.lit(n), F.lit(5)).select("event_seq", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.event_seq for r in got} == want and len(got) == len(want) > 20
+    assert mode == "suppress" or len({r.p for r in got}) > 1
