@@ -121,6 +121,11 @@ _ADDRESS = rf"^(?:[A-Za-z][A-Za-z0-9.]*[:#](?={V4}\.?{_END})|(?={V4}(?:[:#]\d{{1
 _PORT = rf"^(?:(?:[^#\s\"()\[\]<>{{}},/@=\-!|_+&%$~^']*#|{V4}:)(?=\d{{1,5}}\.?{_END})|{_WORD}+{_GAP}+(?:(?i:(?:(?:source|destination|client):?{_GAP}+)?port:?){_GAP}+(?=\d{{1,5}}\.?:?{_END})|:(?=\d{{1,5}}{_END})))(\d{{1,5}})"
 
 
+def may_have_ip(message: Column) -> Column:
+    """Whether ip_scan() has to look at the words of a message."""
+    return message.rlike(_SIGN)
+
+
 def ip_scan(message: Column, limit: int | None = None) -> Column:
     """array<struct<ip, port>> of the addresses in a message, in order.
 
@@ -133,7 +138,7 @@ def ip_scan(message: Column, limit: int | None = None) -> Column:
     have it are cut out, each with the next three; other text costs no more
     than that search.
     """
-    near = F.when(message.rlike(_SIGN), F.regexp_extract_all(message, F.lit(rf"(?<!{_WORD})(?=({_WORD}*?(?:{_SIGN}){_WORD}*(?:{_GAP}+{_WORD}+){{0,3}})){_WORD}+"), 1)).otherwise(F.array().cast("array<string>"))
+    near = F.when(may_have_ip(message), F.regexp_extract_all(message, F.lit(rf"(?<!{_WORD})(?=({_WORD}*?(?:{_SIGN}){_WORD}*(?:{_GAP}+{_WORD}+){{0,3}})){_WORD}+"), 1)).otherwise(F.array().cast("array<string>"))
     # one transform a step: inside a lambda nothing that is named twice is kept
     found = F.filter(F.transform(near, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _ADDRESS, 1).alias("ip"))), lambda y: y["ip"] != "")
     found = F.transform(found, lambda y: F.struct(y["ip"].alias("ip"), F.regexp_extract(y["x"], _PORT, 1).alias("port")))

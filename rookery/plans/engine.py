@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_key, ip_scan
+from ..functions.net import ip_key, ip_scan, may_have_ip
 from ..operators import lookups, state
 from ..operators.cut import cut
 from .compiler import NONE, Templates, candidates
@@ -114,8 +114,8 @@ def _table(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
 
 
 def _scanned(m: DataFrame) -> DataFrame:
-    """(event_seq, ip): the addresses in the messages of matches."""
-    return m.select("event_seq", "message").dropDuplicates(["event_seq"]).select("event_seq", F.explode(ip_scan(F.col("message"))).alias("x")).select("event_seq", "x.ip")
+    """(event_seq, ip): the addresses in the messages of matches; messages without any are not shuffled."""
+    return m.select("event_seq", "message").where(may_have_ip(F.col("message"))).dropDuplicates(["event_seq"]).select("event_seq", F.explode(ip_scan(F.col("message"))).alias("x")).select("event_seq", "x.ip")
 
 
 def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:

@@ -76,3 +76,13 @@ def test_one_key_is_many_tasks_work(spark, mode):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.event_seq for r in got} == want and len(got) == len(want) > 20
     assert mode == "suppress" or len({r.p for r in got}) > 1
+
+
+def test_messages_without_addresses_are_not_shuffled(spark):
+    from rookery.plans import engine
+
+    m = spark.range(10).selectExpr("id as event_seq", "concat('from ', id, '.2.3.', if(id = 3, '4', 'x')) as message")
+    found = engine._scanned(m)
+    assert [tuple(r) for r in found.collect()] == [(3, "3.2.3.4")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan[plan.index("Aggregate") :].split("\n", 1)[1]
