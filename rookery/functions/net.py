@@ -112,7 +112,8 @@ _GAP = r"[\s\"()\[\]<>{},/@=\-!|_+&%$~^']"
 _WORD = r"[^\s\"()\[\]<>{},/@=\-!|_+&%$~^']"
 _END = rf"(?={_GAP}|$)"
 #: What every address has, of either family.
-_SIGN = r"\d\.\d{1,3}\.\d{1,3}\.\d|:[0-9A-Fa-f]{0,4}:"
+_SIGNS = (r"\d\.\d{1,3}\.\d{1,3}\.\d", r":[0-9A-Fa-f]{0,4}:")
+_SIGN = "|".join(_SIGNS)
 _HEX = "[0-9A-Fa-f]"
 #: An IPv6 address that ip_key() takes: eight groups, or one "::".
 _SIX = rf"(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{7}}|(?=:*{_HEX})(?=[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::){V6})"
@@ -122,8 +123,21 @@ _PORT = rf"^(?:(?:[^#\s\"()\[\]<>{{}},/@=\-!|_+&%$~^']*#|{V4}:)(?=\d{{1,5}}\.?{_
 
 
 def may_have_ip(message: Column) -> Column:
-    """Whether ip_scan() has to look at the words of a message."""
-    return message.rlike(_SIGN)
+    """Whether ip_scan() has to look at the words of a message. Two searches, as Java's are fast for what begins in one way only."""
+    four, six = _SIGNS
+    return message.rlike(four) | (F.contains(message, F.lit(":")) & message.rlike(six))
+
+
+def _near(message: Column) -> Column:
+    """array<struct<x, ip>>: the addresses in a message, each with its word and the next three."""
+    near = F.when(may_have_ip(message), F.regexp_extract_all(message, F.lit(rf"(?<!{_WORD})(?=({_WORD}*?(?:{_SIGN}){_WORD}*(?:{_GAP}+{_WORD}+){{0,3}})){_WORD}+"), 1)).otherwise(F.array().cast("array<string>"))
+    # one transform a step: inside a lambda nothing that is named twice is kept
+    return F.filter(F.transform(near, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _ADDRESS, 1).alias("ip"))), lambda y: y["ip"] != "")
+
+
+def ips(message: Column) -> Column:
+    """array<string> of what ip_scan() finds, for readers that need no ports; these aren't looked for."""
+    return F.transform(_near(message), lambda y: y["ip"])
 
 
 def ip_scan(message: Column, limit: int | None = None) -> Column:
@@ -138,9 +152,7 @@ def ip_scan(message: Column, limit: int | None = None) -> Column:
     have it are cut out, each with the next three; other text costs no more
     than that search.
     """
-    near = F.when(may_have_ip(message), F.regexp_extract_all(message, F.lit(rf"(?<!{_WORD})(?=({_WORD}*?(?:{_SIGN}){_WORD}*(?:{_GAP}+{_WORD}+){{0,3}})){_WORD}+"), 1)).otherwise(F.array().cast("array<string>"))
-    # one transform a step: inside a lambda nothing that is named twice is kept
-    found = F.filter(F.transform(near, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _ADDRESS, 1).alias("ip"))), lambda y: y["ip"] != "")
+    found = _near(message)
     found = F.transform(found, lambda y: F.struct(y["ip"].alias("ip"), F.regexp_extract(y["x"], _PORT, 1).alias("port")))
     found = F.transform(found, lambda y: F.struct(y["ip"].alias("ip"), F.when(y["port"] != "", y["port"].cast("int")).otherwise(F.lit(0)).alias("port")))
     return F.slice(found, 1, limit) if limit else found
@@ -149,7 +161,9 @@ def ip_scan(message: Column, limit: int | None = None) -> Column:
 def proto_scan(message: Column) -> Column:
     """6, 17 or 1 where a word of the message is tcp, udp or icmp; else null."""
     word = lambda *names: message.rlike("(?i)(?:" + "|".join(rf"{n}(?<!{_WORD}.{{{len(n)}}})" for n in names) + f")(?!{_WORD})")
-    return F.when(word("tcp", "udp", "icmp"), F.when(word("tcp"), 6).when(word("udp"), 17).otherwise(1))
+    low = F.lower(message)  # most texts have none of these; "cmp", as a locale may lower I to something else
+    may = F.contains(low, F.lit("tcp")) | F.contains(low, F.lit("udp")) | F.contains(low, F.lit("cmp"))
+    return F.when(may & word("tcp", "udp", "icmp"), F.when(word("tcp"), 6).when(word("udp"), 17).otherwise(1))
 
 
 HASH_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64}

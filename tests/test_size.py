@@ -86,3 +86,13 @@ def test_messages_without_addresses_are_not_shuffled(spark):
     assert [tuple(r) for r in found.collect()] == [(3, "3.2.3.4")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan[plan.index("Aggregate") :].split("\n", 1)[1]
+
+
+def test_protocol_words_are_looked_for_where_they_can_be(spark):
+    from rookery.functions import net
+
+    odd = spark.createDataFrame([(0, "a TCP b"), (1, "x udp"), (2, "IcMp."), (3, "-icmp-"), (4, "xtcp udpx"), (5, "İCMP tcpdump"), (6, None), (7, "udp tcp")], "i int, m string")
+    c = net.proto_scan(F.col("m")).alias("p")
+    assert {r.i: r.p for r in odd.select("i", c).collect()} == {0: 6, 1: 17, 2: None, 3: 1, 4: None, 5: None, 6: None, 7: 6}
+    plan = odd.select(c)._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.index("Contains(lower(") < plan.index("RLIKE")
