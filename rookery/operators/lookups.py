@@ -63,8 +63,14 @@ def blacklisted(df: DataFrame, r: DataFrame, mode: str, key: str) -> DataFrame:
 
 
 def intel_addresses(df: DataFrame, intel: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Rows whose address is an indicator of type ADDR; addresses that aren't routable never are."""
-    return df.where(~not_routable(F.col(ip))).join(intel.where("type = 'ADDR'").select(F.col("indicator").alias(ip)).distinct(), ip, "left_semi")
+    """Rows whose address is an indicator of type ADDR; addresses that aren't routable never are.
+
+    That is asked of the indicators, once each, instead of every row. As an
+    aggregate's result it stays there: Catalyst would put a filter of the join's
+    key on both sides.
+    """
+    mine = intel.where("type = 'ADDR'").groupBy(F.col("indicator").alias(ip)).agg(F.max(~not_routable(F.col("indicator"))).alias("__ok")).where("__ok")
+    return df.join(mine.select(ip), ip, "left_semi")
 
 
 #: Needles up to which a text is tested for each; beyond, texts are searched for all at once.

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_key, ip_scan, may_have_ip
+from ..functions.net import ip_key, ips, may_have_ip
 from ..operators import lookups, state
 from ..operators.cut import cut
 from .compiler import NONE, Templates, candidates
@@ -115,7 +115,7 @@ def _table(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
 
 def _scanned(m: DataFrame) -> DataFrame:
     """(event_seq, ip): the addresses in the messages of matches; messages without any are not shuffled."""
-    return m.select("event_seq", "message").where(may_have_ip(F.col("message"))).dropDuplicates(["event_seq"]).select("event_seq", F.explode(ip_scan(F.col("message"))).alias("x")).select("event_seq", "x.ip")
+    return m.select("event_seq", "message").where(may_have_ip(F.col("message"))).dropDuplicates(["event_seq"]).select("event_seq", F.explode(ips(F.col("message"))).alias("ip"))
 
 
 def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
@@ -191,7 +191,7 @@ def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
             elif track == "both":  # both have to be valid, as for block lists
                 values = F.when(ip_key(F.col("src_ip")).isNotNull() & ip_key(F.col("dst_ip")).isNotNull(), F.array("src_ip", "dst_ip"))
             elif track == "all":
-                values = F.transform(ip_scan(F.col("message")), lambda s: s["ip"])
+                values = ips(F.col("message"))
             else:
                 values = F.array("dst_ip" if track == "by_dst" else "src_ip")
             look = x.select(*_IDENT, "event_time", F.explode(values).alias("__value"))

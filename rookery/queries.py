@@ -153,7 +153,7 @@ def _intel(s):
     return s.createDataFrame([("10.0.0.5", "ADDR"), ("mail1.example.com", "DOMAIN"), ("MAIL5.example.com", "DOMAIN"), ("apache license", "SOFTWARE"), ("mit license", "SOFTWARE")], "indicator string, type string")
 
 
-_add("intel_addr", lambda s, d: lookups.intel_addresses(_docs(s, d).select("event_seq", F.explode(net.ip_scan(F.col("message"))).alias("x")).select("event_seq", F.col("x.ip").alias("src_ip")), _docs(s, d).where("program = 'src1'").select(F.explode(net.ip_scan(F.col("message"))).alias("x")).select(F.col("x.ip").alias("indicator"), F.lit("ADDR").alias("type"))), f"with {DOC}, {_IPS}, i as (select distinct ip from ip join doc using (event_seq) where program = 'src1') select event_seq, ip as src_ip from ip where ip in (select ip from i) and not (ip like '10.%' or ip like '127.%' or ip like '0.%' or ip like '192.168.%' or ip like '169.254.%' or (ip like '172.%' and cast(split_part(ip, '.', 2) as integer) between 16 and 31) or cast(split_part(ip, '.', 1) as integer) between 224 and 239)")
+_add("intel_addr", lambda s, d: lookups.intel_addresses(_docs(s, d).select("event_seq", F.explode(net.ips(F.col("message"))).alias("src_ip")), _docs(s, d).where("program = 'src1'").select(F.explode(net.ips(F.col("message"))).alias("indicator")).select("indicator", F.lit("ADDR").alias("type"))), f"with {DOC}, {_IPS}, i as (select distinct ip from ip join doc using (event_seq) where program = 'src1') select event_seq, ip as src_ip from ip where ip in (select ip from i) and not (ip like '10.%' or ip like '127.%' or ip like '0.%' or ip like '192.168.%' or ip like '169.254.%' or (ip like '172.%' and cast(split_part(ip, '.', 2) as integer) between 16 and 31) or cast(split_part(ip, '.', 1) as integer) between 224 and 239)")
 _add("intel_domain", lambda s, d: engine.run(_docs(s, d), _rules("zeek-intel: domain;"), engine.Tables(intel=_intel(s))).select("event_seq"), f"with {DOC} select event_seq from doc where contains(lower(message), 'mail1.example.com') or contains(lower(message), 'mail5.example.com')")
 _add("intel_software", lambda s, d: engine.run(_docs(s, d), _rules("zeek-intel: software;"), engine.Tables(intel=_intel(s))).select("event_seq"), f"with {DOC} select event_seq from doc where contains(lower(message), 'apache license') or contains(lower(message), 'mit license')")
 

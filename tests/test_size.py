@@ -96,3 +96,16 @@ def test_protocol_words_are_looked_for_where_they_can_be(spark):
     assert {r.i: r.p for r in odd.select("i", c).collect()} == {0: 6, 1: 17, 2: None, 3: 1, 4: None, 5: None, 6: None, 7: 6}
     plan = odd.select(c)._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.index("Contains(lower(") < plan.index("RLIKE")
+
+
+def test_indicators_are_tested_instead_of_rows(spark):
+    from rookery.functions import net
+
+    m = spark.range(12).selectExpr("id as event_seq", "concat('from ', if(id % 2 = 0, '8.8.8.', '10.0.0.'), id % 4, ' port 7') as message")
+    scanned = m.select("event_seq", F.explode(net.ips(F.col("message"))).alias("src_ip"))
+    intel = spark.createDataFrame([("8.8.8.0", "ADDR"), ("8.8.8.0", "ADDR"), ("10.0.0.1", "ADDR"), ("8.8.8.2", "URL"), (None, "ADDR"), ("none", "ADDR")], "indicator string, type string")
+    found = lookups.intel_addresses(scanned, intel)
+    assert sorted((r.event_seq, r.src_ip) for r in found.collect()) == [(0, "8.8.8.0"), (4, "8.8.8.0"), (8, "8.8.8.0")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    rows = plan[plan.index("Join LeftSemi") : plan.index("Aggregate")]
+    assert "format_string" in plan and "format_string" not in rows and "destination" not in rows
