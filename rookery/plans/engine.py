@@ -95,14 +95,20 @@ def _looks(r: Rule) -> bool:
     return bool(r.blacklist or r.intel or r.country or r.reputation or r.offload)
 
 
+def _looks_apart(r: Rule, places: lookups.Places | None) -> bool:
+    """Whether its look-ups read the matches once more; those of countries don't where places are given."""
+    return bool(r.blacklist or r.intel or r.reputation or r.offload) or bool(r.country) and places is None
+
+
 def _tests(r: Rule) -> bool:
     return any(b.action in ("isset", "isnotset", "count") for b in r.xbits + r.flexbits)
 
 
-def _readings(rules: list[Rule]) -> int:
+def _readings(rules: list[Rule], places: lookups.Places | None = None) -> int:
     """How often a level's matches would be read if they weren't written."""
-    plain = [r for r in rules if not (_looks(r) or _tests(r) or r.after or r.threshold)]
-    return 2 * any(map(_looks, rules)) + 2 * any(map(_tests, rules)) + len({(*q.keys, q.kind) for r in rules for q in (r.after, r.threshold) if q}) + bool(plain)
+    apart = [r for r in rules if _looks_apart(r, places)]
+    plain = [r for r in rules if not (r in apart or _tests(r) or r.after or r.threshold)]
+    return 2 * bool(apart) + 2 * any(map(_tests, rules)) + len({(*q.keys, q.kind) for r in rules for q in (r.after, r.threshold) if q}) + bool(plain)
 
 
 _IDENT = ["event_seq", "rule_pos"]
@@ -118,8 +124,11 @@ def _scanned(m: DataFrame) -> DataFrame:
     return m.select("event_seq", "message").where(may_have_ip(F.col("message"))).dropDuplicates(["event_seq"]).select("event_seq", F.explode(ips(F.col("message"))).alias("ip"))
 
 
-def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
-    """Matches whose look-ups hold. All rules of one kind of look-up share one join; the rows to keep are found from m itself."""
+def _gate(m: DataFrame, rules: list[Rule], t: Tables, places: lookups.Places | None = None) -> DataFrame:
+    """Matches whose look-ups hold. All rules of one kind of look-up share one join; the rows to keep are found from m itself.
+
+    places: countries as they go along with the matches, where they are few enough.
+    """
     looks = [r for r in rules if _looks(r)]
     if not looks:
         return m
@@ -177,9 +186,13 @@ def _gate(m: DataFrame, rules: list[Rule], t: Tables) -> DataFrame:
                 out = by_event(out, lookups.intel_strings(x.select("event_seq", "message").dropDuplicates(["event_seq"]), t.intel, kind.upper()))
         elif what == "country":
             side = sides[how[0]][0]
-            known = lookups.countries(lookups.addresses(x, side), t.geo, t.geo_skip).withColumnsRenamed({"ip": "__ip", "countries": "__known"})
             wants = _table(m, [(r.position, r.country[1], r.country[2]) for r in looks if r.country and r.country[0] == how[0]], "rule_pos int, __inside boolean, __codes array<string>")
-            out = out.join(known, F.col(side) == F.col("__ip"), "left").join(wants, "rule_pos", "left")
+            if places is not None:
+                out = lookups.located(out, F.when(mine, F.col(side)), places, "__known")
+            else:
+                known = lookups.countries(lookups.addresses(x, side), t.geo, t.geo_skip).withColumnsRenamed({"ip": "__ip", "countries": "__known"})
+                out = out.join(known, F.col(side) == F.col("__ip"), "left")
+            out = out.join(wants, "rule_pos", "left")
             good = F.when(F.col("__inside"), F.arrays_overlap("__known", "__codes")).otherwise(F.size(F.array_except("__known", "__codes")) > 0)
             out = out.where(~mine | F.coalesce(F.col("__known").isNotNull() & good, F.lit(False))).select(m.columns)
         elif what == "reputation":
@@ -317,13 +330,14 @@ def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None, memo
     xops, fsets = (memory.xops, memory.fsets) if memory is not None else (None, None)
     ends: tuple[str, ...] = tuple(dict.fromkeys(b.track for r in rules for b in r.flexbits if b.action == "unset"))
     levels = stages(rules)
+    places = lookups.places(t.geo, t.geo_skip) if t.geo is not None and any(r.country for r in rules) else None
     for level in levels:
         m = candidates(events, level, t.templates)
         if stopped is not None:
             m = m.join(stopped, "event_seq", "left").where(F.col("stop").isNull() | (F.col("rule_pos") < F.col("stop"))).drop("stop")
-        if _readings(level) > 1:
+        if _readings(level, places) > 1:
             m = cut(m)
-        m = _rate(_bits(_gate(m, level, t), level, xops, fsets, funsets, ends), level, memory, left)
+        m = _rate(_bits(_gate(m, level, t, places), level, xops, fsets, funsets, ends), level, memory, left)
         setting = any(b.action.startswith("set") or b.action == "unset" for r in level for b in r.xbits + r.flexbits)
         if level is not levels[-1] or left is not None and setting:  # read again by each later stage, or kept
             m = cut(m)

@@ -109,3 +109,41 @@ def test_indicators_are_tested_instead_of_rows(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     rows = plan[plan.index("Join LeftSemi") : plan.index("Aggregate")]
     assert "format_string" in plan and "format_string" not in rows and "destination" not in rows
+
+
+_CIDRS = [("8.0.0.0/7", "de"), ("8.8.0.0/16", "FR"), ("8.8.8.0/24", None), ("9.9.9.9", "US"), ("20.0.0.0/8", None), ("0.0.0.0/0", "XX"), ("2001:db8::/32", "JP"), ("2001:db8:1::/48", "us"), ("10.0.0.0/8", "DE"), ("bad", "DE")]
+_ODD = ["8.8.8.8", "8.8.9.8", "9.1.1.1", "9.9.9.9", "9.9.200.1", "20.1.1.1", "10.0.0.7", "127.0.0.1", "::ffff:8.8.8.8", "2001:db8::1", "2001:DB8:1::1", "2001:db8:2::1", "2002::1", "fe80::1", "300.1.1.1", "name", "", None, "8.8.8.8"]
+
+
+def _places(spark):
+    geo = lookups.ranges(spark, _CIDRS, "cidr string, country string")
+    skip = lookups.ranges(spark, [("9.9.0.0/17",), ("2001:db8:2::/48",), ("9.9.0.0/18",)])
+    return geo, skip, spark.createDataFrame(list(enumerate(_ODD)), "event_seq long, src_ip string")
+
+
+def test_country_rules_write_no_messages(spark, monkeypatch):
+    from rookery.plans import engine
+    from rookery.plans.rules import parse_rules
+
+    geo, skip, df = _places(spark)
+    log = df.selectExpr("event_seq", "timestamp_seconds(event_seq) as event_time", "concat('from ', src_ip, ' on') as message", "'10.0.0.1' as host")
+    rules = parse_rules('alert any any any -> any any (msg:"a"; parse_src_ip: 1; country_code: track by_src, isnot [DE,XX]; sid:1; rev:1;)\nalert any any any -> any any (msg:"b"; parse_src_ip: 1; country_code: track by_src, is [US]; sid:2; rev:1;)\nalert any any any -> any any (msg:"c"; sid:3; rev:1;)')
+    run = lambda: engine.run(log, rules, engine.Tables(geo=geo, geo_skip=skip)).select("event_seq", "rule_pos")
+    cuts = []
+    monkeypatch.setattr(engine, "cut", lambda df, cut=engine.cut: cuts.append(1) or cut(df))
+    few = run()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert not cuts and plan.count("regexp_extract_all") == 1
+    rows = sorted(map(tuple, few.collect()))
+    assert {r for r in rows if r[1] < 2} == {(0, 0), (1, 0), (9, 0), (10, 0), (10, 1), (18, 0)} and sum(p == 2 for _, p in rows) == len(_ODD)
+    monkeypatch.setattr(lookups, "FEW_RANGES", 2)  # more than these are joined with the distinct addresses
+    assert lookups.places(geo) is None and lookups.places(geo.limit(1), geo) is None
+    assert sorted(map(tuple, run().collect())) == rows and cuts
+
+
+def test_countries_of_few_ranges_go_along(spark):
+    geo, skip, df = _places(spark)
+    for table, places in ((None, lookups.places(geo)), (skip, lookups.places(geo, skip))):
+        want = {r.ip: sorted(r.countries) for r in lookups.countries(lookups.addresses(df, "src_ip"), geo, table).collect()}
+        got = lookups.located(df, F.col("src_ip"), places, "known").collect()
+        assert len(got) == len(_ODD) and {r.event_seq: sorted(r.known or []) for r in got} == {i: want.get(ip, []) for i, ip in enumerate(_ODD)}
