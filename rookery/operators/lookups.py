@@ -96,17 +96,27 @@ def intel_addresses(df: DataFrame, intel: DataFrame, ip: str = "src_ip") -> Data
 FEW_NEEDLES = 64
 
 
+def few_needles(intel: DataFrame, kind: str) -> list[str] | None:
+    """The indicators of a type in lower case; None where there are more than FEW_NEEDLES."""
+    few = intel.where(F.col("type") == kind).select(F.lower("indicator").alias("needle")).where("needle <> ''").distinct().limit(FEW_NEEDLES + 1).collect()
+    return [n.needle for n in few] if len(few) <= FEW_NEEDLES else None
+
+
+def holds_any(text: Column, needles: list[str]) -> Column:
+    """Whether a text holds one of a few needles of few_needles(), in any case."""
+    hit, low = F.lit(False), F.lower(text)
+    for n in needles:
+        hit = hit | F.contains(low, F.lit(n))
+    return hit
+
+
 def intel_strings(df: DataFrame, intel: DataFrame, kind: str, column: str = "message", key: str = "event_seq") -> DataFrame:
     """Rows whose text holds an indicator of a type, in any case: a few indicators become one expression, many go through needles.holders()."""
+    few = few_needles(intel, kind)
+    if few is not None:
+        return df.where(holds_any(F.col(column), few))
     mine = intel.where(F.col("type") == kind).select(F.lower("indicator").alias("needle")).where("needle <> ''").distinct()
-    few = mine.limit(FEW_NEEDLES + 1).collect()
-    low = F.lower(F.col(column))
-    if len(few) > FEW_NEEDLES:
-        return df.join(holders(df.select(key, low.alias("__low")), mine, key, "__low"), key, "left_semi")
-    hit = F.lit(False)
-    for n in few:
-        hit = hit | F.contains(low, F.lit(n.needle))
-    return df.where(hit)
+    return df.join(holders(df.select(key, F.lower(F.col(column)).alias("__low")), mine, key, "__low"), key, "left_semi")
 
 
 def addresses(df: DataFrame, *columns: str) -> DataFrame:

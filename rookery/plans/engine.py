@@ -95,18 +95,35 @@ def _looks(r: Rule) -> bool:
     return bool(r.blacklist or r.intel or r.country or r.reputation or r.offload)
 
 
-def _looks_apart(r: Rule, places: lookups.Places | None) -> bool:
-    """Whether its look-ups read the matches once more; those of countries don't where places are given."""
-    return bool(r.blacklist or r.intel or r.reputation or r.offload) or bool(r.country) and places is None
+@dataclass
+class Passing:
+    """What look-ups ask that is small enough to go along with the matches: countries' ranges, and string indicators by their type."""
+
+    places: lookups.Places | None = None
+    needles: dict[str, list[str]] = field(default_factory=dict)
+
+
+_SIDES = {"by_src": ["src_ip"], "by_dst": ["dst_ip"], "both": ["src_ip", "dst_ip"]}
+
+
+def _passing(rules: list[Rule], t: Tables) -> Passing:
+    kinds = dict.fromkeys(k.upper() for r in rules for k in r.intel if k != "all" and k not in _SIDES) if t.intel is not None else {}
+    few = {k: lookups.few_needles(t.intel, k) for k in kinds}
+    return Passing(lookups.places(t.geo, t.geo_skip) if t.geo is not None and any(r.country for r in rules) else None, {k: v for k, v in few.items() if v is not None})
+
+
+def _looks_apart(r: Rule, p: Passing) -> bool:
+    """Whether its look-ups read the matches once more."""
+    return bool(r.blacklist or r.reputation or r.offload) or any(k.upper() not in p.needles for k in r.intel) or bool(r.country) and p.places is None
 
 
 def _tests(r: Rule) -> bool:
     return any(b.action in ("isset", "isnotset", "count") for b in r.xbits + r.flexbits)
 
 
-def _readings(rules: list[Rule], places: lookups.Places | None = None) -> int:
+def _readings(rules: list[Rule], passing: Passing) -> int:
     """How often a level's matches would be read if they weren't written."""
-    apart = [r for r in rules if _looks_apart(r, places)]
+    apart = [r for r in rules if _looks_apart(r, passing)]
     plain = [r for r in rules if not (r in apart or _tests(r) or r.after or r.threshold)]
     return 2 * bool(apart) + 2 * any(map(_tests, rules)) + len({(*q.keys, q.kind) for r in rules for q in (r.after, r.threshold) if q}) + bool(plain)
 
@@ -124,11 +141,8 @@ def _scanned(m: DataFrame) -> DataFrame:
     return m.select("event_seq", "message").where(may_have_ip(F.col("message"))).dropDuplicates(["event_seq"]).select("event_seq", F.explode(ips(F.col("message"))).alias("ip"))
 
 
-def _gate(m: DataFrame, rules: list[Rule], t: Tables, places: lookups.Places | None = None) -> DataFrame:
-    """Matches whose look-ups hold. All rules of one kind of look-up share one join; the rows to keep are found from m itself.
-
-    places: countries as they go along with the matches, where they are few enough.
-    """
+def _gate(m: DataFrame, rules: list[Rule], t: Tables, passing: Passing) -> DataFrame:
+    """Matches whose look-ups hold. All rules of one kind of look-up share one join; the rows to keep are found from m itself, or told as they pass."""
     looks = [r for r in rules if _looks(r)]
     if not looks:
         return m
@@ -169,26 +183,27 @@ def _gate(m: DataFrame, rules: list[Rule], t: Tables, places: lookups.Places | N
             on = [on] if isinstance(on, str) else on
             return out.join(found.select(*on).distinct().withColumn("__found", F.lit(True)), on, "left").where(~mine | F.col("__found").isNotNull()).drop("__found")
 
-        sides = {"by_src": ["src_ip"], "by_dst": ["dst_ip"], "both": ["src_ip", "dst_ip"]}
         if what == "blacklist":
             (mode,) = how
             if mode == "all":
                 out = by_event(out, lookups.range_join(_scanned(x), "ip", t.blacklist))
             else:
-                out = by_address(out, lookups.range_join(lookups.addresses(x, *sides[mode]), "ip", t.blacklist), sides[mode], mode == "both")
+                out = by_address(out, lookups.range_join(lookups.addresses(x, *_SIDES[mode]), "ip", t.blacklist), _SIDES[mode], mode == "both")
         elif what == "intel":
             (kind,) = how
             if kind == "all":
                 out = by_event(out, lookups.intel_addresses(_scanned(x), t.intel, "ip"))
-            elif kind in sides:
-                out = by_address(out, lookups.intel_addresses(lookups.addresses(x, *sides[kind]), t.intel, "ip"), sides[kind])
+            elif kind in _SIDES:
+                out = by_address(out, lookups.intel_addresses(lookups.addresses(x, *_SIDES[kind]), t.intel, "ip"), _SIDES[kind])
+            elif kind.upper() in passing.needles:
+                out = out.where(~mine | lookups.holds_any(F.col("message"), passing.needles[kind.upper()]))
             else:
                 out = by_event(out, lookups.intel_strings(x.select("event_seq", "message").dropDuplicates(["event_seq"]), t.intel, kind.upper()))
         elif what == "country":
-            side = sides[how[0]][0]
+            side = _SIDES[how[0]][0]
             wants = _table(m, [(r.position, r.country[1], r.country[2]) for r in looks if r.country and r.country[0] == how[0]], "rule_pos int, __inside boolean, __codes array<string>")
-            if places is not None:
-                out = lookups.located(out, F.when(mine, F.col(side)), places, "__known")
+            if passing.places is not None:
+                out = lookups.located(out, F.when(mine, F.col(side)), passing.places, "__known")
             else:
                 known = lookups.countries(lookups.addresses(x, side), t.geo, t.geo_skip).withColumnsRenamed({"ip": "__ip", "countries": "__known"})
                 out = out.join(known, F.col(side) == F.col("__ip"), "left")
@@ -330,14 +345,14 @@ def run(events: DataFrame, rules: list[Rule], tables: Tables | None = None, memo
     xops, fsets = (memory.xops, memory.fsets) if memory is not None else (None, None)
     ends: tuple[str, ...] = tuple(dict.fromkeys(b.track for r in rules for b in r.flexbits if b.action == "unset"))
     levels = stages(rules)
-    places = lookups.places(t.geo, t.geo_skip) if t.geo is not None and any(r.country for r in rules) else None
+    passing = _passing(rules, t)
     for level in levels:
         m = candidates(events, level, t.templates)
         if stopped is not None:
             m = m.join(stopped, "event_seq", "left").where(F.col("stop").isNull() | (F.col("rule_pos") < F.col("stop"))).drop("stop")
-        if _readings(level, places) > 1:
+        if _readings(level, passing) > 1:
             m = cut(m)
-        m = _rate(_bits(_gate(m, level, t, places), level, xops, fsets, funsets, ends), level, memory, left)
+        m = _rate(_bits(_gate(m, level, t, passing), level, xops, fsets, funsets, ends), level, memory, left)
         setting = any(b.action.startswith("set") or b.action == "unset" for r in level for b in r.xbits + r.flexbits)
         if level is not levels[-1] or left is not None and setting:  # read again by each later stage, or kept
             m = cut(m)

@@ -147,3 +147,23 @@ def test_countries_of_few_ranges_go_along(spark):
         want = {r.ip: sorted(r.countries) for r in lookups.countries(lookups.addresses(df, "src_ip"), geo, table).collect()}
         got = lookups.located(df, F.col("src_ip"), places, "known").collect()
         assert len(got) == len(_ODD) and {r.event_seq: sorted(r.known or []) for r in got} == {i: want.get(ip, []) for i, ip in enumerate(_ODD)}
+
+
+def test_few_strings_are_tested_in_passing(spark, monkeypatch):
+    from rookery.plans import engine
+    from rookery.plans.rules import parse_rules
+
+    texts = ["An MIT License", "mail1.EXAMPLE.com", "none", None, "mit license of mail1.example.com", ""]
+    log = spark.createDataFrame(list(enumerate(texts)), "event_seq long, message string").selectExpr("*", "timestamp_seconds(event_seq) as event_time", "'10.0.0.1' as host")
+    intel = spark.createDataFrame([("MIT license", "SOFTWARE"), ("", "SOFTWARE"), (None, "DOMAIN"), ("mail1.example.com", "DOMAIN")], "indicator string, type string")
+    rules = parse_rules("\n".join(f'alert any any any -> any any (msg:"a"; {o} sid:{i}; rev:1;)' for i, o in enumerate(("zeek-intel: software;", "zeek-intel: domain;", "zeek-intel: domain,software;", "zeek-intel: url;", 'content:"none";'), 1)))
+    run = lambda: engine.run(log, rules, engine.Tables(intel=intel)).select("event_seq", "rule_pos")
+    cuts = []
+    monkeypatch.setattr(engine, "cut", lambda df, cut=engine.cut: cuts.append(1) or cut(df))
+    few = run()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert not cuts and "Join" not in plan and "Aggregate" not in plan
+    rows = sorted(map(tuple, few.collect()))
+    assert rows == [(0, 0), (1, 1), (2, 4), (4, 0), (4, 1), (4, 2)]
+    monkeypatch.setattr(lookups, "FEW_NEEDLES", 0)
+    assert sorted(map(tuple, run().collect())) == rows and cuts
